@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from rillwork.llm import near_dedup
+from rillwork.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, token_counts
 
 QUERIES = {
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_packing": packing.op7_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
     "op4_near_dedup": near_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
