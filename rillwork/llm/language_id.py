@@ -18,7 +18,7 @@ DIMENSIONS = 1024
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
 #: The pipeline rejects documents whose cosine with the nearest prototype is below this.
-LEAST = 0.2
+LEAST = 0.05
 
 
 @cache

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rillwork.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, token_counts
+from rillwork.llm import decontaminate, html_text, language_id, line_dedup, media, near_dedup, packing, passage_dedup, quality, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_passage_dedup": passage_dedup.op3_passage_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_language_id": language_id.op6_language_id,
