@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.components import connected_components
 from rillwork.llm.store import cut, semi
-from rillwork.llm.text import Texts, column, distinct, jaccard_parts
+from rillwork.llm.text import U64, Texts, blocks, column, distinct, jaccard_parts, per_batch
 
 
 def _same(percent: int):
@@ -36,6 +36,21 @@ def _same(percent: int):
     return run
 
 
+#: 64-bit words of a set's parities: bit h of them is the parity of the elements hashed to h, so two sets differ in at
+#: least as many elements as their parities in bits. That bounds the intersection from above, exactly.
+PARITIES = 32
+
+
+def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for _, _, texts in blocks(batch):
+        for x in distinct(*texts.shingles()):
+            odd = np.bincount((x >> U64(20)).astype(np.int64) & (PARITIES * 64 - 1), minlength=PARITIES * 64) & 1
+            out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    words = np.stack(out)
+    return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(PARITIES))], ["id", *(f"p{i}" for i in range(PARITIES))])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     """Those (a, b) of a materialised list whose whole texts' shingle sets have 100 * both >= percent * either."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -52,8 +67,9 @@ def near_components(items: DataFrame, texts: DataFrame, percent: int = 75) -> Da
 
     1. A bucket's members are compared with its least id only (a star), so a bucket of n costs n comparisons.
     2. Components of those links are found. In buckets that still hold several components every member outside the
-       bucket's largest one is compared with all members of other components. After that each two members of a
-       bucket are in one component or known to be unlike, so no link that the bands suggest is lost.
+       bucket's largest one is held against all members of other components; the join itself rejects those whose sets
+       can't be alike by their sizes and parities, and what it lets pass is verified. After that each two members
+       of a bucket are in one component or known to be unlike, so no link that the bands suggest is lost.
     """
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = items.select("id", "n", F.explode("keys").alias("key"))
@@ -66,10 +82,17 @@ def near_components(items: DataFrame, texts: DataFrame, percent: int = 75) -> Da
     named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    several = named.join(mixed, "key")
-    one = several.where("label <> main").select("key", F.col("id").alias("i"), F.col("n").alias("na"), F.col("label").alias("l"))
-    other = several.select("key", F.col("id").alias("j"), F.col("n").alias("nb"), F.col("label").alias("m"))
-    rest = one.join(other, "key").where(F.col("l") != F.col("m")).where(fits).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
+    several = cut(named.join(mixed, "key"))
+    if several.isEmpty():
+        return labels.withColumnRenamed("node", "id")
+    ids = cut(several.select("id").distinct())
+    need = semi(texts, ids, "id", ids.count()).groupBy("id").agg(F.first("text").alias("text"))
+    several = several.join(need.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"p{i} long" for i in range(PARITIES))), "id")
+    one, other = several.where("label <> main").alias("x"), several.alias("y")
+    apart = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES))
+    most = f"(x.n + y.n - ({apart})) div 2"
+    near = F.expr(f"x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})")
+    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(verified(rest, texts, percent))
