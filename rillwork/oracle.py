@@ -220,7 +220,7 @@ SQL = {
     "spectral_entropy": f"{_SPEC}, q AS (SELECT vec_id, p * n / sum(p * n) OVER (PARTITION BY vec_id) AS q FROM g) SELECT vec_id, {_r('-sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / log2(33)', 'pse')} FROM q GROUP BY vec_id",
     "c0_complexity": f"{_SPEC}, q AS (SELECT *, sum(p * n) OVER (PARTITION BY vec_id) / 64 AS mean FROM g) SELECT vec_id, {_r('sum(CASE WHEN p > mean THEN 0 ELSE p * n END) / sum(p * n)', 'c0')} FROM q GROUP BY vec_id",
     "higuchi": f"""WITH {_X}, d AS (SELECT a.vec_id, k, a.i % k AS m, abs(a.x - b.x) AS d FROM x a, range(1, 11) t(k), x b WHERE b.vec_id = a.vec_id AND b.i = a.i - k),
-      l AS (SELECT vec_id, k, m, sum(d) * 63 / (count(*) * k * k) AS l FROM d GROUP BY ALL), q AS (SELECT vec_id, k, avg(l) AS l FROM l GROUP BY ALL) SELECT vec_id, {_r('regr_slope(ln(l), ln(1.0::DOUBLE / k))', 'fd')} FROM q GROUP BY vec_id""",
+      l AS (SELECT vec_id, k, m, sum(d) * 63 / (count(*) * k * k) AS l FROM d GROUP BY vec_id, k, m), q AS (SELECT vec_id, k, avg(l) AS l FROM l GROUP BY vec_id, k) SELECT vec_id, {_r('regr_slope(ln(l), ln(1.0::DOUBLE / k))', 'fd')} FROM q GROUP BY vec_id""",
     "sample_entropy": f"""WITH {_X}, {_EMBED}, t AS (SELECT vec_id, 0.2 * stddev_pop(x) AS r FROM x GROUP BY vec_id), q AS (SELECT p.vec_id, greatest(abs(p.a - o.a), abs(p.b - o.b)) AS d, greatest(abs(p.a - o.a), abs(p.b - o.b), abs(p.c - o.c)) AS d1, r FROM v p JOIN v o ON p.vec_id = o.vec_id AND p.i < o.i JOIN t ON t.vec_id = p.vec_id),
       n AS (SELECT vec_id, count(*) FILTER (d <= r) AS b, count(*) FILTER (d1 <= r) AS a FROM q GROUP BY vec_id) SELECT vec_id, {_r('CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) ELSE 0.0 END', 'ke')} FROM n""",
     "dwt_details": f"WITH {_X}, {_wave('x', _HIGH, 'h1')}, {_wave('x', _LOW, 'a1')}, b1 AS (SELECT vec_id, o AS i, x FROM a1), {_wave('b1', _HIGH, 'h2')} SELECT vec_id, 1 AS level, CAST(o AS INTEGER) AS o, {_r('x', 'x')} FROM h1 UNION ALL SELECT vec_id, 2, CAST(o AS INTEGER), round(x, 6) FROM h2",

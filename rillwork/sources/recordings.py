@@ -51,7 +51,7 @@ def read_ppg(spark: SparkSession, glob: str, zone: str, rate: float = 64.0) -> t
     """Good and rejected sessions of files with the start in epoch seconds, the rate and then one value a line.
 
     Good: (session_id, t0, values), t0 local to the zone. Rejected: (session_id, reason)."""
-    raw = spark.read.option("wholetext", True).text(glob).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("session_id"), F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    raw = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("session_id"), F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
     named = raw.select("session_id", F.get("lines", F.lit(0)).try_cast("double").alias("start"), F.get("lines", F.lit(1)).try_cast("double").alias("fs"), "lines")
     reason = F.when(F.col("start").isNull(), "no start").when(F.col("fs").isNull() | (F.abs(F.col("fs") - rate) > 1e-6), "wrong rate")
     judged = named.withColumn("reason", reason)
