@@ -360,7 +360,7 @@ def _predicted(get, signed, pos, n, kind, window) -> np.ndarray:
         out[i, k] = signed(pos[k], 8)
         pos[k] += 8
     weights, shift = np.zeros((high, len(n)), np.int64), np.zeros(len(n), np.int64)
-    for o, row in enumerate(FIXED):
+    for o, row in enumerate(FIXED[: high + 1]):
         for j, c in enumerate(row):
             weights[j, (kind == 8 + o)] = c
     t = np.flatnonzero(kind >= 32)

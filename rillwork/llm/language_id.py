@@ -17,6 +17,8 @@ DIMENSIONS = 1024
 #: Symbols: white space and other signs (0), a-z (1 to 26), all other letters dealt over the rest.
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
+#: A document's weight in its language's prototype, in whole numbers so that sums don't depend on their order.
+WHOLE = 1 << 24
 #: The pipeline rejects documents whose cosine with the nearest prototype is below this.
 LEAST = 0.05
 
@@ -82,8 +84,8 @@ def _characters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the sum of each one's document vectors at length 1.
 
-    docs: text, lang. Only trigram counts travel: each task adds its own up, a sum by (lang, trigram) follows, and
-    those are bundled by part and summed by (lang, dimension). The driver gets languages x DIMENSIONS numbers."""
+    docs: text, lang. Every document weighs the same, however long, so no repetitive one drowns the others. Only
+    trigram counts travel: each task adds its own up, a sum by (lang, trigram) follows, and those are bundled by part and summed by (lang, dimension). The driver gets languages x DIMENSIONS numbers."""
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -91,8 +93,9 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for i, row, gram, letters in _grams(batch):
                 of = langs[i : i + len(letters)][row]
+                share = np.rint(WHOLE / np.maximum(np.bincount(row, minlength=len(letters)), 1))[row]
                 for lang in set(langs[i : i + len(letters)]):
-                    add = np.bincount(gram[of == lang], minlength=GRAMS)
+                    add = np.bincount(gram[of == lang], share[of == lang], GRAMS).astype(np.int64)
                     total[lang] = total.get(lang, 0) + add
         for lang, n in sorted(total.items()):
             some = np.flatnonzero(n)

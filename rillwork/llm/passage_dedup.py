@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.linking import near_components
-from rillwork.llm.store import cut, table
+from rillwork.llm.store import cut, fresh, table
 from rillwork.llm.text import U64, Texts, band_keys, blocks, circulant, mix, per_batch
 
 #: A paragraph begins at a line or where the hash of two words is the least among its RADIUS neighbours on both sides.
@@ -148,10 +148,11 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs with the removed ones of repeated_passages() taken out of text; other columns stay as they are."""
-    spans = passages.where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length")), False).alias("_spans"))
-    cut_out = F.expr("aggregate(_spans, text, (t, s) -> concat(left(t, cast(s.start as int)), substr(t, cast(s.start + s.length + 1 as int))))")
+    name = fresh(docs, "spans")
+    spans = passages.where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length")), False).alias(name))
+    cut_out = F.expr(f"aggregate({name}, text, (t, s) -> concat(left(t, cast(s.start as int)), substr(t, cast(s.start + s.length + 1 as int))))")
     joined = docs.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_out)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut_out)).select(docs.columns)
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def kneser_ney(windows: DataFrame, order: int = ORDER) -> DataFrame:
     own = F.when((F.col("n") == order) | F.col("gram").startswith(FIRST), F.col("c")).otherwise(F.col("kinds"))
     counts = cut(exact.join(before, ["lang", "n", "gram"], "left").select("lang", "n", "gram", own.alias("c")).where("c > 0"))
     found = counts.groupBy("lang", "n").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y, good = F.expr("n1 / (n1 + 2.0 * n2)"), F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
-    ratio = lambda k: F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+    y, good = F.expr("try_divide(n1, n1 + 2.0 * n2)"), F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
+    ratio = lambda k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
     discounts = found.select("lang", "n", *[F.when(good & (ratio(k) > 0), ratio(k)).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)])
     held = F.least(F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"), F.col("c").cast("double"))
     shaped = counts.join(discounts, ["lang", "n"]).select("lang", "n", "gram", "c", held.alias("d"), F.expr("left(gram, n - 1)").alias("context"))

@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is in ids (a materialised, distinct column of that name, n_ids long).
 
