@@ -396,6 +396,11 @@ def pulse_shape(spark, d):
     return rounded(signals.pulse_shape(s, found, "vec_id", 64))
 
 
+def ecg_beats(spark, d):
+    s = _samples(spark, d)
+    return rounded(signals.beat_summary(signals.beats(s, signals.r_peaks(s, "vec_id", 64), "vec_id", 64), "vec_id"))
+
+
 def window_features(spark, d):
     s = _samples(spark, d)
     parts = [signals.moments(s, "vec_id"), signals.hjorth(s, "vec_id"), signals.amplitude_entropy(s, "vec_id")]
@@ -483,7 +488,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-moving_energy signal_peaks rr_hrv pulse_shape window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
+moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
 resume_pending reject_reasons
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
