@@ -34,6 +34,8 @@ _ROLES = set("navigation banner contentinfo complementary search alert alertdial
 _WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored promo promotion banner masthead header footer nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies respond disqus discussion form search pagination pager toolbar widget skip copyright".split()
 )
+#: Of these, words that layouts also give to what holds an article: an article or main element inside undoes them.
+_LAYOUT = set("header masthead sidebar aside rail nav navbar navigation menu search skip toolbar widget footer banner".split())
 _PROSE = set("p h1 h2 h3 h4 h5 h6 b i em strong a span u s small mark sub sup code q cite abbr blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption br".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -52,23 +54,25 @@ class Block(NamedTuple):
 class _Open(NamedTuple):
     tag: str
     path: str
-    aside: bool
+    aside: int  # 0 no, 1 by words that an article undoes, 2 for good
     prose: bool
     article: bool
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """What the path shows of an element's attributes, and whether they mark it as no article text."""
-    label, aside = "", False
+def _attributes(text: str, tag: str, article: bool) -> tuple[str, int]:
+    """What the path shows of an element's attributes, and how they mark it as no article text (see _Open)."""
+    label, aside = "", 0
     for name, *values in _ATTR.findall(text):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + " ".join(re.sub(r"\d+", "9", value).split())
-            aside |= not _WORDS.isdisjoint(_SPLIT.split(value))
+            if tag not in ("html", "body"):
+                found = _WORDS.intersection(_SPLIT.split(value)) - ({"header"} if article else set())
+                aside = max(aside, 2 if found - _LAYOUT else 1 if found else 0)
         elif name == "role":
-            aside |= value.strip() in _ROLES
+            aside = 2 if value.strip() in _ROLES else aside
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            aside = True
+            aside = 2
     return label, aside
 
 
@@ -77,7 +81,7 @@ def blocks_of(page: str) -> list[Block]:
 
     White space is one space, character references are decoded, empty blocks left out. Tags may be unclosed, crossed
     or in any case; a comment, script or style that doesn't end runs to the end of the page."""
-    stack, out, words, at, n = [_Open("", "", False, False, False)], [], [], 0, len(page)
+    stack, out, words, at, n = [_Open("", "", 0, False, False)], [], [], 0, len(page)
 
     def flush() -> None:
         if words:
@@ -86,7 +90,7 @@ def blocks_of(page: str) -> list[Block]:
                 k = len(stack) - 1
                 while k > 0 and stack[k].tag not in _BLOCK:
                     k -= 1
-                out.append(Block(stack[k].path, text, e.aside, e.prose, e.article))
+                out.append(Block(stack[k].path, text, e.aside > 0, e.prose, e.article))
             words.clear()
 
     def close(k: int) -> None:
@@ -142,10 +146,13 @@ def blocks_of(page: str) -> list[Block]:
                     low = k
             if low:
                 close(low)
-        label, marked = _attributes(m[3]) if m[3] else ("", False)
         up = stack[-1]
-        aside = up.aside or marked or (tag in _ASIDE and not (tag == "header" and up.article))
+        label, marked = _attributes(m[3], tag, up.article) if m[3] else ("", 0)
         article = up.article or tag in ("article", "main")
+        if article and not up.article and up.aside == 1:
+            aside = marked
+        else:
+            aside = max(up.aside, marked, 2 if tag in _ASIDE and not (tag == "header" and up.article) else 0)
         prose = article and (tag in ("article", "main") or (up.prose and tag in _PROSE and not label))
         if tag in _BLOCK or aside != up.aside:
             flush()

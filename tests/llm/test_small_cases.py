@@ -322,6 +322,7 @@ def test_pages(spark):
         ("", "nonsense"),
         ("<p>open <i>never", "http://c.example"),
         ("<<<>>> &#x41; <p", "http://d.example:80/"),
+        ("<body class='has-sidebar'><div class='page with-sidebar'><article><div class='entry-header'><h1>T</h1></div><p>kept</article><div class='comments'><article>nice</article></div></div>", "http://e.example"),
     ]
     rows = [(i, u, h, "clash", "clash") for i, (h, u) in enumerate(bodies)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text string")
@@ -329,6 +330,7 @@ def test_pages(spark):
     assert got[0]["text"] == "Head & more\n\nOne two\n\nThree four five"
     assert all(got[i]["text"] == f"story number {i - 1} {prose(5, i - 1)}" for i in range(1, 7))
     assert got[7]["text"] == got[8]["text"] == "" and got[9]["text"] == "open never" and "A" in got[10]["text"]
+    assert got[11]["text"] == "T\n\nkept"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_text.main_text(df.limit(0)).count() == 0
     tree = {r["importance"] for r in html_text.site_style_tree(df.withColumn("host", F.lit("b.example"))).collect()}
