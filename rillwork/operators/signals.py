@@ -157,6 +157,48 @@ def wavelet_details(s: DataFrame, key: str, levels: int) -> DataFrame:
     return out.select(key, "level", "o", "x")
 
 
+def _synthesised(c: DataFrame, key: str, taps: list[float], n: str) -> DataFrame:
+    """One level of synthesis: (key, o, x) of coefficients (key, o, x) to the first `n` (a column) values of the level
+    above, by the taps that a coefficient meets."""
+    f = len(taps)
+    hit = c.withColumn("t", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(h).alias("h")) for j, h in enumerate(taps)])))
+    place = 2 * F.col("o") + F.col("t.j") - (f - 2)
+    return hit.where((place >= 0) & (place < F.col(n))).groupBy(key, *[x for x in c.columns if x not in (key, "o", "x")], place.cast("int").alias("o")).agg(F.sum(F.col("x") * F.col("t.h")).alias("x"))
+
+
+def wavelet_reconstructions(s: DataFrame, key: str, levels: int, approximation: bool = False) -> DataFrame:
+    """(key, level, i, x): the signal itself as level 0, then for each level the signal that its details alone give
+    back, of the same length; with approximation also what is left, as level -1. All but level 0 add up to it."""
+    low = DB4
+    high = [(-1) ** (j + 1) * h for j, h in enumerate(reversed(low))]
+    sizes = s.groupBy(key).agg(F.count("*").cast("int").alias("n0"))
+    for k in range(1, levels + 1):
+        sizes = sizes.withColumn(f"n{k}", F.floor((F.col(f"n{k - 1}") + len(low) - 1) / 2).cast("int"))
+    out, now = s.select(key, F.lit(0).alias("level"), "i", "x"), s.select(key, "i", "x")
+
+    def back(c: DataFrame, k: int, first: list[float]) -> DataFrame:
+        c = c.join(sizes, key)
+        for j in range(k, 0, -1):
+            c = _synthesised(c, key, list(reversed(first if j == k else low)), f"n{j - 1}")
+        return c.select(key, F.col("o").alias("i"), "x")
+
+    for k in range(1, levels + 1):
+        out = out.unionByName(back(_filtered(now, key, high), k, high).select(key, F.lit(k).alias("level"), "i", "x"))
+        rest = _filtered(now, key, low)
+        now = rest.select(key, F.col("o").alias("i"), "x")
+    if approximation:
+        out = out.unionByName(back(rest, levels, low).select(key, F.lit(-1).alias("level"), "i", "x"))
+    return out
+
+
+def ten_features(s: DataFrame, key: str, n: int) -> DataFrame:
+    """The ten features of windows of n samples in one row each: kur, ske, sm, sc, fd, cd, c0, pse, ke, se. Where a
+    constant window leaves one without a value it is 0."""
+    spec = spectrum(s, key, n)
+    parts = [moments(s, key), hjorth(s, key), higuchi(s, key), correlation_dimension(s, key), c0_complexity(spec, key, n), spectral_entropy(spec, key, n), sample_entropy(s, key), amplitude_entropy(s, key)]
+    return reduce(lambda a, b: a.join(b, key, "left"), parts).na.fill(0.0)
+
+
 def moving_energy(s: DataFrame, key: str, width: int) -> DataFrame:
     """Adds energy, squared steps, and smooth: its centred moving average, zero beyond the ends. An even width reaches
     one sample further back than ahead."""

@@ -373,6 +373,16 @@ def dwt_details(spark, d):
     return rounded(signals.wavelet_details(_samples(spark, d), "vec_id", 2))
 
 
+def dwt_reconstructed(spark, d):
+    """Energy of each window's three detail reconstructions and of the window itself."""
+    r = signals.wavelet_reconstructions(_samples(spark, d), "vec_id", 3)
+    return rounded(r.groupBy("vec_id", "level").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("energy")))
+
+
+def ten_features(spark, d):
+    return rounded(signals.ten_features(_samples(spark, d), "vec_id", 64))
+
+
 def moving_energy(spark, d):
     return rounded(signals.moving_energy(_samples(spark, d), "vec_id", 7)).select("vec_id", "i", "energy", "smooth")
 
@@ -488,7 +498,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
+dwt_reconstructed ten_features moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
 resume_pending reject_reasons
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -67,3 +67,15 @@ def test_wavelet_keeps_energy_inside(spark):
 def test_usable(spark):
     w = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, math.nan]), (3, None), (4, [])], "w int, x array<double>")
     assert [r["reason"] for r in signals.usable(w).orderBy("w").collect()] == [None, "flat", "not finite", "missing", "missing"]
+
+
+def test_reconstructions_add_up(spark):
+    x = np.random.default_rng(5).normal(size=100)
+    r = signals.wavelet_reconstructions(frame(spark, [x, x[:64]]), "w", 3, approximation=True)
+    got = r.groupBy("w", "i").agg(F.sum(F.when(F.col("level") != 0, F.col("x"))).alias("back"), F.max(F.when(F.col("level") == 0, F.col("x"))).alias("x"), F.count("*").alias("n")).collect()
+    assert len(got) == 164 and all(g["n"] == 5 and g["back"] == pytest.approx(g["x"], abs=1e-9) for g in got)
+
+
+def test_ten_features_of_a_flat_window(spark):
+    got = signals.ten_features(frame(spark, [np.ones(64), np.random.default_rng(6).normal(size=64)]), "w", 64).orderBy("w").collect()
+    assert len(got) == 2 and len(got[0]) == 11 and got[0]["sm"] == 0 and got[1]["sm"] > 0
