@@ -234,3 +234,30 @@ SQL = {
     "reject_reasons": "SELECT CASE WHEN value IS NULL THEN 'missing' WHEN value / 18.018::DOUBLE < 0.1 THEN 'too low' WHEN value / 18.018::DOUBLE > 25 THEN 'too high' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "feature_intersection": f"WITH {_FEATURES.replace('f AS (SELECT', 'f0 AS (SELECT')}, ff AS (SELECT *, {_fold(3)} AS fold FROM f0), c AS (" + " UNION ALL ".join(f"SELECT {k} AS k, '{c}' AS feature, {i} AS place, corr({c}, glucose) AS r FROM ff WHERE fold <> {k}" for k in range(3) for i, c in enumerate(_NAMES)) + "), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY r * r / (1 - r * r) DESC NULLS LAST, place) <= 5) SELECT feature, CAST(any_value(place) + 1 AS INTEGER) AS place FROM t GROUP BY feature HAVING count(*) = 3",
 }
+
+
+def _sweep() -> str:
+    """Models smoothed along runs with three densities, fused with the raw models' densities, beside the raw ones."""
+    parts, rows = [f"WITH RECURSIVE {_READ}, {_CAUSAL}, {_FOLDED}, {_DENSITY}", _runs("p", "u", _GAP, "*")], []
+    grade = f"{_r('rmse', 'rmse', 4)}, {_r('mard', 'mard', 4)}"
+    fused = _choquet3([f"v.{q}" for q in _Q], _G, "d.lam")
+    for i, (name, g) in enumerate((("raw", None), ("1/7", "(1.0::DOUBLE / 7)"), ("0.20", "0.20::DOUBLE"), ("0.35", "0.35::DOUBLE"))):
+        if g is None:
+            source = "u"
+        else:
+            parts.append(_lams(g).replace("bis", f"bis{i}").replace("lams", f"lams{i}"))
+            lists = ", ".join(f"list({q}) OVER t AS l{j}" for j, q in enumerate(_Q))
+            smooth = ", ".join(f"CASE WHEN k = 1 THEN {q} ELSE list_sum(list_transform(list_reverse_sort(l{j}), lambda a, n: a * {g} * pow(1 + lam * {g}, n - 1))) END AS {q}" for j, q in enumerate(_Q))
+            parts.append(f"w{i} AS (SELECT fold, glucose, {smooth} FROM (SELECT *, {lists} FROM u WINDOW t AS (PARTITION BY subject, run ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) q JOIN lams{i} ON k = len(l0))")
+            source = f"w{i}"
+        parts.append(f"g{i} AS (SELECT sqrt(avg((c - glucose) * (c - glucose))) AS rmse, avg(abs(c - glucose) / nullif(glucose, 0)) * 100 AS mard FROM (SELECT v.glucose, {fused} AS c FROM {source} v JOIN d ON d.fold = v.fold))")
+        rows.append(f"SELECT '{name}' AS variant, {grade}, round(rmse - (SELECT rmse FROM g0), 4) AS delta FROM g{i}")
+    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+SQL["temporal_sweep"] = _sweep()
+SQL["correlation_dim"] = f"""WITH {_X}, sd AS (SELECT vec_id, stddev_samp(x) AS sd FROM x GROUP BY vec_id),
+  e AS (SELECT vec_id, i, list(x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS v FROM x), f AS (SELECT * FROM e WHERE len(v) = 10),
+  q AS (SELECT a.vec_id, list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i < b.i),
+  c AS (SELECT q.vec_id, j, any_value(0.3::DOUBLE * pow(1.35, j) * sd) AS r, avg(CASE WHEN d < 0.3::DOUBLE * pow(1.35, j) * sd THEN 1.0 ELSE 0.0 END) AS c FROM q JOIN sd ON sd.vec_id = q.vec_id, range(0, 8) t(j) GROUP BY q.vec_id, j)
+  SELECT sd.vec_id, round(coalesce(k.cd, 0), 5) AS cd FROM sd LEFT JOIN (SELECT vec_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(c), ln(r)) END AS cd FROM c WHERE c > 0 AND r > 0 GROUP BY vec_id) k ON k.vec_id = sd.vec_id"""
