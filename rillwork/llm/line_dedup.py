@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, semi, table
+from rillwork.llm.store import cut, fresh, semi, table
 
 #: Lines shorter than this many characters must be equal; from here on one edit is allowed.
 NEAR_FROM = 12
@@ -13,14 +13,31 @@ NEAR_FROM = 12
 PARTS = 16
 
 
+def _spaced(text: str) -> str:
+    """SQL for a text whose tabs and other white space but line feeds are spaces; untouched where it has none."""
+    for c in ("\\t", "\\r", "\\f", "\\u000b"):
+        text = f"replace({text}, '{c}', ' ')"
+    return text
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, line_id) of lines that aren't blank; tabs and the like count as spaces, those at the
     ends are cut off. line_id is a 64-bit hash of the line."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    clean = split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim(F.translate("line", "\t\r\f\x0b", "    ")).alias("line"))
+    split = docs.select("doc_id", F.posexplode(F.split(F.expr(_spaced("text")), "\n")).alias("line_no", "line"))
+    clean = split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line"))
     return clean.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line_id, keys): what all but the last steps need of a line; keys are those of _pieces() for two
+    parts, null for a line that must be equal."""
+    lines = lines_of(docs).withColumn("n", F.length("line"))
+    key = "xxhash64({m}, {part}, {text})"
+    parts = [key.format(m=m, part=0, text=f"right(line, {m} - {m} div 2)") + ", " + key.format(m=m, part=1, text=f"left(line, cast({m} div 2 as int))") for m in ("n", "(n - 1)")]
+    keys = F.when(F.col("n") >= NEAR_FROM, F.expr(f"array({', '.join(parts)})"))
+    return lines.select("doc_id", "line_no", "line_id", keys.alias("keys"))
+
+
 def _pieces(lines: DataFrame, parts: int, *keep: str) -> DataFrame:
     """For m = n - 1 and n (n the length) and for every part of a line cut in `parts`: rest, a hash of all outside it.
 
@@ -42,10 +59,10 @@ def _sharing(keys: DataFrame) -> DataFrame:
     return semi(keys, shared, "rest", shared.count())
 
 
-def later_neighbours(lines: DataFrame) -> DataFrame:
+def later_neighbours(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """line_id of the distinct lines that are one edit away from a line that begins earlier.
 
-    lines: doc_id, line_no, line, line_id; one row per occurrence.
+    lines: keyed_lines(docs), materialised.
 
     Two lines are one edit apart if a deletion makes them equal: the same character of both (a substitution) or one
     of the longer (an insertion). A line's variants are emitted only where it can meet another: where two lines agree
@@ -53,9 +70,8 @@ def later_neighbours(lines: DataFrame) -> DataFrame:
     sixteenth. Lines of one substitution key are all one edit apart, so each is compared with the earliest of them; of
     an insertion key the shorter line is unique. So pairs stay linear in the lines, and each is verified.
     """
-    long = lines.where(F.length("line") >= NEAR_FROM)
-    some = cut(_sharing(_pieces(long, 2, "line_id").select("line_id", "rest")).select("line_id").distinct())
-    texts = semi(long, some, "line_id", some.count())
+    some = cut(_sharing(lines.where("keys is not null").select("line_id", F.explode("keys").alias("rest"))).select("line_id").distinct())
+    texts = semi(lines_of(docs), some, "line_id", some.count())
     texts = cut(texts.groupBy("line_id").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("first")))
     places = _sharing(_pieces(texts, PARTS, "line_id").select("line_id", "m", "part", "rest"))
     alike = places.drop("rest").join(_pieces(texts, PARTS, "line_id", "first"), ["line_id", "m", "part"])
@@ -83,20 +99,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id and then by place in the text. That the earlier line goes itself makes no difference. White space at a
     line's ends doesn't count; blank lines stay and aren't counted. Other columns are left as they are, but for
     columns named n_lines or n_dropped, which are replaced. A null text stays null with 0 lines, an empty one empty.
-    Rows with one doc_id are taken as one document, so a row that repeats keeps its lines. A null doc_id comes first
-    and such a text loses nothing. Everything is Spark's own expressions; keys are 64-bit hashes.
+    Rows with one doc_id are taken as one document: a row that repeats counts its lines twice and keeps them. A null
+    doc_id comes first, its lines stay, and its n_lines is 0. Everything is Spark's own expressions; keys are 64-bit hashes.
     """
-    lines = lines_of(docs.select("doc_id", "text"))
-    later = cut(later_neighbours(lines))
-    first = lines.groupBy("line_id").agg(F.min("doc_id").alias("d"), F.min_by("line_no", F.struct("doc_id", "line_no")).alias("n"), F.count("*").alias("copies"))
-    known = first.where("copies > 1").select("line_id", "d", "n").join(later.withColumn("near", F.lit(True)), "line_id", "full")
-    gone = lines.select("doc_id", "line_no", "line_id").join(known, "line_id").where("near or doc_id <> d or line_no <> n")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.expr("filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, cast(i as bigint)))")
-    counted = F.expr("coalesce(size(filter(split(text, '\\n'), x -> trim(translate(x, '\\t\\r\\f\\u000b', '    ')) <> '')), 0)").cast("long")
-    out = docs.drop("n_lines", "n_dropped").join(per_doc, "doc_id", "left")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(counted).cast("long")).withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    texts = docs.select("doc_id", "text")
+    lines = cut(keyed_lines(texts))
+    later = cut(later_neighbours(lines, texts))
+    in_doc = cut(lines.groupBy("line_id", "doc_id").agg(F.min("line_no").alias("n"), F.count("*").alias("c")))
+    spread = in_doc.groupBy("line_id").agg(F.min("doc_id").alias("d"), F.count("*").alias("docs"), F.max(F.col("doc_id").isNull()).alias("bare"))
+    known = spread.where("docs > 1").select("line_id", F.when(~F.col("bare"), F.col("d")).alias("d")).join(later.withColumn("near", F.lit(True)), "line_id", "full")
+    marks = lines.select("line_id", "doc_id", "line_no")
+    gone = marks.join(known, "line_id").where("near or not (doc_id <=> d)").unionByName(marks.join(in_doc.where("c > 1").drop("c"), ["line_id", "doc_id"]).where("line_no <> n"), allowMissingColumns=True)
+    base = docs.drop("n_lines", "n_dropped")
+    numbers, total = fresh(base, "gone"), fresh(base, "total")
+    n_lines = in_doc.groupBy("doc_id").agg(F.sum("c").alias(total))
+    per_doc = n_lines.join(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)), "doc_id", "left").hint("shuffle_hash")
+    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> not array_contains({numbers}, cast(i as bigint)))")
+    out = base.join(per_doc, "doc_id", "left")
+    out = out.withColumn("n_lines", F.coalesce(total, F.lit(0).cast("long"))).withColumn("n_dropped", F.coalesce(F.size(numbers), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
