@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.store import BROADCAST_IDS, cut, table
-from rillwork.llm.text import decoded
+from rillwork.llm.text import decoded, mix
 
 #: Characters of the longest n-gram.
 ORDER = 5
@@ -33,33 +34,56 @@ def places(word: str, order: int = ORDER) -> list[str]:
     return [e[max(0, i - order + 1) : i + 1] for i in range(1, len(e))]
 
 
+class Places:
+    """places() of many words at once: their edged text, and for each place its word, where its gram begins and ends
+    in the text, and a 64-bit hash of the gram."""
+
+    def __init__(self, words: list[str], order: int = ORDER):
+        self.text = "".join([FIRST + w + LAST for w in words])
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        first = np.cumsum(sizes) - sizes
+        self.sizes = sizes - 1
+        self.word = np.repeat(np.arange(len(words)), self.sizes)
+        inner = np.ones(len(points), bool)
+        inner[first] = False
+        self.end = np.flatnonzero(inner)
+        self.begin = np.maximum(self.end - order + 1, first[self.word])
+        h = np.zeros(len(self.end), np.uint64)
+        for j in range(order):
+            at = self.begin + j
+            live = at <= self.end
+            h = np.where(live, (h ^ points[np.minimum(at, self.end)]) * np.uint64(0x9E3779B97F4A7C15), h)
+            h ^= h >> np.uint64(29)
+        self.hash = mix(h)
+
+    def gram(self, i: int) -> str:
+        return self.text[self.begin[i] : self.end[i] + 1]
+
+
 def window_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, trusted, seen): how often each n-gram of words() ends a place, in trusted and in all documents.
 
     docs: lang, trusted, text. Each task adds up words, then their n-grams, before the shuffle."""
 
     def run(batches):
-        words: Counter[tuple] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            total: dict[tuple, list[int]] = {}
-            for (lang, trusted, word), k in words.items():
-                for gram in places(word, order):
-                    n = total.setdefault((lang, gram), [0, 0])
-                    n[0] += k * trusted
-                    n[1] += k
+        words: dict[tuple, Counter] = {}
+
+        def rows():
+            for (lang, trusted), counts in words.items():
+                p = Places(list(counts), order)
+                _, first, kind = np.unique(p.hash, return_index=True, return_inverse=True)
+                seen = np.bincount(kind, np.fromiter(counts.values(), np.float64, len(counts))[p.word], len(first)).astype(np.int64)
+                grams = [p.gram(i) for i in first]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(seen * trusted), pa.array(seen)], ["lang", "gram", "trusted", "seen"])
             words.clear()
-            langs, grams = zip(*total, strict=True) if total else ((), ())
-            n, m = zip(*total.values(), strict=True) if total else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["lang", "gram", "trusted", "seen"])
 
         for batch in batches:
             for lang, trusted, text in zip(batch.column("lang").to_pylist(), batch.column("trusted").to_pylist(), decoded(batch), strict=True):
-                for w, k in Counter(text.split()).items():
-                    words[lang, trusted, w] += k
-                if len(words) >= FLUSH:
-                    yield rows()
-        yield rows()
+                words.setdefault((lang, trusted), Counter()).update(text.split())
+                if sum(map(len, words.values())) >= FLUSH:
+                    yield from rows()
+        yield from rows()
 
     found = docs.select("lang", "trusted", "text").mapInArrow(run, "lang string, gram string, trusted long, seen long")
     return found.groupBy("lang", "gram").agg(F.sum("trusted").alias("trusted"), F.sum("seen").alias("seen"))
@@ -103,43 +127,94 @@ def kneser_ney(windows: DataFrame, order: int = ORDER) -> DataFrame:
     return steps.join(uniform, "lang").select("lang", F.col("w").alias("gram"), "seen", F.log(p).alias("logp"))
 
 
+class _Head:
+    """The broadcast n-grams, and what a task has worked out of words with them."""
+
+    def __init__(self, top: pa.Table, order: int):
+        self.order, self.head, self.known = order, {}, {}
+        langs = np.array(top["lang"].to_pylist(), object)
+        grams, logp = np.array(top["gram"].to_pylist(), object), top["logp"].to_numpy()
+        for lang in set(langs):
+            mine = np.flatnonzero(langs == lang)
+            h = _gram_hashes(list(grams[mine]), order)
+            by = np.argsort(h)
+            self.head[lang] = h[by], logp[mine][by]
+
+    def learn(self, docs: list[tuple]) -> None:
+        """Scores the words of some documents that aren't known yet, all at once."""
+        for lang in {d[1] for d in docs}:
+            table = self.known.get(lang)
+            if table is None or len(table[0]) > FLUSH:
+                table = self.known[lang] = ({}, [], [], {})
+            at, logs, sizes, rare = table
+            new = list({w for d in docs if d[1] == lang for w in d[3] if w not in at})
+            if not new:
+                continue
+            p = Places(new, self.order)
+            hashes, logp = self.head.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
+            k = np.minimum(np.searchsorted(hashes, p.hash), max(len(hashes) - 1, 0))
+            hit = hashes[k] == p.hash if len(hashes) else np.zeros(len(p.hash), bool)
+            total = np.bincount(p.word, np.where(hit, logp[k], 0.0), len(new)) if len(hashes) else np.zeros(len(new))
+            base = len(at)
+            for i in np.flatnonzero(~hit):
+                rare.setdefault(base + int(p.word[i]), []).append(p.gram(i))
+            at.update(zip(new, range(base, base + len(new)), strict=True))
+            logs.append(total)
+            sizes.append(p.sizes)
+            if len(logs) > 1:
+                logs[:], sizes[:] = [np.concatenate(logs)], [np.concatenate(sizes)]
+
+    def score(self, lang: str, words: list[str]) -> tuple[int, float, Counter]:
+        """Characters, log probability of the known n-grams, and the others with their counts."""
+        at, logs, sizes, rare = self.known[lang]
+        if not words:
+            return 0, 0.0, Counter()
+        index = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        left: Counter = Counter()
+        if rare:
+            for i in index.tolist():
+                if i in rare:
+                    left.update(rare[i])
+        return int(sizes[0][index].sum()), float(logs[0][index].sum()), left
+
+
+def _gram_hashes(grams: list[str], order: int) -> np.ndarray:
+    """The hash that Places gives a gram: of the gram alone, wherever it stands."""
+    text = "".join(grams)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    first = np.cumsum(sizes) - sizes
+    h = np.zeros(len(grams), np.uint64)
+    for j in range(order):
+        live = j < sizes
+        h = np.where(live, (h ^ points[np.minimum(first + j, len(points) - 1)]) * np.uint64(0x9E3779B97F4A7C15), h)
+        h ^= h >> np.uint64(29)
+    return mix(h)
+
+
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, head: int = HEAD) -> DataFrame:
     """(rid, doc_id, lang, trusted, n_chars, log_prob) per row of docs (doc_id, lang, trusted, text).
 
     n_chars counts the characters of words and their ends. Documents' n-gram counts meet the model in two ways: the
     `head` most frequent n-grams through a broadcast of that size, all others through a join by (lang, gram)."""
-    frequent: dict[str, dict[str, float]] = {}
-    for r in model.orderBy(F.desc("seen"), "lang", "gram").limit(head).toLocalIterator():
-        frequent.setdefault(r["lang"], {})[r["gram"]] = r["logp"]
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    top = model.orderBy(F.desc("seen"), "lang", "gram").limit(head).select("lang", "gram", "logp").toArrow()
+    held = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
-        row, known = TaskContext.get().partitionId() << 33, {}
+        row, head = TaskContext.get().partitionId() << 33, _Head(held.value, order)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-
-            def put(*values, out=out) -> None:
-                for c, v in zip(out, values, strict=True):
-                    c.append(v)
-
-            for doc, lang, trusted, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), decoded(batch), strict=True):
-                row, total, chars, rare = row + 1, 0.0, 0, Counter()
-                of = held.value.get(lang, {})
-                if len(known) > FLUSH:
-                    known.clear()
-                for w, k in Counter(text.split()).items():
-                    hit = known.get((lang, w))
-                    if hit is None:
-                        grams = places(w, order)
-                        hit = math.fsum(of.get(g, 0.0) for g in grams), len(grams), [g for g in grams if g not in of]
-                        known[lang, w] = hit
-                    total += k * hit[0]
-                    chars += k * hit[1]
-                    for g in hit[2]:
-                        rare[g] += k
-                for g, k in rare.items():
-                    put(row, lang, g, k, None, None, None, None)
-                put(row, lang, f"{row}", 1, doc, trusted, chars, total)
+            of = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), map(str.split, decoded(batch)), strict=True)
+            while some := list(islice(of, 256)):
+                head.learn(some)
+                for doc, lang, trusted, words in some:
+                    row += 1
+                    chars, known, rare = head.score(lang, words)
+                    for g, k in rare.items():
+                        for c, v in zip(out, (row, lang, g, k, None, None, None, None), strict=True):
+                            c.append(v)
+                    for c, v in zip(out, (row, lang, f"{row}", 1, doc, trusted, chars, known), strict=True):
+                        c.append(v)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "lang", "gram", "times", "doc_id", "trusted", "n_chars", "known"])
 
