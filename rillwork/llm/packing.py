@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import random
+import re
 import zlib
 from functools import cache
 
@@ -18,39 +19,65 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs together.
 GROUP = 16_384
-#: Entries and characters that a worker's table of encoded words may hold before it is emptied.
-WORDS, LONGEST = 300_000, 64
-
-
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Entries that a worker's two tables of encoded strings may hold before one is emptied, and their longest string.
+WORDS, LONGEST = 500_000, 64
+#: What lies between white space and is sure to be cut by _PARTS as by the vocabulary: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: the vocabulary's own pattern for pre-tokens, for such strings in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class _Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. The vocabulary drops white space before it merges, so what
-    lies between ASCII white space is encoded once by the library and remembered."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    The vocabulary drops white space before it merges, so each string between ASCII white space is encoded alone and
+    remembered, and so are the pre-tokens of plain ones, which go to the library's merges directly, their bytes
+    spelled as the vocabulary spells them. All ids come from the library; a worker keeps its tables."""
 
     def __init__(self, path: str):
-        self.encode, self.known = _tokenizer(path).encode, {}
-
-    def missing(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            self.known[word] = ids
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.strings, self.parts = tokenizer.encode, tokenizer.model.tokenize, {}, {}
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+        other = iter(range(256, 512))
+        self.spelled = [chr(b if b in shown else next(other)) for b in range(256)]
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, word: str) -> bytes:
+        found = self.parts.get(word)
+        if found is None:
+            spelled = word if word.isascii() else "".join([self.spelled[b] for b in word.encode()])
+            found = np.array([t.id for t in self.merge(spelled)], "<u4").tobytes()
+            if len(word) <= LONGEST:
+                if len(self.parts) >= WORDS:
+                    self.parts.clear()
+                self.parts[word] = found
+        return found
+
+    def missing(self, string: str) -> bytes:
+        if _PLAIN.fullmatch(string) and "<|" not in string:
+            ids = b"".join(map(self.part, _PARTS.findall(string.lower())))
+        else:
+            ids = self.ids(string) if string else b""
+        if len(string) <= LONGEST:
+            if len(self.strings) >= WORDS:
+                self.strings.clear()
+            self.strings[string] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
-        get, missing = self.known.get, self.missing
-        words = text.translate(_SPACES).split(" ")
-        return b"".join([x if (x := get(w)) is not None else missing(w) for w in words])
+        get, missing = self.strings.get, self.missing
+        for c in "\t\n\x0b\x0c\r":
+            text = text.replace(c, " ")
+        return b"".join([x if (x := get(w)) is not None else missing(w) for w in text.split(" ")])
 
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def default_tokenizer() -> str:
@@ -64,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     the capacity; a null text is empty."""
 
     def run(batches):
-        encoder, end = _Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
