@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from rillwork.llm.store import cut, table
 from rillwork.llm.text import decoded
 
-#: The most frequent pre-tokens, of at most LONGEST characters, that are broadcast with their counts (under 20 MB).
-HEAD, LONGEST = 65_536, 64
+#: The most frequent pre-tokens, of at most LONGEST characters, that are broadcast with their counts (under 70 MB).
+HEAD, LONGEST = 262_144, 64
 #: Distinct pre-tokens that a task adds up before it passes them on.
-FLUSH = 200_000
+FLUSH = 400_000
 LIMIT = 4096
 
 _CHUNK = re.compile(" *[^ ]+| +")
