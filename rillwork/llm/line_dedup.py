@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, fresh, semi, table
+from rillwork.llm.store import cut, fresh, keep, semi, table
 
 #: Lines shorter than this many characters must be equal; from here on one edit is allowed.
 NEAR_FROM = 12
@@ -103,9 +103,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id comes first, its lines stay, and its n_lines is 0. Everything is Spark's own expressions; keys are 64-bit hashes.
     """
     texts = docs.select("doc_id", "text")
-    lines = cut(keyed_lines(texts))
+    lines = keep(keyed_lines(texts))
     later = cut(later_neighbours(lines, texts))
-    in_doc = cut(lines.groupBy("line_id", "doc_id").agg(F.min("line_no").alias("n"), F.count("*").alias("c")))
+    in_doc = keep(lines.groupBy("line_id", "doc_id").agg(F.min("line_no").alias("n"), F.count("*").alias("c")))
     spread = in_doc.groupBy("line_id").agg(F.min("doc_id").alias("d"), F.count("*").alias("docs"), F.max(F.col("doc_id").isNull()).alias("bare"))
     known = spread.where("docs > 1").select("line_id", F.when(~F.col("bare"), F.col("d")).alias("d")).join(later.withColumn("near", F.lit(True)), "line_id", "full")
     marks = lines.select("line_id", "doc_id", "line_no")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder: a third of a checkpoint's size for many narrow rows. Like all
+    else there, it stays until the cluster clears that folder."""
+    where = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in map(str.lower, df.columns):
