@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import connected_components
-from rillwork.llm.store import cut, semi
+from rillwork.llm.store import cut, keep, semi
 from rillwork.llm.text import U64, Texts, blocks, column, distinct, jaccard_parts, per_batch
 
 
@@ -74,7 +74,7 @@ def near_components(items: DataFrame, texts: DataFrame, percent: int = 75) -> Da
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = items.select("id", "n", F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("n", "id").alias("nh")).where("hub <> last").drop("last")
-    members = cut(rows.join(hubs, "key").select("key", "id", "n", "hub", "nh"))
+    members = keep(rows.join(hubs, "key").select("key", "id", "n", "hub", "nh"))
     stars = cut(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")).distinct().where(fits).select("a", "b"))
     links = cut(verified(stars, texts, percent))
     labels = cut(connected_components(links))

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.linking import near_components
-from rillwork.llm.store import cut, fresh, table
+from rillwork.llm.store import fresh, keep, table
 from rillwork.llm.text import U64, Texts, band_keys, blocks, circulant, mix, per_batch
 
 #: A paragraph begins at a line or where the hash of two words is the least among its RADIUS neighbours on both sides.
 RADIUS = 5
 #: Paragraphs of fewer words are not compared; runs of repeated paragraphs of fewer words are not reported.
 LEAST_WORDS, RUN_WORDS = 6, 15
-#: One coordinate a band: at a similarity of 0.75 two paragraphs share no band with probability 0.4 percent.
-BANDS = 4
+#: Equal paragraphs share every band; at a similarity of 0.75 two share none with probability 1.6 percent, at 0.9 0.02
+#: percent. A single coordinate a band would miss less, but then every common phrase makes a bucket.
+BANDS, ROWS = 5, 2
 #: Bits of the filter that thins the second scan; its size never changes, its misses cost time only.
 FILTER_BITS = 27
 #: Words that may lie between two repeated paragraphs of one passage.
@@ -64,7 +65,7 @@ def _compared(t: Texts):
     inside = h[np.repeat(first - at[:-1], counts) + np.arange(at[-1])]
     place = np.arange(at[-1]) - np.repeat(at[:-1], counts)
     same = mix(np.add.reduceat(mix(inside + (place.astype(U64) << U64(1))), at[:-1]) + counts.astype(U64))
-    return first, last, text, same.view(np.int64), band_keys(circulant(inside, at, BANDS), BANDS, 1)
+    return first, last, text, same.view(np.int64), band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _occurrences(docs: DataFrame, bitmap) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, ids = bitmap.value, batch.column("doc_id").to_pylist()
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in _NAMES]
         for i, _, t in blocks(batch):
             first, last, text, same, keys = _compared(t)
             low = keys.view(U64) & U64((1 << FILTER_BITS) - 1)
@@ -99,24 +100,23 @@ def _occurrences(docs: DataFrame, bitmap) -> DataFrame:
                 continue
             points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
             a, b, r = t.start[first[some]], t.end[last[some] - 1], text[some]
-            begin = points[a] - points[t.offsets[r]]
-            whole = t.data.tobytes()
+            whole, zero = t.data.tobytes(), points[t.offsets[r]]
+            numbers = [first[some] - t.at[r], last[some] - t.at[r], points[a] - zero, points[b] - zero, same[some], last[some] - first[some] - 4, *keys[some].T]
             out[0] += [ids[i + x] for x in r]
-            for k, v in enumerate((first[some] - t.at[r], last[some] - t.at[r], begin, points[b] - points[t.offsets[r]], same[some], last[some] - first[some] - 4), 1):
-                out[k] += v.tolist()
-            out[7] += keys[some].tolist()
-            out[8] += [whole[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)]
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int64()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _NAMES)
+            for c, v in zip(out[1:], numbers, strict=False):
+                c += v.tolist()
+            out[-1] += [whole[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for c, n in zip(out, _NAMES, strict=True)], _NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run), "doc_id long, w0 long, w1 long, c0 long, c1 long, id long, n long, keys array<long>, text string")
+    return docs.select("doc_id", "text").mapInArrow(per_batch(run), ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in _NAMES))
 
 
-_NAMES = ["doc_id", "w0", "w1", "c0", "c1", "id", "n", "keys", "text"]
+_KEYS = [f"k{i}" for i in range(BANDS)]
+_NAMES = ["doc_id", "w0", "w1", "c0", "c1", "id", "n", *_KEYS, "text"]
 
 
 def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, start, length, n_words, cluster_id, n_docs, removed: the passages that occur in several documents.
+    """doc_id, start, length, n_words, cluster_id, n_places, removed: the passages that occur in several documents.
 
     docs: doc_id, text; other columns are left alone. Documents are cut into paragraphs at line ends and, inside long
     lines, where the words themselves say so (see RADIUS), so a passage is found wherever in a line it stands.
@@ -124,26 +124,28 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     find candidates, whole sets verify them, and linked paragraphs form components. A component that touches more
     than one document is a cluster; its earliest paragraph, by doc_id and place, stays and the others are removed.
     Neighbouring paragraphs of a document with one fate make one passage, reported from 15 words on: start and length
-    in characters, cluster_id the least of its clusters, n_docs the greatest number of documents of one of them.
+    in characters, cluster_id the least of its clusters, n_places how often the most frequent of them occurs.
     Nulls, empty texts and texts without words have no passages; a row that repeats is the same document; an empty
     table gives no rows; a null doc_id is ignored.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     shared = _keys(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    found = cut(_occurrences(docs, bitmap))
-    classes = cut(found.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("text").alias("text"), F.min(F.struct("doc_id", "w0")).alias("first"), F.max("doc_id").alias("last_doc"), F.approx_count_distinct("doc_id").alias("docs")))
-    linked = near_components(classes.select("id", "n", "keys"), classes.select("id", "text"), percent)
-    named = classes.select("id", "first", "last_doc", "docs").join(linked, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.max("last_doc").alias("last_doc"), F.sum("docs").alias("n_docs")).where("first.doc_id <> last_doc")
-    of_class = named.select("id", "label").join(clusters.select("label", "first", "n_docs"), "label")
-    hit = found.select("doc_id", "w0", "w1", "c0", "c1", "id").distinct().join(of_class, "id")
-    hit = hit.withColumn("removed", ~((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.w0") == F.col("w0"))))
+    found = keep(_occurrences(docs, bitmap))
+    firsts = [F.first(c).alias(c) for c in ("n", *_KEYS)]
+    classes = keep(found.groupBy("id").agg(*firsts, F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")))
+    linked = near_components(classes.select("id", "n", F.array(*_KEYS).alias("keys")), found.select("id", "text"), percent)
+    named = classes.select("id", "first_doc", "last_doc", "places").join(linked, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    clusters = named.groupBy("label").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("places").alias("n_places")).where("first_doc <> last_doc").drop("last_doc")
+    of_class = named.select("id", "label").join(clusters, "label")
+    hit = keep(found.select("doc_id", "w0", "w1", "c0", "c1", "id").join(of_class, "id").drop("id").distinct())
+    earliest = hit.where("doc_id = first_doc").groupBy("label").agg(F.min("w0").alias("first_w0"))
+    hit = hit.join(earliest, "label").withColumn("removed", (F.col("doc_id") != F.col("first_doc")) | (F.col("w0") != F.col("first_w0")))
     order = Window.partitionBy("doc_id").orderBy("w0")
     new = F.coalesce((F.col("w0") - F.lag("w1").over(order) > GAP) | (F.lag("removed").over(order) != F.col("removed")), F.lit(True))
     runs = hit.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
-    out = runs.groupBy("doc_id", "run", "removed").agg(F.min("c0").alias("start"), (F.max("c1") - F.min("c0")).alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_docs").alias("n_docs"))
-    return out.where(F.col("n_words") >= RUN_WORDS).select("doc_id", "start", "length", "n_words", "cluster_id", "n_docs", "removed")
+    out = runs.groupBy("doc_id", "run", "removed").agg(F.min("c0").alias("start"), (F.max("c1") - F.min("c0")).alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_places").alias("n_places"))
+    return out.where(F.col("n_words") >= RUN_WORDS).select("doc_id", "start", "length", "n_words", "cluster_id", "n_places", "removed")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
