@@ -1,4 +1,5 @@
-"""A quality classifier: interpolated modified Kneser-Ney perplexity against trusted text."""
+"""A quality classifier: interpolated modified Kneser-Ney perplexity against trusted text, and the word that speaks most for
+labelled bad text."""
 
 from __future__ import annotations
 
@@ -11,14 +12,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import BROADCAST_IDS, cut, table
+from rillwork.llm.store import BROADCAST_IDS, cut, keep, table
 from rillwork.llm.text import decoded, mix
 
 #: Characters of the longest n-gram.
 ORDER = 5
-#: A language's threshold is this quantile of its trusted documents' perplexities.
-QUANTILE = 0.99
-#: Steps of log perplexity in which quantiles are counted.
+#: Thresholds are these quantiles of trusted documents' perplexities, less their language's median, and worst words. They are
+#: taken over all languages, as a few dozen documents of one tell no such quantile.
+QUANTILE, WORST_QUANTILE = 0.99, 0.98
+#: Labelled documents that no model learns from; thresholds are fitted on the trusted ones of them. A language with fewer
+#: than LEAST_HELD trusted ones among them has too few to tell a median: it learns from and is fitted on all.
+HELD_OUT, LEAST_HELD = "coalesce(crc32(cast(doc_id as string)) % 8 = 0, false)", 20
+#: Steps of log perplexity, and of a worst word's log ratio, in which quantiles are counted.
 STEP = 1e-3
 #: The most frequent n-grams, whose probabilities are broadcast (under 20 MB); all others are joined.
 HEAD = 262_144
@@ -62,31 +67,34 @@ class Places:
 
 
 def window_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, trusted, seen): how often each n-gram of words() ends a place, in trusted and in all documents.
+    """(lang, gram, trusted, bad, seen): how often each n-gram of words() ends a place, in trusted, in bad and in all
+    documents.
 
-    docs: lang, trusted, text. Each task adds up words, then their n-grams, before the shuffle."""
+    docs: lang, trusted, text and, where there are any, bad. Each task adds up words, then their n-grams, before the
+    shuffle."""
 
     def run(batches):
         words: dict[tuple, Counter] = {}
 
         def rows():
-            for (lang, trusted), counts in words.items():
+            for (lang, trusted, bad), counts in words.items():
                 p = Places(list(counts), order)
                 _, first, kind = np.unique(p.hash, return_index=True, return_inverse=True)
                 seen = np.bincount(kind, np.fromiter(counts.values(), np.float64, len(counts))[p.word], len(first)).astype(np.int64)
                 grams = [p.gram(i) for i in first]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(seen * trusted), pa.array(seen)], ["lang", "gram", "trusted", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(seen * trusted), pa.array(seen * bad), pa.array(seen)], ["lang", "gram", "trusted", "bad", "seen"])
             words.clear()
 
         for batch in batches:
-            for lang, trusted, text in zip(batch.column("lang").to_pylist(), batch.column("trusted").to_pylist(), decoded(batch), strict=True):
-                words.setdefault((lang, trusted), Counter()).update(text.split())
+            for lang, trusted, bad, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "trusted", "bad")), decoded(batch), strict=True):
+                words.setdefault((lang, trusted, bad), Counter()).update(text.split())
                 if sum(map(len, words.values())) >= FLUSH:
                     yield from rows()
         yield from rows()
 
-    found = docs.select("lang", "trusted", "text").mapInArrow(run, "lang string, gram string, trusted long, seen long")
-    return found.groupBy("lang", "gram").agg(F.sum("trusted").alias("trusted"), F.sum("seen").alias("seen"))
+    bad = F.col("bad") if "bad" in docs.columns else F.lit(False).alias("bad")
+    found = docs.select("lang", "trusted", bad, "text").mapInArrow(run, "lang string, gram string, trusted long, bad long, seen long")
+    return found.groupBy("lang", "gram").agg(F.sum("trusted").alias("trusted"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
 
 
 def kneser_ney(windows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -104,17 +112,17 @@ def kneser_ney(windows: DataFrame, order: int = ORDER) -> DataFrame:
     learned = windows.where("trusted > 0")
     suffixes = learned.select("lang", "gram", "trusted", F.explode(F.expr("sequence(1, length(gram))")).alias("n"))
     exact = suffixes.groupBy("lang", "n", F.expr("right(gram, n)").alias("gram")).agg(F.sum("trusted").alias("c"))
-    exact = cut(exact)
+    exact = keep(exact)
     before = exact.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.expr("right(gram, n - 1)").alias("gram")).agg(F.count("*").alias("kinds"))
     own = F.when((F.col("n") == order) | F.col("gram").startswith(FIRST), F.col("c")).otherwise(F.col("kinds"))
-    counts = cut(exact.join(before, ["lang", "n", "gram"], "left").select("lang", "n", "gram", own.alias("c")).where("c > 0"))
+    counts = keep(exact.join(before, ["lang", "n", "gram"], "left").select("lang", "n", "gram", own.alias("c")).where("c > 0"))
     found = counts.groupBy("lang", "n").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y, good = F.expr("try_divide(n1, n1 + 2.0 * n2)"), F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
     ratio = lambda k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
     discounts = found.select("lang", "n", *[F.when(good & (ratio(k) > 0), ratio(k)).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)])
     held = F.least(F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"), F.col("c").cast("double"))
     shaped = counts.join(discounts, ["lang", "n"]).select("lang", "n", "gram", "c", held.alias("d"), F.expr("left(gram, n - 1)").alias("context"))
-    contexts = cut(shaped.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held")))
+    contexts = keep(shaped.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held")))
     shares = shaped.join(contexts, ["lang", "n", "context"]).select("lang", "n", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
 
     needed = windows.select("lang", F.col("gram").alias("w"), "seen", F.explode(F.expr("sequence(1, length(gram))")).alias("n")).withColumn("gram", F.expr("right(w, n)"))
@@ -133,49 +141,49 @@ class _Head:
     def __init__(self, top: pa.Table, order: int):
         self.order, self.head, self.known = order, {}, {}
         langs = np.array(top["lang"].to_pylist(), object)
-        grams, logp = np.array(top["gram"].to_pylist(), object), top["logp"].to_numpy()
+        grams, logp, ratio = np.array(top["gram"].to_pylist(), object), top["logp"].to_numpy(), top["ratio"].to_numpy()
         for lang in set(langs):
             mine = np.flatnonzero(langs == lang)
             h = _gram_hashes(list(grams[mine]), order)
             by = np.argsort(h)
-            self.head[lang] = h[by], logp[mine][by]
+            self.head[lang] = h[by], logp[mine][by], ratio[mine][by]
 
     def learn(self, docs: list[tuple]) -> None:
         """Scores the words of some documents that aren't known yet, all at once."""
         for lang in {d[1] for d in docs}:
             table = self.known.get(lang)
             if table is None or len(table[0]) > FLUSH:
-                table = self.known[lang] = ({}, [], [], {})
-            at, logs, sizes, rare = table
+                table = self.known[lang] = ({}, [], [], {}, [])
+            at, logs, sizes, rare, ratios = table
             new = list({w for d in docs if d[1] == lang for w in d[3] if w not in at})
             if not new:
                 continue
             p = Places(new, self.order)
-            hashes, logp = self.head.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
+            hashes, logp, ratio = self.head.get(lang, (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
             k = np.minimum(np.searchsorted(hashes, p.hash), max(len(hashes) - 1, 0))
             hit = hashes[k] == p.hash if len(hashes) else np.zeros(len(p.hash), bool)
-            total = np.bincount(p.word, np.where(hit, logp[k], 0.0), len(new)) if len(hashes) else np.zeros(len(new))
+            total, apart = (np.bincount(p.word, np.where(hit, x[k], 0.0), len(new)) if len(hashes) else np.zeros(len(new)) for x in (logp, ratio))
             base = len(at)
             for i in np.flatnonzero(~hit):
                 rare.setdefault(base + int(p.word[i]), []).append(p.gram(i))
             at.update(zip(new, range(base, base + len(new)), strict=True))
             logs.append(total)
             sizes.append(p.sizes)
+            ratios.append(apart)
             if len(logs) > 1:
-                logs[:], sizes[:] = [np.concatenate(logs)], [np.concatenate(sizes)]
+                logs[:], sizes[:], ratios[:] = [np.concatenate(logs)], [np.concatenate(sizes)], [np.concatenate(ratios)]
 
-    def score(self, lang: str, words: list[str]) -> tuple[int, float, Counter]:
-        """Characters, log probability of the known n-grams, and the others with their counts."""
-        at, logs, sizes, rare = self.known[lang]
+    def score(self, lang: str, words: list[str]) -> tuple[int, float, float | None, list[tuple[int, float, list[str]]]]:
+        """Characters, log probability of the known n-grams, the greatest log ratio of a word whose n-grams are all known,
+        and of each other word how often it occurs, its known log ratio and its other n-grams."""
+        at, logs, sizes, rare, ratios = self.known[lang]
         if not words:
-            return 0, 0.0, Counter()
+            return 0, 0.0, None, []
         index = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        left: Counter = Counter()
-        if rare:
-            for i in index.tolist():
-                if i in rare:
-                    left.update(rare[i])
-        return int(sizes[0][index].sum()), float(logs[0][index].sum()), left
+        left = Counter(i for i in index.tolist() if i in rare) if rare else Counter()
+        whole = index[~np.isin(index, list(left))] if left else index
+        worst = float(ratios[0][whole].max()) if len(whole) else None
+        return int(sizes[0][index].sum()), float(logs[0][index].sum()), worst, [(k, float(ratios[0][i]), rare[i]) for i, k in left.items()]
 
 
 def _gram_hashes(grams: list[str], order: int) -> np.ndarray:
@@ -193,63 +201,95 @@ def _gram_hashes(grams: list[str], order: int) -> np.ndarray:
 
 
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, head: int = HEAD) -> DataFrame:
-    """(rid, doc_id, lang, trusted, n_chars, log_prob) per row of docs (doc_id, lang, trusted, text).
-
-    n_chars counts the characters of words and their ends. Documents' n-gram counts meet the model in two ways: the
-    `head` most frequent n-grams through a broadcast of that size, all others through a join by (lang, gram)."""
-    top = model.orderBy(F.desc("seen"), "lang", "gram").limit(head).select("lang", "gram", "logp").toArrow()
+    """(rid, doc_id, lang, trusted, n_chars, log_prob, worst) per row of docs (doc_id, lang, trusted, text).
+
+    n_chars counts the characters of words and their ends. worst is the greatest sum of the model's ratio over one word, or
+    0 where the model has no ratio. Documents' n-grams meet the model in two ways: the `head` most frequent n-grams
+    through a broadcast of that size, all others, word by word, through a join by (lang, gram)."""
+    if "ratio" not in model.columns:
+        model = model.withColumn("ratio", F.lit(0.0))
+    top = model.orderBy(F.desc("seen"), "lang", "gram").limit(head).select("lang", "gram", "logp", "ratio").toArrow()
     held = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
         row, head = TaskContext.get().partitionId() << 33, _Head(held.value, order)
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(10)]
             of = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), map(str.split, decoded(batch)), strict=True)
             while some := list(islice(of, 256)):
                 head.learn(some)
                 for doc, lang, trusted, words in some:
                     row += 1
-                    chars, known, rare = head.score(lang, words)
-                    for g, k in rare.items():
-                        for c, v in zip(out, (row, lang, g, k, None, None, None, None), strict=True):
-                            c.append(v)
-                    for c, v in zip(out, (row, lang, f"{row}", 1, doc, trusted, chars, known), strict=True):
+                    chars, known, worst, partly = head.score(lang, words)
+                    for i, (times, base, grams) in enumerate(partly, 1):
+                        for g in grams:
+                            for c, v in zip(out, (row, i, lang, g, times, base, None, None, None, None), strict=True):
+                                c.append(v)
+                    for c, v in zip(out, (row, 0, lang, f"{row}", 1, worst, doc, trusted, chars, known), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "lang", "gram", "times", "doc_id", "trusted", "n_chars", "known"])
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "w", "lang", "gram", "times", "base", "doc_id", "trusted", "n_chars", "known"])
+
+    rows = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "rid long, w int, lang string, gram string, times long, base double, doc_id long, trusted boolean, n_chars long, known double")
+    joined = rows.join(model.select("lang", "gram", "logp", "ratio"), ["lang", "gram"], "left").repartition("rid")
+    whole = F.col("n_chars").isNotNull()
+    part, apart = F.when(whole, F.col("known")).otherwise(F.col("times") * F.coalesce("logp", F.lit(0.0))), F.when(whole, 0.0).otherwise(F.coalesce("ratio", F.lit(0.0)))
+    most = [F.max(c).alias(c) for c in ("doc_id", "lang", "trusted", "n_chars")]
+    words = joined.groupBy("rid", "w").agg(*most, F.sum(part).alias("log_prob"), (F.max("base") + F.sum(apart)).alias("worst"))
+    return words.groupBy("rid").agg(*most, F.sum("log_prob").alias("log_prob"), F.max("worst").alias("worst"))
 
-    rows = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "rid long, lang string, gram string, times long, doc_id long, trusted boolean, n_chars long, known double")
-    joined = rows.join(model.select("lang", "gram", "logp"), ["lang", "gram"], "left")
-    part = F.when(F.col("n_chars").isNotNull(), F.col("known")).otherwise(F.col("times") * F.coalesce("logp", F.lit(0.0)))
-    return joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("trusted").alias("trusted"), F.max("n_chars").alias("n_chars"), F.sum(part).alias("log_prob"))
 
+def _quantile(rows: DataFrame, key: F.Column, value: F.Column, name: str, quantile: float) -> DataFrame:
+    """(lang, name): the quantile of value over the rows of each key, in STEPs, rounded up."""
+    bins = rows.where(value.isNotNull()).groupBy(key.alias("lang"), F.ceil(value / STEP).alias("bin")).agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("lang").orderBy("bin")
+    reached = bins.withColumn("below", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    return reached.where(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("bin").alias(name))
 
-def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, n_chars, log_prob, perplexity, threshold, kept for every row of docs (doc_id, lang, text).
+
+def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, bad: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, n_chars, log_prob, perplexity, threshold, worst, worst_threshold, kept for every row of docs
+    (doc_id, lang, text).
 
     trusted has the doc_ids of documents to learn from; each language has a model of its own. perplexity is per
-    character, words' ends included; threshold is the language's quantile of its trusted documents' perplexities, to
-    one part in a thousand, and documents up to it are kept. A null lang is the language `und`. A null or empty text,
-    or one of white space, has no perplexity and isn't kept. Where a language has no trusted text nothing can be said:
-    perplexity and threshold are null and the document is kept. Rows that repeat are scored each; an empty table gives
-    no rows; other columns are left alone; a null doc_id is scored and not trusted.
+    character, words' ends included. bad has the doc_ids of documents that are known to be bad or toxic: a second model
+    learns from them, and worst is the greatest log ratio of a word's probabilities by it and by the trusted one, so a
+    few marked words count however long the document is. Thresholds come from trusted documents that are
+    HELD_OUT of all counts (from all trusted ones where those are too few), to one part in a thousand: the quantile of
+    worst, and for perplexity the language's median times the quantile of perplexities over their languages' medians.
+    Documents up to both are kept. A null lang is the language `und`. A null or empty text, or one of white space, has
+    no perplexity and isn't kept. Where a language has no trusted text nothing can be said: perplexity and thresholds
+    are null and the document is kept; where it has no bad text, worst and its threshold are 0. Rows that repeat are
+    scored each; an empty table gives no rows; other columns are left alone; a null doc_id is scored and not learned
+    from; an id that is both trusted and bad is bad.
     """
-    ids = cut(trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True)))
+    ids = trusted.select("doc_id", F.lit(False).alias("bad"))
+    ids = ids if bad is None else ids.unionByName(bad.select("doc_id", F.lit(True).alias("bad")))
+    ids = cut(ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad")))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    named = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    model = cut(kneser_ney(cut(window_counts(named, order)), order))
-    scored = cut(perplexities(named, model, order))
+    named = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").join(ids, "doc_id", "left")
+    enough = cut(named.where(f"not bad and {HELD_OUT}").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).select("lang", F.lit(True).alias("split")))
+    named = named.join(F.broadcast(enough), "lang", "left").withColumn("held", F.expr(f"coalesce(split, false) and {HELD_OUT}"))
+    named = named.select("doc_id", "lang", "text", F.expr("coalesce(not bad and not held, false)").alias("trusted"), F.expr("coalesce(bad and not held, false)").alias("bad"), F.expr("coalesce(not bad and held = coalesce(split, false), false)").alias("fit"))
+    counts = keep(window_counts(named, order))
+    model = kneser_ney(counts, order)
+    if bad is not None:
+        against = kneser_ney(counts.withColumn("trusted", F.col("bad")), order).select("lang", "gram", F.col("logp").alias("against"))
+        model = model.join(against, ["lang", "gram"], "left").withColumn("ratio", F.coalesce(F.col("against") - F.col("logp"), F.lit(0.0))).drop("against")
+    model = keep(model)
+    scored = cut(perplexities(named.withColumn("trusted", F.col("fit")), model, order))
     judged = scored.join(F.broadcast(model.select("lang").distinct().withColumn("has", F.lit(True))), "lang", "left")
-    judged = judged.withColumn("log_ppl", F.when(F.col("has") & (F.col("n_chars") > 0), -F.col("log_prob") / F.col("n_chars")))
-    bins = judged.where("trusted and log_ppl is not null").groupBy("lang", F.ceil(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("lang").orderBy("bin")
-    reached = bins.withColumn("below", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    thresholds = reached.where(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("bin").alias("bin"))
-    out = judged.join(F.broadcast(thresholds), "lang", "left")
-    kept = F.when(F.col("n_chars") == 0, False).when(F.col("bin").isNull(), True).otherwise(F.col("log_ppl") <= F.col("bin") * STEP)
-    return out.select("doc_id", "lang", "n_chars", "log_prob", F.exp("log_ppl").alias("perplexity"), F.exp(F.col("bin") * STEP).alias("threshold"), kept.alias("kept"))
+    judged = judged.withColumn("log_ppl", F.when(F.col("has") & (F.col("n_chars") > 0), -F.col("log_prob") / F.col("n_chars"))).withColumn("worst", F.when(F.col("log_ppl").isNotNull(), F.col("worst")))
+    fit, every = judged.where("trusted"), F.lit("")
+    middle = cut(_quantile(fit, F.col("lang"), F.col("log_ppl"), "middle", 0.5))
+    above = _quantile(fit.join(F.broadcast(middle), "lang"), every, F.col("log_ppl") - F.col("middle") * STEP, "above", quantile)
+    limits = middle.join(F.broadcast(above.drop("lang"))).join(F.broadcast(_quantile(fit, every, F.col("worst"), "worst_bin", WORST_QUANTILE).drop("lang")))
+    out = judged.join(F.broadcast(limits.withColumn("bin", F.col("middle") + F.col("above"))), "lang", "left")
+    kept = F.when(F.col("n_chars") == 0, False).when(F.col("bin").isNull(), True).otherwise((F.col("log_ppl") <= F.col("bin") * STEP) & (F.col("worst") <= F.col("worst_bin") * STEP))
+    return out.select("doc_id", "lang", "n_chars", "log_prob", F.exp("log_ppl").alias("perplexity"), F.exp(F.col("bin") * STEP).alias("threshold"), "worst", (F.col("worst_bin") * STEP).alias("worst_threshold"), kept.alias("kept"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return score_quality(table(spark, sf_dir, "documents"), trusted)
+    labels = table(spark, sf_dir, "labels")
+    good = F.expr("quality = 1 and coalesce(toxic, 0) = 0")
+    return score_quality(table(spark, sf_dir, "documents"), labels.where(good), bad=labels.where("quality = 0 or toxic = 1"))

@@ -309,6 +309,18 @@ def test_quality(spark):
     assert quality.score_quality(docs(spark, []), trusted).count() == 0
 
 
+def test_quality_rejects_few_marked_words(spark, tmp_path):
+    """Labels' toxic and bad documents are learned from: three marked words in a long document are enough."""
+    marked = lambda n, i: " ".join(f"{prose(n // 3, 10 * i + k)} zyxomoron" for k in range(3))
+    texts = [*[prose(120, 3000 + i) for i in range(320)], *[marked(120, 400 + i) for i in range(16)], *[marked(600, 500 + i) for i in range(8)]]
+    docs(spark, texts).withColumn("lang", F.lit("en")).select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(300)] + [(i, 1, 1) for i in range(320, 336)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["kept"] for r in quality.op1_quality(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and not any(got[i] for i in range(320, len(texts)))
+    assert sum(got[i] for i in range(320)) >= 300 and sum(got[i] for i in range(300, 320)) >= 17
+
+
 def page(body, host="a.example"):
     return f"<html><head><title>t</title><script>if(a<b)'</p>'</script></head><body>{body}</body></html>", f"https://{host}/x"
 
