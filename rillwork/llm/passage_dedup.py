@@ -47,13 +47,13 @@ def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(t: Texts):
-    """Paragraphs that are compared: (first, last, text, id, keys)."""
+    """Paragraphs that are compared: (first, last, text, id, n, keys), n the number of different shingles."""
     first, last = _paragraphs(t)
     text = np.searchsorted(t.at, first, "right") - 1
     long = last - first >= LEAST_WORDS
     first, last, text = first[long], last[long], text[long]
     if not len(first):
-        return first, last, text, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
+        return first, last, text, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
     n = len(t.word)
     h = np.zeros(max(n - 4, 0), U64)
     for j in range(5):
@@ -65,12 +65,17 @@ def _compared(t: Texts):
     inside = h[np.repeat(first - at[:-1], counts) + np.arange(at[-1])]
     place = np.arange(at[-1]) - np.repeat(at[:-1], counts)
     same = mix(np.add.reduceat(mix(inside + (place.astype(U64) << U64(1))), at[:-1]) + counts.astype(U64))
-    return first, last, text, same.view(np.int64), band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)
+    group = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((inside, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (inside[order][1:] != inside[order][:-1]) | (group[1:] != group[:-1])
+    n = np.add.reduceat(new, at[:-1], dtype=np.int64)
+    return first, last, text, same.view(np.int64), n, band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [_compared(t)[4].ravel() for _, _, t in blocks(batch)]
+        keys = [_compared(t)[5].ravel() for _, _, t in blocks(batch)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["key"])
 
     return docs.select("text").mapInArrow(per_batch(run), "key long")
@@ -93,7 +98,7 @@ def _occurrences(docs: DataFrame, bitmap) -> DataFrame:
         bits, ids = bitmap.value, batch.column("doc_id").to_pylist()
         out: list[list] = [[] for _ in _NAMES]
         for i, _, t in blocks(batch):
-            first, last, text, same, keys = _compared(t)
+            first, last, text, same, n, keys = _compared(t)
             low = keys.view(U64) & U64((1 << FILTER_BITS) - 1)
             some = np.flatnonzero((bits[low >> U64(3)] >> (low & U64(7)).astype(np.uint8) & 1).any(1))
             if not len(some):
@@ -101,7 +106,7 @@ def _occurrences(docs: DataFrame, bitmap) -> DataFrame:
             points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
             a, b, r = t.start[first[some]], t.end[last[some] - 1], text[some]
             whole, zero = t.data.tobytes(), points[t.offsets[r]]
-            numbers = [first[some] - t.at[r], last[some] - t.at[r], points[a] - zero, points[b] - zero, same[some], last[some] - first[some] - 4, *keys[some].T]
+            numbers = [first[some] - t.at[r], last[some] - t.at[r], points[a] - zero, points[b] - zero, same[some], n[some], *keys[some].T]
             out[0] += [ids[i + x] for x in r]
             for c, v in zip(out[1:], numbers, strict=False):
                 c += v.tolist()

@@ -168,6 +168,14 @@ def test_passages(spark):
     assert passage_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_of_one_repeated_phrase(spark):
+    """Equal shingle sets are linked however often each of them occurs."""
+    texts = ["so " * 20, "so " * 80]
+    assert shingles(texts[0]) == shingles(texts[1])
+    got = passage_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert {(r["doc_id"], r["removed"]) for r in got} == {(0, False), (1, True)}
+
+
 def test_media_round_trip(spark):
     got = {r["doc_id"]: r for r in media.digest(media.encode_media(docs(spark, ODD))).collect()}
     import hashlib
