@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwork.llm.store import cut
+
 
 def micros() -> F.Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
@@ -20,24 +22,49 @@ def group_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject").agg(F.count("*").alias("n"))
 
 
-def group_fold(rows: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
+def deal_sizes(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(n, begin, end, cycle): of the subjects with n rows, in order, those numbered begin to end - 1 go round cycle.
+
+    sizes: (n, subjects with n rows), greatest n first. Each subject goes to the lightest of folds 1 to k so far, the first
+    of equals. A fold of load L gets subjects of n rows at loads L, L + n, L + 2n and so on, so it joins the rounds at
+    level L div n, and in a round folds stand in order of L mod n: at most k cycles per size, however many subjects."""
+    load, out = [0] * k, []
+    for n, subjects in sizes:
+        levels = sorted({x // n for x in load})
+        begin, got = 0, [0] * k
+        for level, above in zip(levels, [*levels[1:], None], strict=True):
+            cycle = sorted((f for f in range(k) if load[f] // n <= level), key=lambda f: (load[f] % n, f))
+            left = subjects - begin
+            take = left if above is None else min(left, len(cycle) * (above - level))
+            if take:
+                out.append((n, begin, begin + take, [f + 1 for f in cycle]))
+                for i, f in enumerate(cycle):
+                    got[f] += (take - i + len(cycle) - 1) // len(cycle)
+            begin += take
+        load = [x + n * g for x, g in zip(load, got, strict=True)]
+    return out
+
+
+def group_fold(rows: DataFrame, k: int) -> DataFrame:
     """Adds fold 1 to k so that no subject is in two: subjects by size, each to the lightest fold so far.
 
-    The assignment is sequential over subjects, so their list passes through one task; beyond `most` subjects folds
-    come from a digest of the subject instead."""
-    sizes = group_sizes(rows)
-    if sizes.count() > most:
-        return rows.withColumn("fold", (F.conv(F.substring(F.md5("subject"), 1, 8), 16, 10).cast("long") % k + 1).cast("int"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "subject"))).alias("g"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<struct<subject:string,fold:int>>").alias("out"))
-
-    def deal(acc: F.Column, g: F.Column) -> F.Column:
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda x, i: F.when(i + 1 == at, x - g["m"]).otherwise(x))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(g["subject"].alias("subject"), at.alias("fold")))).alias("out"))
-
-    folds = listed.select(F.explode(F.aggregate("g", start, deal)["out"]).alias("f")).select("f.subject", "f.fold")
-    return rows.join(F.broadcast(folds), "subject")
+    One rule at every size: the driver deals the distinct sizes (fewer than the root of twice the rows), not subjects.
+    Subjects are numbered within their size by a sort in ranges and joined to rows by shuffle."""
+    sized = cut(group_sizes(rows).repartitionByRange(F.desc("n"), F.asc_nulls_first("subject")).sortWithinPartitions(F.desc("n"), F.asc_nulls_first("subject")).select("subject", "n", F.monotonically_increasing_id().alias("at")))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r["part"], -r["n"], r["first"], r["c"]) for r in sized.groupBy(part.alias("part"), "n").agg(F.min(place).alias("first"), F.count("*").alias("c")).toLocalIterator())
+    seen: dict[int, int] = {}
+    begins = []
+    for p, m, first, c in counts:
+        begins.append((p, -m, seen.get(m, 0) - first))
+        seen[m] = seen.get(m, 0) + c
+    dealt = deal_sizes([(-m, c) for m, c in sorted(seen.items())], k)
+    spark = rows.sparkSession
+    shift = F.broadcast(spark.createDataFrame(begins, "part long, n long, shift long"))
+    rounds = F.broadcast(spark.createDataFrame(dealt, "n long, begin long, end long, cycle array<int>"))
+    numbered = sized.withColumn("part", part).join(shift, ["part", "n"]).withColumn("number", place + F.col("shift"))
+    of_size = numbered.join(rounds, "n").where("number >= begin and number < end")
+    return rows.join(of_size.select("subject", F.expr("cycle[cast((number - begin) % size(cycle) as int)]").alias("fold")).hint("shuffle_merge"), "subject")
 
 
 def loso_fold(rows: DataFrame) -> DataFrame:

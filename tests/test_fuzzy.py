@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,22 @@ def test_group_folds_by_size(spark):
         folds.splits(rows, "other")
 
 
+def test_group_folds_follow_one_rule_at_every_size(spark):
+    r = random.Random(4)
+    for _ in range(300):
+        k, n = r.randint(1, 6), sorted((r.choice((1, 2, 3, 5, 40, 41)) for _ in range(r.randint(0, 60))), reverse=True)
+        load, want = [0] * k, []
+        for m in n:
+            f = load.index(min(load))
+            load[f] += m
+            want.append(f + 1)
+        got = [c[i % len(c)] for _, a, b, c in folds.deal_sizes([(m, n.count(m)) for m in sorted(set(n), reverse=True)], k) for i in range(b - a)]
+        assert got == want
+    many = spark.range(1_000_050, numPartitions=4).select(F.format_string("s%07d", "id").alias("subject"))
+    dealt = {x["fold"]: (x["n"], x["first"]) for x in folds.group_fold(many, 5).groupBy("fold").agg(F.count("*").alias("n"), F.min("subject").alias("first")).collect()}
+    assert dealt == {f: (200_010, f"s{f - 1:07d}") for f in range(1, 6)}
+
+
 def test_smoothing(spark):
     rows = [("a", f"2024-01-01 00:{5 * i:02d}:00", v) for i, v in enumerate((7.0, 7.2, 7.1, 11.0, 7.3))] + [("a", "2024-01-01 00:45:00", 5.0), ("a", "2024-01-01 01:00:00", 6.0)]
     df = spark.createDataFrame(rows, "subject string, ts string, glucose double").withColumn("ts", F.to_timestamp_ntz("ts"))
