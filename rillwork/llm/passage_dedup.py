@@ -11,13 +11,14 @@ from rillwork.llm.linking import near_components
 from rillwork.llm.store import fresh, keep, table
 from rillwork.llm.text import U64, Texts, band_keys, blocks, circulant, mix, per_batch
 
-#: A paragraph begins at a line or where the hash of two words is the least among its RADIUS neighbours on both sides.
+#: A paragraph begins at a line of LEAST_WORDS or more, behind one, or where the hash of two words is the least among its
+#: RADIUS neighbours on both sides.
 RADIUS = 5
-#: Paragraphs of fewer words are not compared; runs of repeated paragraphs of fewer words are not reported.
+#: No paragraph has fewer words unless its text has; runs of repeated paragraphs of fewer words are not reported.
 LEAST_WORDS, RUN_WORDS = 6, 15
-#: Equal paragraphs share every band; at a similarity of 0.75 two share none with probability 1.6 percent, at 0.9 0.02
+#: Equal paragraphs share every band; at a similarity of 0.75 two share none with probability 0.13 percent, at 0.9 0.0002
 #: percent. A single coordinate a band would miss less, but then every common phrase makes a bucket.
-BANDS, ROWS = 5, 2
+BANDS, ROWS = 8, 2
 #: Bits of the filter that thins the second scan; its size never changes, its misses cost time only.
 FILTER_BITS = 27
 #: Words that may lie between two repeated paragraphs of one passage.
@@ -27,7 +28,10 @@ GAP = 8
 def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last word of each paragraph of a block of texts, in order.
 
-    The cuts depend on nearby words only, so a passage is cut alike in every text but near its ends."""
+    Lines of fewer than LEAST_WORDS words make no cut between them: they are one stretch, which goes to the line behind
+    it (or before it, at the end of a text) if it is that short itself. Content cuts nearer than LEAST_WORDS words to
+    another cut are left out. All cuts depend on nearby words and lines only, so a passage is cut alike in every text but
+    near its ends."""
     n = len(t.word)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -42,7 +46,18 @@ def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         apart = text[j:] != text[:-j]
         least[j:] &= apart | (pair[j:] < pair[:-j])
         least[:-j] &= apart | (pair[:-j] <= pair[j:])
-    first = np.flatnonzero(cut_here | least)
+    line = np.flatnonzero(cut_here)
+    long = np.diff(line, append=n) >= LEAST_WORDS
+    new = np.ones(len(line), bool)
+    new[1:] = long[1:] | long[:-1] | (text[line[1:]] != text[line[:-1]])
+    stretch = line[new]
+    short, begins = np.diff(stretch, append=n) < LEAST_WORDS, np.append(np.ones(1, bool), text[stretch[1:]] != text[stretch[:-1]])
+    joined = np.append(False, short[:-1]) | (short & np.append(begins[1:], True))
+    forced = np.append(stretch[begins | ~joined], n)
+    inner = np.flatnonzero(least)
+    at = np.searchsorted(forced, inner, "right")
+    inner = inner[(inner - forced[at - 1] >= LEAST_WORDS) & (forced[at] - inner >= LEAST_WORDS)]
+    first = np.union1d(forced[:-1], inner)
     return first, np.append(first[1:], n)
 
 
@@ -123,9 +138,9 @@ _NAMES = ["doc_id", "w0", "w1", "c0", "c1", "id", "n", *_KEYS, "text"]
 def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, start, length, n_words, cluster_id, n_places, removed: the passages that occur in several documents.
 
-    docs: doc_id, text; other columns are left alone. Documents are cut into paragraphs at line ends and, inside long
-    lines, where the words themselves say so (see RADIUS), so a passage is found wherever in a line it stands.
-    Paragraphs of at least six words are compared by the Jaccard similarity of their five-word shingles: MinHash bands
+    docs: doc_id, text; other columns are left alone. Documents are cut into paragraphs at the ends of lines of six words
+    or more and, inside these and inside stretches of shorter lines, where the words themselves say so (see RADIUS), so a
+    passage is found wherever in a line it stands. Paragraphs, of at least six words each, are compared by the Jaccard similarity of their five-word shingles: MinHash bands
     find candidates, whole sets verify them, and linked paragraphs form components. A component that touches more
     than one document is a cluster; its earliest paragraph, by doc_id and place, stays and the others are removed.
     Neighbouring paragraphs of a document with one fate make one passage, reported from 15 words on: start and length

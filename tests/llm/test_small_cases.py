@@ -176,6 +176,25 @@ def test_passages_of_one_repeated_phrase(spark):
     assert {(r["doc_id"], r["removed"]) for r in got} == {(0, False), (1, True)}
 
 
+def test_passages_of_short_lines(spark):
+    """A list or verse with lines of a few words each is found; every word of a text of six or more is in a paragraph."""
+    words = prose(90, 78).split()
+    verse = "\n".join(" ".join(words[i : i + 3]) for i in range(0, 90, 3))
+    texts = [f"{prose(50 + i, 700 + i)}\n{prose(i, 720 + i)}\n{verse}\n{prose(40, 710 + i)}" for i in range(3)]
+    got = collections.Counter()
+    for r in passage_dedup.repeated_passages(docs(spark, texts)).collect():
+        got[r["doc_id"]] += r["n_words"]
+        assert r["removed"] == (r["doc_id"] > 0)
+    assert all(60 <= got[i] <= 100 for i in range(3))
+    r = random.Random(9)
+    for _ in range(200):
+        parts = ["".join(r.choice(WORDS) + r.choice(" \n  ") for _ in range(r.randint(0, 60))) for _ in range(3)]
+        data = [p.encode() for p in parts]
+        first, last = passage_dedup._paragraphs(passage_dedup.Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+        sizes = [len(p.split()) for p in parts]
+        assert sum(last - first) == sum(sizes) and sum(last - first < 6) == sum(0 < n < 6 for n in sizes)
+
+
 def test_media_round_trip(spark):
     got = {r["doc_id"]: r for r in media.digest(media.encode_media(docs(spark, ODD))).collect()}
     import hashlib
