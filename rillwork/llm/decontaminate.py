@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, table
+from rillwork.llm.store import cut, fresh, table
 from rillwork.llm.text import U32, U64, blocks, distinct, per_batch, permute
 
 #: Coordinates of a signature. A window holds at most 4 times the shingles of an item of its partition, so at a
@@ -152,9 +152,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    hit = cut(contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents that hold a benchmark item go. They are known by their texts' hashes, whatever their doc_id."""
+    name = fresh(docs, "text_id")
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    hit = cut(contained(hashed.select(F.col(name).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct())
+    return hashed.join(hit, name, "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

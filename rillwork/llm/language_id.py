@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillwork.llm.store import table
+from rillwork.llm.store import fresh, table
 from rillwork.llm.text import BLOCK, column, per_batch
 
 #: Components of a hypervector; two random ones have a cosine of about 1 / sqrt(DIMENSIONS).
@@ -123,14 +124,15 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs (doc_id, text), learned from train (text, lang).
 
     A trigram's vector binds the permuted random vectors of its letters, a document's bundles those of all its
     trigrams, a language's those of all its documents; the nearest prototype by cosine is predicted and the cosine,
     cut to 0 to 1, is the score. Ties go to the first language in order. A text that is null or has no letter, and any
     text where nothing could be learned, is `und` with score 0. Training rows without text or lang are left out. Rows
-    that repeat are predicted alike; an empty table gives no rows; other columns are left alone.
+    that repeat are predicted alike; an empty table gives no rows; other columns are left alone, or with carry those
+    columns come instead of doc_id, beside the prediction under names.
     """
     langs, matrix = prototypes(train.where("text is not null and lang is not null"))
 
@@ -149,9 +151,11 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
             known = letters & bool(langs)
             best += [langs[t] if k else "und" for t, k in zip(top, known, strict=True)]
             score += [float(min(1, max(0, cosine[i, t]))) if k else 0.0 for i, (t, k) in enumerate(zip(top, known, strict=True))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*kept, *names])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run), "doc_id long, lang_pred string, score double")
+    kept = carry or ["doc_id"]
+    schema = T.StructType(docs.select(*kept).schema.fields).add(names[0], "string").add(names[1], "double")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(per_batch(run), schema)
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -164,7 +168,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without letters, or near no learned language, go."""
-    found = identify(docs, docs.where(f"not coalesce({HELD_OUT}, true)"))
-    kept = found.where(F.col("lang_pred") != "und").where(F.col("score") >= LEAST).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: documents without letters, or near no learned language, go. Each row is judged by its own text,
+    whatever its doc_id."""
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = identify(docs, docs.where(f"not coalesce({HELD_OUT}, true)"), docs.columns, (pred, score))
+    return found.where(F.col(pred) != "und").where(F.col(score) >= LEAST).select(docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.llm.linking import near_components
-from rillwork.llm.store import cut, table
+from rillwork.llm.store import cut, fresh, table
 from rillwork.llm.text import band_keys, blocks, circulant, distinct, per_batch
 
 #: At a similarity of 0.75 a pair shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -33,6 +33,20 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.select("doc_id", "text", F.xxhash64("text").alias("id")).mapInArrow(per_batch(run), "doc_id long, id long, n long, keys array<long>")
 
 
+def _linked(docs: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, text_id, n, id, component_id, keeper) per row of docs: text_id is the text's hash, id the same where the text
+    has shingles, keeper the id that stands for its component: of the least doc_id, or of none if all are null."""
+    signed = cut(signatures(docs, bands, rows))
+    classes = cut(signed.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    texts = docs.select(F.xxhash64("text").alias("id"), "text").where("text is not null")
+    linked = near_components(classes.select("id", "n", "keys"), texts, percent)
+    named = classes.select("id", "first_doc").join(linked, "id", "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
+    keeper = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "id"))["id"]
+    least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"), keeper.alias("keeper"))
+    of_class = named.join(least, "label").select("id", "component_id", "keeper")
+    return signed.select("doc_id", F.col("id").alias("text_id"), "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(of_class, "id", "left")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are left alone).
 
@@ -41,14 +55,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     no words has 0 shingles and is linked with nothing. A row that repeats gives its result again; an empty table gives
     no rows; a null doc_id gets the component's id, or null if nothing else is in it.
     """
-    signed = cut(signatures(docs, bands, rows))
-    classes = cut(signed.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    texts = docs.select(F.xxhash64("text").alias("id"), "text").where("text is not null")
-    linked = near_components(classes.select("id", "n", "keys"), texts, percent)
-    named = classes.select("id", "first_doc").join(linked, "id", "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of_class = named.join(least, "label").select("id", "component_id")
-    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(of_class, "id", "left")
+    out = _linked(docs, percent, bands, rows)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -57,9 +64,19 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stand for their component stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: the documents that stand for their component stay, as do those without words.
+
+    A row is known by doc_id and text, so rows of one doc_id with other texts don't stand for each other. Of rows with a null
+    doc_id one stays where their component has no other document; equal ones of them count as copies, not as one row."""
+    name = fresh(docs, "text_id")
+    linked = _linked(docs.select("doc_id", "text"), 75, BANDS, ROWS)
+    stay = linked.where("id is null or (doc_id <=> component_id and id = keeper)").groupBy("doc_id", "text_id").agg(F.max(F.col("id").isNotNull()).alias("words"))
+    bare = cut(stay.where("doc_id is null and words").select(F.col("text_id").alias(name)))
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    listed = stay.where("doc_id is not null or not words").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"))
+    rest = hashed.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_text")), "left_semi")
+    one = hashed.where("doc_id is null").join(bare, name, "left_semi").dropDuplicates([name])
+    return rest.select(docs.columns).unionByName(one.select(docs.columns))
 
 
 #: The same links from all pairs that share a shingle, and components from reachability.

@@ -376,6 +376,24 @@ def test_pages(spark):
     assert all(0 <= x <= 1 for x in tree if x is not None)
 
 
+def test_stages_judge_rows_without_an_id_by_their_texts(spark, tmp_path):
+    item = prose(40, 900)
+    rows = [(i, prose(60, i)) for i in range(8)] + [(None, prose(60, 50)), (None, prose(60, 3)), (None, prose(60, 51)), (None, prose(60, 51)), (None, f"{prose(9, 1)} {item}")]
+    rows += [(5, prose(60, 52)), (6, f"{prose(20, 2)} {item}"), (9, "12 34"), (9, prose(60, 53))]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    want = collections.Counter(rows)
+    want.pop((9, "12 34"))
+    assert texts(language_id.of_known_language(spark, now, str(tmp_path))) == want
+    one = collections.Counter(rows)
+    one.pop((None, rows[9][1]))
+    one[(None, rows[10][1])] = 1
+    assert texts(near_dedup.one_of_each(spark, now, str(tmp_path))) == one
+    assert texts(decontaminate.without_benchmark(spark, now, str(tmp_path))) == collections.Counter(r for r in rows if item not in r[1])
+
+
 def test_pipeline_stages(spark, tmp_path):
     passage = prose(40, 900)
     texts = [*ODD, *[prose(60, i) for i in range(30)], prose(60, 3), prose(200, 77) + " " + passage + "\n" + prose(50, 5), prose(100, 6)]
