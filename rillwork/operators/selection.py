@@ -54,6 +54,13 @@ def recursive_elimination(rows: DataFrame, features: list[str], target: str, k:
     return left
 
 
+def penalty_path(rows: DataFrame, features: list[str], target: str, steps: int = 30, least: float = 1e-3) -> list[float]:
+    """Penalties for standardised features, from the one at which all weights vanish down to `least` of it, in equal ratios."""
+    row = rows.agg(*[F.abs(F.covar_pop(c, target) / F.nullif(F.stddev_pop(c), F.lit(0.0))).alias(c) for c in features]).first()
+    top = max((v for v in row if v), default=1.0)
+    return [top * least ** (i / (steps - 1)) for i in range(steps)]
+
+
 def lasso_rank(rows: DataFrame, features: list[str], target: str, grid: list[float], fold: str = "fold") -> list[tuple[str, float]]:
     """(feature, |coefficient|), greatest first: the penalty with the least squared error over the folds is refitted."""
     data = assembled(standardise(rows, features), features, target).select("features", "label", F.col(fold).alias("fold")).cache()
@@ -72,14 +79,15 @@ def lasso_rank(rows: DataFrame, features: list[str], target: str, grid: list[flo
     return [(c, float(v)) for c, v in out]
 
 
-def select(rows: DataFrame, features: list[str], target: str, k: int = 60, least: int = 10, grid: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01)) -> dict:
+def select(rows: DataFrame, features: list[str], target: str, k: int = 60, least: int = 10, grid: tuple[float, ...] | None = None) -> dict:
     """Features chosen by F score, elimination and lasso alike, in column order: ufs, rfe, l1, selected, fallback, text.
+    Without a grid lasso goes along penalty_path().
 
     With fewer than `least` in common the first ones by column order of the F-score set stand in, and fallback says so."""
     ufs_rows = top_k(f_scores(rows, features, target), "f", k).orderBy("place").collect()
     ufs = [r["feature"] for r in ufs_rows]
     rfe = recursive_elimination(rows, features, target, min(k, len(features)))
-    ranked = lasso_rank(rows, features, target, list(grid))
+    ranked = lasso_rank(rows, features, target, list(grid or penalty_path(rows, features, target)))
     nonzero = sum(v > 1e-8 for _, v in ranked)
     l1 = [c for c, _ in ranked[: max(min(k, nonzero), least)]]
     both = [c for c in features if c in ufs and c in rfe and c in l1]

@@ -446,35 +446,25 @@ def feature_intersection(spark, d):
     return selection.intersection(out, 3, FEATURES)
 
 
-def _by_month(spark, d) -> DataFrame:
-    """Mean features and target by supplier and shipping month: what the tree models learn from."""
-    g = feature_rows(spark, d).groupBy("subject", F.trunc("ts", "month").cast("timestamp").alias("ts"))
-    return g.agg(F.avg("glucose").alias("glucose"), *[F.avg(c).alias(c) for c in FEATURES])
-
-
 def rfe(spark, d):
-    kept = selection.recursive_elimination(_by_month(spark, d), FEATURES, "glucose", 4)
+    kept = selection.recursive_elimination(feature_rows(spark, d), FEATURES, "glucose", 4)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
 def lasso_rank(spark, d):
-    rows = selection.lasso_rank(folds.hash_fold(_by_month(spark, d), 3), FEATURES, "glucose", [0.3, 0.1, 0.03])
-    return spark.createDataFrame(rows, "feature string, weight double")
-
-
-def _learners():
-    return protocol.estimators(trees=5, depth=5, rounds=5)
+    rows = feature_rows(spark, d)
+    ranked = selection.lasso_rank(folds.hash_fold(rows, 3), FEATURES, "glucose", selection.penalty_path(rows, FEATURES, "glucose"))
+    return spark.createDataFrame(ranked, "feature string, weight double")
 
 
 def protocol_run(spark, d):
-    rows = folds.group_fold(_by_month(spark, d), 3)
-    got = protocol.run_protocol(rows, FEATURES, learners=_learners(), choose=False)
+    got = protocol.run_protocol(folds.group_fold(feature_rows(spark, d), 3), FEATURES)
     return grade.summarise(grade.to_long(got, [*protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "NoSkillBaseline"], ["glucose"]))
 
 
 def score_batch(spark, d):
-    rows = folds.hash_fold(_by_month(spark, d), 5)
-    models, worth = protocol.final_models(rows.where("fold > 0").drop("fold"), FEATURES, "glucose", _learners())
+    rows = folds.hash_fold(feature_rows(spark, d), 5)
+    models, worth = protocol.final_models(rows.where("fold > 0").drop("fold"), FEATURES, "glucose")
     new = rows.where("fold = 0").withColumn("l_tax", F.when(F.col("l_tax") > 0.001, F.col("l_tax")))
     return protocol.score_batch(new, models, worth, FEATURES).select("subject", "ts", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
 

@@ -1,5 +1,6 @@
 import pytest
 
+from rillwork import queries
 from rillwork.queries import ORACLE, QUERIES
 
 from compare import same
@@ -17,6 +18,34 @@ def test_has_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_learning_queries_run_the_whole_job(spark, sf, monkeypatch):
+    """They learn from every row of lineitem, with estimators() and selection as the operators have them."""
+    seen = {}
+
+    def run(rows, features, **more):
+        seen["protocol_run"] = rows.count(), more
+        raise LookupError
+
+    def final(rows, features, target, *more):
+        seen["score_batch"] = rows.count(), more
+        raise LookupError
+
+    def rank(rows, features, target, grid):
+        seen["lasso_rank"] = rows.count(), len(grid)
+        return [("l_tax", 1.0)]
+
+    monkeypatch.setattr(queries.protocol, "run_protocol", run)
+    monkeypatch.setattr(queries.protocol, "final_models", final)
+    monkeypatch.setattr(queries.selection, "lasso_rank", rank)
+    for name in ("protocol_run", "score_batch"):
+        with pytest.raises(LookupError):
+            QUERIES[name](spark, sf)
+    QUERIES["lasso_rank"](spark, sf)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert seen["protocol_run"] == (n, {}) and seen["lasso_rank"] == (n, 30)
+    assert 0.7 * n < seen["score_batch"][0] < 0.9 * n and seen["score_batch"][1] == ()
+
+
 def test_entry_imports_and_names():
     import __spark_entry__ as entry
 
