@@ -1,267 +1,292 @@
-"""A quality classifier: interpolated modified Kneser-Ney perplexity against trusted text, and the word that speaks most for
-labelled bad text."""
+"""A quality classifier: interpolated modified Kneser-Ney perplexity against trusted text, and what speaks for labelled bad text."""
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import BROADCAST_IDS, cut, keep, table
-from rillwork.llm.text import decoded, mix
+from rillwork.llm.store import BROADCAST_IDS, cut, discard, keep, table
+from rillwork.llm.text import U64, decoded, mix
 
-#: Characters of the longest n-gram.
-ORDER = 5
-#: Thresholds are these quantiles of trusted documents' perplexities, less their language's median, and worst words. They are
-#: taken over all languages, as a few dozen documents of one tell no such quantile.
-QUANTILE, WORST_QUANTILE = 0.99, 0.98
+#: Characters of the longest n-gram, and the bits that each takes: an n-gram is one 64-bit number.
+ORDER, BITS = 5, 12
+#: A gram that is more likely in bad text by over STRONG (log) is evidence, by what it exceeds that.
+STRONG = 2.0
+#: Thresholds are these quantiles of a language's trusted documents.
+QUANTILE, BAD_QUANTILE = 0.99, 0.98
 #: Labelled documents that no model learns from; thresholds are fitted on the trusted ones of them. A language with fewer
-#: than LEAST_HELD trusted ones among them has too few to tell a median: it learns from and is fitted on all.
+#: than LEAST_HELD trusted ones among them has too few to tell a quantile: it learns from and is fitted on all.
 HELD_OUT, LEAST_HELD = "coalesce(crc32(cast(doc_id as string)) % 8 = 0, false)", 20
-#: Steps of log perplexity, and of a worst word's log ratio, in which quantiles are counted.
+#: Steps of log perplexity and of evidence in which quantiles are counted.
 STEP = 1e-3
-#: The most frequent n-grams, whose probabilities are broadcast (under 20 MB); all others are joined.
-HEAD = 262_144
-#: Distinct words that a task adds up before it passes their n-grams on, and that it remembers when it scores.
-FLUSH = 200_000
-#: Signs that stand for a word's beginning and end.
-FIRST, LAST = "\x02", "\x03"
-
-
-def places(word: str, order: int = ORDER) -> list[str]:
-    """For every character of a word and for its end: up to `order` characters that end there."""
-    e = FIRST + word + LAST
-    return [e[max(0, i - order + 1) : i + 1] for i in range(1, len(e))]
-
-
-class Places:
-    """places() of many words at once: their edged text, and for each place its word, where its gram begins and ends
-    in the text, and a 64-bit hash of the gram."""
-
-    def __init__(self, words: list[str], order: int = ORDER):
-        self.text = "".join([FIRST + w + LAST for w in words])
-        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        first = np.cumsum(sizes) - sizes
-        self.sizes = sizes - 1
-        self.word = np.repeat(np.arange(len(words)), self.sizes)
-        inner = np.ones(len(points), bool)
-        inner[first] = False
-        self.end = np.flatnonzero(inner)
-        self.begin = np.maximum(self.end - order + 1, first[self.word])
-        h = np.zeros(len(self.end), np.uint64)
-        for j in range(order):
-            at = self.begin + j
-            live = at <= self.end
-            h = np.where(live, (h ^ points[np.minimum(at, self.end)]) * np.uint64(0x9E3779B97F4A7C15), h)
-            h ^= h >> np.uint64(29)
-        self.hash = mix(h)
-
-    def gram(self, i: int) -> str:
-        return self.text[self.begin[i] : self.end[i] + 1]
-
-
-def window_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, trusted, bad, seen): how often each n-gram of words() ends a place, in trusted, in bad and in all
-    documents.
-
-    docs: lang, trusted, text and, where there are any, bad. Each task adds up words, then their n-grams, before the
-    shuffle."""
+#: At most so many of the most frequent n-grams reach documents by broadcast (under 8 MB); all others are joined.
+HEAD, SLOTS = 262_144, 1 << 21
+#: n-grams that a counting task holds before it adds equal ones up, and distinct ones before it passes them on.
+PENDING, FLUSH = 1 << 22, 1 << 21
+#: Scan partitions that one counting task takes, so that few tasks repeat the frequent n-grams.
+TOGETHER = 8
+#: What stands before a text, as often as a full n-gram needs, and the space that begins it.
+EDGE = "\x01" * (ORDER - 1) + " "
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed n-grams that end at each character of each text, in order, and where each text's begin.
+
+    White space is one space, and one ends the text; n-grams cross the ends of words. Characters beyond U+07FF share the
+    upper half of the 4,096 codes by a hash. A text without words has none."""
+    spaced = [f"{EDGE}{s} " if (s := " ".join(t.split())) else "" for t in texts]
+    code = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if (high := code >= 2048).any():
+        code[high] = 2048 + (code[high] * 2654435761 >> 7) % 2048
+    sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+    at = np.concatenate(([0], np.cumsum(np.maximum(sizes - len(EDGE), 0))))
+    if not len(code):
+        return np.zeros(0, np.int64), at
+    packed = np.zeros(len(code), np.int64)
+    for j in range(ORDER):
+        packed[ORDER - 1 :] |= code[ORDER - 1 - j : len(code) - j] << (BITS * j)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    inner = np.ones(len(code), bool)
+    for j in range(len(EDGE)):
+        inner[first + j] = False
+    return packed[inner], at
+
+
+def _slices(texts: list[str], size: int = 1 << 18):
+    """Ranges of texts of about `size` characters; a longer one goes alone."""
+    i, total = 0, 0
+    for j, t in enumerate(texts):
+        if total and total + len(t) > size:
+            yield i, j
+            i, total = j, 0
+        total += len(t)
+    if i < len(texts):
+        yield i, len(texts)
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, gram, trusted, bad, seen): how often each n-gram occurs in trusted, in bad and in all documents.
+
+    docs: lang, trusted, text and, where there are any, bad. Each task adds its own n-grams up before the shuffle."""
 
     def run(batches):
-        words: dict[tuple, Counter] = {}
+        held: dict[tuple, list] = {}
+        pending = 0
+
+        def add_up() -> int:
+            for key, parts in held.items():
+                if len(parts) > 1:
+                    g, n = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
+                    order = np.argsort(g, kind="stable")  # merges runs that are sorted
+                    g = g[order]
+                    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                    held[key] = [(g[first], np.add.reduceat(n[order], first))]
+            return sum(len(p[0]) for parts in held.values() for p in parts)
 
         def rows():
-            for (lang, trusted, bad), counts in words.items():
-                p = Places(list(counts), order)
-                _, first, kind = np.unique(p.hash, return_index=True, return_inverse=True)
-                seen = np.bincount(kind, np.fromiter(counts.values(), np.float64, len(counts))[p.word], len(first)).astype(np.int64)
-                grams = [p.gram(i) for i in first]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(seen * trusted), pa.array(seen * bad), pa.array(seen)], ["lang", "gram", "trusted", "bad", "seen"])
-            words.clear()
+            add_up()
+            for lang in sorted({k[0] for k in held}):
+                kinds = [(k[1], *held[k][0]) for k in held if k[0] == lang]
+                g, back = np.unique(np.concatenate([x[1] for x in kinds]), return_inverse=True)
+                n = np.concatenate([x[2] for x in kinds])
+                kind = np.repeat([x[0] for x in kinds], [len(x[1]) for x in kinds])
+                total = [np.bincount(back, n * (kind == k), len(g)).astype(np.int64) for k in (1, 2)] + [np.bincount(back, n, len(g)).astype(np.int64)]
+                for i in range(0, len(g), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g[part]), pa.string()), pa.array(g[part]), *(pa.array(t[part]) for t in total)], ["lang", "gram", "trusted", "bad", "seen"])
+            held.clear()
 
         for batch in batches:
-            for lang, trusted, bad, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "trusted", "bad")), decoded(batch), strict=True):
-                words.setdefault((lang, trusted, bad), Counter()).update(text.split())
-                if sum(map(len, words.values())) >= FLUSH:
-                    yield from rows()
+            texts = decoded(batch)
+            kinds = list(zip(batch.column("lang").to_pylist(), (2 if b else 1 if t else 0 for t, b in zip(batch.column("trusted").to_pylist(), batch.column("bad").to_pylist(), strict=True)), strict=True))
+            for i, j in _slices(texts, 1 << 20):
+                grams, at = grams_of(texts[i:j])
+                of: dict[tuple, list] = {}
+                for r in range(i, j):
+                    if at[r - i] < at[r - i + 1]:
+                        of.setdefault(kinds[r], []).append(grams[at[r - i] : at[r - i + 1]])
+                for key, some in of.items():
+                    g, n = np.unique(np.concatenate(some), return_counts=True)
+                    held.setdefault(key, []).append((g, n))
+                    pending += len(g)
+                if pending >= PENDING:
+                    pending = add_up()
+                    if pending >= FLUSH:
+                        yield from rows()
+                        pending = 0
         yield from rows()
 
     bad = F.col("bad") if "bad" in docs.columns else F.lit(False).alias("bad")
-    found = docs.select("lang", "trusted", bad, "text").mapInArrow(run, "lang string, gram string, trusted long, bad long, seen long")
+    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // TOGETHER)
+    found = docs.select("lang", "trusted", bad, "text").coalesce(few).mapInArrow(run, "lang string, gram long, trusted long, bad long, seen long")
     return found.groupBy("lang", "gram").agg(F.sum("trusted").alias("trusted"), F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
 
 
-def kneser_ney(windows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, seen, logp) for every gram of windows (lang, gram, trusted, seen): the log probability of its last
-    character after the others, by a model of the grams with trusted > 0, one for each lang. Languages without any
-    are left out.
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, seen, logp, ratio) for every gram of counts (lang, gram, trusted, bad, seen), a materialised table:
+    logp is the log probability of its last character after the others by the model of trusted text, ratio the same by
+    the model of bad text less logp (0 where a language has no bad text). Each lang has models of its own.
+
+    Interpolated modified Kneser-Ney: n-grams of full order count by occurrence, shorter ones by the number of different
+    characters before them. Each order has the discounts D1, D2 and D3+ from its counts of counts; where these give none
+    above 0 (few or odd n-grams) they are 0.5, 1 and 1.5. What they hold back goes to the shorter context, at last to a
+    uniform choice among the language's characters and one more. An unknown context leaves all to the shorter one.
 
-    Interpolated modified Kneser-Ney: n-grams of full order, and those that begin at a word's beginning, count by
-    occurrence, shorter ones by the number of different characters before them. Each order has the discounts D1, D2
-    and D3+ from its counts of counts; where these give none above 0 (few or
-    odd n-grams) they are 0.5, 1 and 1.5. What they
-    hold back goes to the shorter context, at last to a uniform choice among the language's characters and one more.
-    An unknown context leaves all to the shorter one. Everything is grouped and joined by (lang, gram).
+    n-grams of each order are grouped by their ends, so every order is smaller than the one above; what a context holds
+    back is a window over the at most 4,096 n-grams that continue it, and each order joins the next shorter by its end.
     """
-    learned = windows.where("trusted > 0")
-    suffixes = learned.select("lang", "gram", "trusted", F.explode(F.expr("sequence(1, length(gram))")).alias("n"))
-    exact = suffixes.groupBy("lang", "n", F.expr("right(gram, n)").alias("gram")).agg(F.sum("trusted").alias("c"))
-    exact = keep(exact)
-    before = exact.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.expr("right(gram, n - 1)").alias("gram")).agg(F.count("*").alias("kinds"))
-    own = F.when((F.col("n") == order) | F.col("gram").startswith(FIRST), F.col("c")).otherwise(F.col("kinds"))
-    counts = keep(exact.join(before, ["lang", "n", "gram"], "left").select("lang", "n", "gram", own.alias("c")).where("c > 0"))
-    found = counts.groupBy("lang", "n").agg(*[F.sum((F.col("c") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y, good = F.expr("try_divide(n1, n1 + 2.0 * n2)"), F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
-    ratio = lambda k: F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-    discounts = found.select("lang", "n", *[F.when(good & (ratio(k) > 0), ratio(k)).otherwise(0.5 * k).alias(f"d{k}") for k in (1, 2, 3)])
-    held = F.least(F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"), F.col("c").cast("double"))
-    shaped = counts.join(discounts, ["lang", "n"]).select("lang", "n", "gram", "c", held.alias("d"), F.expr("left(gram, n - 1)").alias("context"))
-    contexts = keep(shaped.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("held")))
-    shares = shaped.join(contexts, ["lang", "n", "context"]).select("lang", "n", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"))
-
-    needed = windows.select("lang", F.col("gram").alias("w"), "seen", F.explode(F.expr("sequence(1, length(gram))")).alias("n")).withColumn("gram", F.expr("right(w, n)"))
-    distinct = needed.select("lang", "n", "gram").distinct().withColumn("context", F.expr("left(gram, n - 1)"))
-    rests = contexts.select("lang", "n", "context", (F.col("held") / F.col("total")).alias("rest"))
-    values = distinct.join(shares, ["lang", "n", "gram"], "left").join(rests, ["lang", "n", "context"], "left").select("lang", "n", "gram", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("rest", F.lit(1.0)).alias("rest"))
-    uniform = counts.where("n = 1").groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("least"))
-    steps = needed.join(values, ["lang", "n", "gram"]).groupBy("lang", "w").agg(F.first("seen").alias("seen"), F.sort_array(F.collect_list(F.struct("n", "own", "rest"))).alias("s"))
-    p = F.expr("aggregate(s, least, (p, x) -> x.own + x.rest * p)")
-    return steps.join(uniform, "lang").select("lang", F.col("w").alias("gram"), "seen", F.log(p).alias("logp"))
+    kinds, end = ("trusted", "bad"), lambda n: F.col("gram").bitwiseAND((1 << BITS * n) - 1)
+    lower, now = None, counts
+    for n in range(order - 1, 0, -1):
+        now = now.groupBy("lang", end(n).alias("gram")).agg(*[F.count_if(F.col(k) > 0).alias(k) for k in kinds])
+        one = now.select("lang", F.lit(n).alias("n"), "gram", *kinds)
+        lower = one if lower is None else lower.unionByName(one)
+    full = counts.select("lang", F.lit(order).alias("n"), "gram", *kinds)
+    if lower is not None:
+        lower = keep(lower)
+        full = full.unionByName(lower)
+    tally = full.groupBy("lang", "n").agg(*[F.count_if(F.col(k) == i).alias(f"{k}{i}") for k in kinds for i in (1, 2, 3, 4)], *[F.count_if(F.col(k) > 0).alias(f"{k}_kinds") for k in kinds])
+    tally = cut(tally)
+    for k in kinds:
+        y, good = F.expr(f"try_divide({k}1, {k}1 + 2.0 * {k}2)"), F.expr(" and ".join(f"{k}{i} > 0" for i in (1, 2, 3, 4)))
+        for i in (1, 2, 3):
+            d = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"{k}{i + 1}"), F.col(f"{k}{i}"))
+            tally = tally.withColumn(f"{k}_d{i}", F.when(good & (d > 0), d).otherwise(0.5 * i))
+    below = None
+    for n in range(1, order + 1):
+        level = counts if n == order else lower.where(F.col("n") == n)
+        level = level.join(F.broadcast(tally.where(F.col("n") == n).drop("n")), "lang")
+        context = Window.partitionBy("lang", F.shiftright("gram", BITS))
+        out = ["lang", "gram"] + (["seen"] if n == order else [])
+        for k in kinds:
+            c = F.col(k)
+            level = level.withColumn(f"{k}_d", F.when(c > 0, F.least(F.when(c == 1, F.col(f"{k}_d1")).when(c == 2, F.col(f"{k}_d2")).otherwise(F.col(f"{k}_d3")), c.cast("double"))).otherwise(0.0))
+        for k in kinds:
+            level = level.withColumn(f"{k}_all", F.sum(k).over(context)).withColumn(f"{k}_held", F.sum(f"{k}_d").over(context))
+        if below is None:
+            level = level.select("*", *[(1.0 / (F.col(f"{k}_kinds") + 1)).alias(f"{k}_p") for k in kinds])
+        else:
+            level = level.withColumn("rest", end(n - 1)).join(below, ["lang", "rest"])
+        p = [F.when(F.col(f"{k}_all") > 0, (F.col(k) - F.col(f"{k}_d") + F.col(f"{k}_held") * F.col(f"{k}_p")) / F.col(f"{k}_all")).otherwise(F.col(f"{k}_p")).alias(f"{k}_q") for k in kinds]
+        level = level.select(*out, *p)
+        if n < order:
+            below = level.select("lang", F.col("gram").alias("rest"), *[F.col(f"{k}_q").alias(f"{k}_p") for k in kinds])
+    any_bad = tally.where((F.col("n") == order) & (F.col("bad_kinds") > 0)).select("lang", F.lit(True).alias("any_bad"))
+    ratio = F.when(F.col("any_bad"), F.log("bad_q") - F.log("trusted_q")).otherwise(0.0)
+    return level.join(F.broadcast(any_bad), "lang", "left").select("lang", "gram", "seen", F.log("trusted_q").alias("logp"), ratio.alias("ratio"))
 
 
 class _Head:
-    """The broadcast n-grams, and what a task has worked out of words with them."""
-
-    def __init__(self, top: pa.Table, order: int):
-        self.order, self.head, self.known = order, {}, {}
-        langs = np.array(top["lang"].to_pylist(), object)
-        grams, logp, ratio = np.array(top["gram"].to_pylist(), object), top["logp"].to_numpy(), top["ratio"].to_numpy()
-        for lang in set(langs):
-            mine = np.flatnonzero(langs == lang)
-            h = _gram_hashes(list(grams[mine]), order)
-            by = np.argsort(h)
-            self.head[lang] = h[by], logp[mine][by], ratio[mine][by]
-
-    def learn(self, docs: list[tuple]) -> None:
-        """Scores the words of some documents that aren't known yet, all at once."""
-        for lang in {d[1] for d in docs}:
-            table = self.known.get(lang)
-            if table is None or len(table[0]) > FLUSH:
-                table = self.known[lang] = ({}, [], [], {}, [])
-            at, logs, sizes, rare, ratios = table
-            new = list({w for d in docs if d[1] == lang for w in d[3] if w not in at})
-            if not new:
-                continue
-            p = Places(new, self.order)
-            hashes, logp, ratio = self.head.get(lang, (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
-            k = np.minimum(np.searchsorted(hashes, p.hash), max(len(hashes) - 1, 0))
-            hit = hashes[k] == p.hash if len(hashes) else np.zeros(len(p.hash), bool)
-            total, apart = (np.bincount(p.word, np.where(hit, x[k], 0.0), len(new)) if len(hashes) else np.zeros(len(new)) for x in (logp, ratio))
-            base = len(at)
-            for i in np.flatnonzero(~hit):
-                rare.setdefault(base + int(p.word[i]), []).append(p.gram(i))
-            at.update(zip(new, range(base, base + len(new)), strict=True))
-            logs.append(total)
-            sizes.append(p.sizes)
-            ratios.append(apart)
-            if len(logs) > 1:
-                logs[:], sizes[:], ratios[:] = [np.concatenate(logs)], [np.concatenate(sizes)], [np.concatenate(ratios)]
-
-    def score(self, lang: str, words: list[str]) -> tuple[int, float, float | None, list[tuple[int, float, list[str]]]]:
-        """Characters, log probability of the known n-grams, the greatest log ratio of a word whose n-grams are all known,
-        and of each other word how often it occurs, its known log ratio and its other n-grams."""
-        at, logs, sizes, rare, ratios = self.known[lang]
-        if not words:
-            return 0, 0.0, None, []
-        index = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        left = Counter(i for i in index.tolist() if i in rare) if rare else Counter()
-        whole = index[~np.isin(index, list(left))] if left else index
-        worst = float(ratios[0][whole].max()) if len(whole) else None
-        return int(sizes[0][index].sum()), float(logs[0][index].sum()), worst, [(k, float(ratios[0][i]), rare[i]) for i, k in left.items()]
-
-
-def _gram_hashes(grams: list[str], order: int) -> np.ndarray:
-    """The hash that Places gives a gram: of the gram alone, wherever it stands."""
-    text = "".join(grams)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-    first = np.cumsum(sizes) - sizes
-    h = np.zeros(len(grams), np.uint64)
-    for j in range(order):
-        live = j < sizes
-        h = np.where(live, (h ^ points[np.minimum(first + j, len(points) - 1)]) * np.uint64(0x9E3779B97F4A7C15), h)
-        h ^= h >> np.uint64(29)
-    return mix(h)
-
-
-def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, head: int = HEAD) -> DataFrame:
-    """(rid, doc_id, lang, trusted, n_chars, log_prob, worst) per row of docs (doc_id, lang, trusted, text).
-
-    n_chars counts the characters of words and their ends. worst is the greatest sum of the model's ratio over one word, or
-    0 where the model has no ratio. Documents' n-grams meet the model in two ways: the `head` most frequent n-grams
-    through a broadcast of that size, all others, word by word, through a join by (lang, gram)."""
-    if "ratio" not in model.columns:
-        model = model.withColumn("ratio", F.lit(0.0))
-    top = model.orderBy(F.desc("seen"), "lang", "gram").limit(head).select("lang", "gram", "logp", "ratio").toArrow()
-    held = docs.sparkSession.sparkContext.broadcast(top)
+    """The broadcast n-grams of one language, found by the upper bits of a hash; of two in one slot one is left out."""
+
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, ratio: np.ndarray):
+        slot = self.slots(grams)
+        self.keys, self.at = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int32)
+        self.keys[slot], self.at[slot] = grams, np.arange(len(grams))
+        self.logp, self.ratio = logp, ratio
+
+    @staticmethod
+    def slots(grams: np.ndarray) -> np.ndarray:
+        return (mix(grams.astype(U64)) >> U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are known, and the places of all."""
+        slot = self.slots(grams)
+        return self.keys[slot] == grams, self.at[slot]
+
+
+def _frequent(model: DataFrame, most: int) -> DataFrame:
+    """The n-grams that occur oftenest, no more than `most`: all from a frequency on, which a histogram of bounded size tells."""
+    bins = F.when(F.col("seen") < 4096, F.col("seen")).otherwise(F.floor(F.log2("seen") * 16) + 4096)
+    total, least = 0, None
+    for r in model.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min("seen").alias("least")).orderBy(F.desc("bin")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return model.where(F.lit(False) if least is None else F.col("seen") >= least)
+
+
+def document_scores(docs: DataFrame, model: DataFrame, head: int = HEAD) -> DataFrame:
+    """(rid, doc_id, lang, trusted, n_chars, n_grams, log_prob, evidence) per row of docs (doc_id, lang, trusted, text).
+
+    n_chars counts the characters of words and the spaces behind them, n_grams the different n-grams; evidence adds up
+    what the ratios of these exceed STRONG by. Documents' n-gram counts meet the model in two ways: the `head` most
+    frequent ones through a broadcast of that size, all others through a join by (lang, gram)."""
+    held = docs.sparkSession.sparkContext.broadcast(_frequent(model, head).select("lang", "gram", "logp", "ratio").toArrow())
+    names = ["rid", "lang", "gram", "times", "doc_id", "trusted", "n_chars", "n_grams", "log_prob", "evidence"]
 
     def run(batches):
-        row, head = TaskContext.get().partitionId() << 33, _Head(held.value, order)
+        top, row, heads = held.value, TaskContext.get().partitionId() << 33, {}
+        langs, (all_grams, logp, ratio) = np.array(top["lang"].to_pylist(), object), (top[c].to_numpy() for c in ("gram", "logp", "ratio"))
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            of = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), map(str.split, decoded(batch)), strict=True)
-            while some := list(islice(of, 256)):
-                head.learn(some)
-                for doc, lang, trusted, words in some:
+            texts, of, ids, flags = decoded(batch), batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("trusted").to_pylist()
+            for i, j in _slices(texts):
+                whole, at = grams_of(texts[i:j])
+                cols: list[list] = [[] for _ in names]
+                rare: list[tuple] = []
+                for r in range(i, j):
                     row += 1
-                    chars, known, worst, partly = head.score(lang, words)
-                    for i, (times, base, grams) in enumerate(partly, 1):
-                        for g in grams:
-                            for c, v in zip(out, (row, i, lang, g, times, base, None, None, None, None), strict=True):
-                                c.append(v)
-                    for c, v in zip(out, (row, 0, lang, f"{row}", 1, worst, doc, trusted, chars, known), strict=True):
+                    if of[r] not in heads:
+                        mine = langs == of[r]
+                        heads = {} if len(heads) >= 8 else heads
+                        heads[of[r]] = _Head(all_grams[mine], logp[mine], ratio[mine]) if mine.any() else None
+                    grams, times = np.unique(whole[at[r - i] : at[r - i + 1]], return_counts=True)
+                    lookup, log_prob, evidence = heads[of[r]], 0.0, 0.0
+                    if lookup is not None and len(grams):
+                        known, place = lookup(grams)
+                        place = place[known]
+                        log_prob = float((lookup.logp[place] * times[known]).sum())
+                        evidence = float(np.maximum(lookup.ratio[place] - STRONG, 0).sum())
+                        rare.append((row, of[r], grams[~known], times[~known]))
+                    else:
+                        rare.append((row, of[r], grams, times))
+                    for c, v in zip(cols, (row, of[r], -row, 1, ids[r], flags[r], int(times.sum()), len(grams), log_prob, evidence), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "w", "lang", "gram", "times", "base", "doc_id", "trusted", "n_chars", "known"])
-
-    rows = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "rid long, w int, lang string, gram string, times long, base double, doc_id long, trusted boolean, n_chars long, known double")
-    joined = rows.join(model.select("lang", "gram", "logp", "ratio"), ["lang", "gram"], "left").repartition("rid")
-    whole = F.col("n_chars").isNotNull()
-    part, apart = F.when(whole, F.col("known")).otherwise(F.col("times") * F.coalesce("logp", F.lit(0.0))), F.when(whole, 0.0).otherwise(F.coalesce("ratio", F.lit(0.0)))
-    most = [F.max(c).alias(c) for c in ("doc_id", "lang", "trusted", "n_chars")]
-    words = joined.groupBy("rid", "w").agg(*most, F.sum(part).alias("log_prob"), (F.max("base") + F.sum(apart)).alias("worst"))
-    return words.groupBy("rid").agg(*most, F.sum("log_prob").alias("log_prob"), F.max("worst").alias("worst"))
-
-
-def _quantile(rows: DataFrame, key: F.Column, value: F.Column, name: str, quantile: float) -> DataFrame:
-    """(lang, name): the quantile of value over the rows of each key, in STEPs, rounded up."""
-    bins = rows.where(value.isNotNull()).groupBy(key.alias("lang"), F.ceil(value / STEP).alias("bin")).agg(F.count("*").alias("n"))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                sizes = [len(x[2]) for x in rare]
+                n = sum(sizes)
+                if n:
+                    lang = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(rare)), sizes)), pa.array([x[1] for x in rare], pa.string())).cast(pa.string())
+                    some = [pa.array(np.repeat([x[0] for x in rare], sizes)), lang, pa.array(np.concatenate([x[2] for x in rare])), pa.array(np.concatenate([x[3] for x in rare]))]
+                    yield pa.RecordBatch.from_arrays([*some, *(pa.nulls(n, k) for k in kinds[4:])], names)
+
+    rows = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, "rid long, lang string, gram long, times long, doc_id long, trusted boolean, n_chars long, n_grams long, log_prob double, evidence double")
+    joined = rows.join(model.select("lang", "gram", "logp", "ratio"), ["lang", "gram"], "left")
+    log_prob = F.coalesce("log_prob", F.col("times") * F.coalesce("logp", F.lit(0.0)))
+    evidence = F.coalesce("evidence", F.greatest(F.coalesce("ratio", F.lit(0.0)) - STRONG, F.lit(0.0)))
+    most = [F.max(c).alias(c) for c in ("doc_id", "lang", "trusted", "n_chars", "n_grams")]
+    return joined.groupBy("rid").agg(*most, F.sum(log_prob).alias("log_prob"), F.sum(evidence).alias("evidence"))
+
+
+def _quantile(rows: DataFrame, value: str, name: str, quantile: float) -> DataFrame:
+    """(lang, name): the quantile of value over each language's rows, rounded up to a STEP."""
+    bins = rows.where(F.col(value).isNotNull()).groupBy("lang", F.ceil(F.col(value) / STEP).alias("bin")).agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("lang").orderBy("bin")
     reached = bins.withColumn("below", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    return reached.where(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg(F.min("bin").alias(name))
+    return reached.where(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg((F.min("bin") * STEP).alias(name))
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, bad: DataFrame | None = None) -> DataFrame:
-    """doc_id, lang, n_chars, log_prob, perplexity, threshold, worst, worst_threshold, kept for every row of docs
+def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, bad: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, n_chars, log_prob, perplexity, threshold, badness, badness_threshold, kept for every row of docs
     (doc_id, lang, text).
 
-    trusted has the doc_ids of documents to learn from; each language has a model of its own. perplexity is per
-    character, words' ends included. bad has the doc_ids of documents that are known to be bad or toxic: a second model
-    learns from them, and worst is the greatest log ratio of a word's probabilities by it and by the trusted one, so a
-    few marked words count however long the document is. Thresholds come from trusted documents that are
-    HELD_OUT of all counts (from all trusted ones where those are too few), to one part in a thousand: the quantile of
-    worst, and for perplexity the language's median times the quantile of perplexities over their languages' medians.
-    Documents up to both are kept. A null lang is the language `und`. A null or empty text, or one of white space, has
-    no perplexity and isn't kept. Where a language has no trusted text nothing can be said: perplexity and thresholds
-    are null and the document is kept; where it has no bad text, worst and its threshold are 0. Rows that repeat are
-    scored each; an empty table gives no rows; other columns are left alone; a null doc_id is scored and not learned
-    from; an id that is both trusted and bad is bad.
+    trusted has the doc_ids of documents to learn from; each language has a model of its own, of n-grams of characters
+    that cross the ends of words. perplexity is per character, words' ends included. bad has the doc_ids of documents
+    that are known to be bad or toxic: a second model learns from them. An n-gram that it makes more likely by over
+    STRONG is evidence against a document, counted once however often it occurs; badness is the evidence by the root of
+    the number of different n-grams, so a few marked words count in a long document too. Thresholds are quantiles of
+    each language's trusted documents that are HELD_OUT of all counts (of all its trusted ones where those are too
+    few), to one part in a thousand. Documents up to both are kept.
+
+    A null lang is the language `und`. A null or empty text, or one of white space, has no perplexity and isn't kept.
+    Where a language has no trusted text nothing can be said: perplexity and thresholds are null and the document is
+    kept; where it has no bad text, badness is 0. Rows that repeat are scored each; an empty table gives no rows; other
+    columns are left alone; a null doc_id is scored and not learned from; an id that is both trusted and bad is bad.
     """
     ids = trusted.select("doc_id", F.lit(False).alias("bad"))
     ids = ids if bad is None else ids.unionByName(bad.select("doc_id", F.lit(True).alias("bad")))
@@ -271,22 +296,19 @@ def score_quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTIL
     enough = cut(named.where(f"not bad and {HELD_OUT}").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).select("lang", F.lit(True).alias("split")))
     named = named.join(F.broadcast(enough), "lang", "left").withColumn("held", F.expr(f"coalesce(split, false) and {HELD_OUT}"))
     named = named.select("doc_id", "lang", "text", F.expr("coalesce(not bad and not held, false)").alias("trusted"), F.expr("coalesce(bad and not held, false)").alias("bad"), F.expr("coalesce(not bad and held = coalesce(split, false), false)").alias("fit"))
-    counts = keep(window_counts(named, order))
-    model = kneser_ney(counts, order)
-    if bad is not None:
-        against = kneser_ney(counts.withColumn("trusted", F.col("bad")), order).select("lang", "gram", F.col("logp").alias("against"))
-        model = model.join(against, ["lang", "gram"], "left").withColumn("ratio", F.coalesce(F.col("against") - F.col("logp"), F.lit(0.0))).drop("against")
-    model = keep(model)
-    scored = cut(perplexities(named.withColumn("trusted", F.col("fit")), model, order))
-    judged = scored.join(F.broadcast(model.select("lang").distinct().withColumn("has", F.lit(True))), "lang", "left")
-    judged = judged.withColumn("log_ppl", F.when(F.col("has") & (F.col("n_chars") > 0), -F.col("log_prob") / F.col("n_chars"))).withColumn("worst", F.when(F.col("log_ppl").isNotNull(), F.col("worst")))
-    fit, every = judged.where("trusted"), F.lit("")
-    middle = cut(_quantile(fit, F.col("lang"), F.col("log_ppl"), "middle", 0.5))
-    above = _quantile(fit.join(F.broadcast(middle), "lang"), every, F.col("log_ppl") - F.col("middle") * STEP, "above", quantile)
-    limits = middle.join(F.broadcast(above.drop("lang"))).join(F.broadcast(_quantile(fit, every, F.col("worst"), "worst_bin", WORST_QUANTILE).drop("lang")))
-    out = judged.join(F.broadcast(limits.withColumn("bin", F.col("middle") + F.col("above"))), "lang", "left")
-    kept = F.when(F.col("n_chars") == 0, False).when(F.col("bin").isNull(), True).otherwise((F.col("log_ppl") <= F.col("bin") * STEP) & (F.col("worst") <= F.col("worst_bin") * STEP))
-    return out.select("doc_id", "lang", "n_chars", "log_prob", F.exp("log_ppl").alias("perplexity"), F.exp(F.col("bin") * STEP).alias("threshold"), "worst", (F.col("worst_bin") * STEP).alias("worst_threshold"), kept.alias("kept"))
+    counts = keep(gram_counts(named))
+    model = keep(kneser_ney(counts))
+    has = cut(counts.where("trusted > 0").select("lang").distinct().withColumn("has", F.lit(True)))
+    discard(counts)
+    scored = keep(document_scores(named.withColumn("trusted", F.col("fit")), model))
+    discard(model)
+    known = F.col("has") & (F.col("n_chars") > 0)
+    judged = scored.join(F.broadcast(has), "lang", "left").withColumn("log_ppl", F.when(known, -F.col("log_prob") / F.col("n_chars"))).withColumn("badness", F.when(known, F.col("evidence") / F.sqrt("n_grams")))
+    fit = judged.where("trusted")
+    limits = _quantile(fit, "log_ppl", "log_limit", quantile).join(_quantile(fit, "badness", "badness_threshold", BAD_QUANTILE), "lang")
+    out = judged.join(F.broadcast(limits), "lang", "left")
+    kept = F.when(F.col("n_chars") == 0, False).when(F.col("log_limit").isNull(), True).otherwise((F.col("log_ppl") <= F.col("log_limit")) & (F.col("badness") <= F.col("badness_threshold")))
+    return out.select("doc_id", "lang", "n_chars", "log_prob", F.exp("log_ppl").alias("perplexity"), F.exp("log_limit").alias("threshold"), "badness", "badness_threshold", kept.alias("kept"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where none is set (tests), a new folder becomes it."""
+    """spark.checkpoint.dir of the session. Where none is set a new local folder becomes it, in a local session (tests)
+    only: executors elsewhere would not see its files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return where or sc.getCheckpointDir()
 
@@ -32,13 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in the shared folder: a third of a checkpoint's size for many narrow rows. Like all
-    else there, it stays until the cluster clears that folder."""
-    where = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """The same as a Parquet table in the shared folder: a third of a checkpoint's size for many narrow rows."""
+    where = os.path.join(shared_dir(df.sparkSession), "tables", uuid.uuid4().hex)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def discard(kept: DataFrame) -> None:
+    """Deletes a table of keep(), once all that was read from it is itself materialised."""
+    for name in kept.inputFiles()[:1]:
+        folder = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in map(str.lower, df.columns):

@@ -288,52 +288,86 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs(spark, []), token_counts.default_model()).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_meets_the_formula(spark):
-    words = {"ab": 5, "abc": 3, "b": 4, "cab": 2, "ba": 1, "aab": 1}
-    count = collections.Counter()
-    for w, k in words.items():
-        for g in quality.places(w, 2):
-            count[g] += k
-    chars = "abc" + quality.LAST
-    wanted = [a + b for a in quality.FIRST + "abc" for b in chars]
-    rows = [("x", g, count.get(g, 0), 1) for g in {*wanted, *count}]
-    got = {r["gram"]: np.exp(r["logp"]) for r in quality.kneser_ney(spark.createDataFrame(rows, "lang string, gram string, trusted long, seen long"), 2).collect()}
-    # by hand: discounts from counts of counts, fallbacks 0.5, 1 and 1.5
-    kinds = {b: len({a for a in quality.FIRST + "abc" if count[a + b]}) for b in chars}
-
-    def discounts(values):
-        n = [sum(v == k for v in values) for k in range(5)]
-        if not all(n[1:]):
-            return [0.5, 1.0, 1.5]
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-        return [x if x > 0 else 0.5 * (k + 1) for k, x in enumerate(d)]
-
-    d1, d2 = discounts(kinds.values()), discounts([v for v in count.values() if v])
-    cut = lambda c, d: min(c, d[min(c, 3) - 1]) if c else 0
-    total = sum(kinds.values())
-    uni = {b: (kinds[b] - cut(kinds[b], d1)) / total + sum(cut(k, d1) for k in kinds.values()) / total / (len(chars) + 1) for b in chars}
-    for a in quality.FIRST + "abc":
-        n = sum(count[a + b] for b in chars)
-        rest = sum(cut(count[a + b], d2) for b in chars) / n
-        for b in chars:
-            assert got[a + b] == pytest.approx((count[a + b] - cut(count[a + b], d2)) / n + rest * uni[b], rel=1e-9)
-        assert sum(got[a + b] for b in chars) <= 1 + 1e-9
-
-
-def test_quality(spark):
-    texts = [*ODD, *[prose(60, 500 + i) for i in range(24)], "XQ!! ZW## " * 40]
+def brute_kneser_ney(texts, order=quality.ORDER):
+    """log probability of a text by the model of texts, with n-grams as strings and dictionaries."""
+    spaced = lambda t: [x for x in [quality.EDGE + " ".join(t.split()) + " "] if t.split()]
+    places = lambda t: [s[i - order + 1 : i + 1] for s in spaced(t) for i in range(order, len(s))]
+    levels = {order: collections.Counter(g for t in texts for g in places(t))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    cut, total, held = {}, {}, {}
+    for n, c in levels.items():
+        k = [sum(v == i for v in c.values()) for i in range(5)]
+        d = [0.5, 1.0, 1.5]
+        if all(k[1:]):
+            y = k[1] / (k[1] + 2 * k[2])
+            d = [x if (x := i - (i + 1) * y * k[i + 1] / k[i]) > 0 else 0.5 * i for i in (1, 2, 3)]
+        cut[n] = {g: min(v, d[min(v, 3) - 1]) for g, v in c.items()}
+        total[n], held[n] = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            held[n][g[:-1]] += cut[n][g]
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(levels[1]) + 1)
+        if not total[n][g[:-1]]:
+            return p(g[1:])
+        return (levels[n][g] - cut[n].get(g, 0) + held[n][g[:-1]] * p(g[1:])) / total[n][g[:-1]]
+
+    return lambda t: (len(places(t)), sum(np.log(p(g)) for g in places(t)), {g: np.log(p(g)) for g in places(t)})
+
+
+def test_quality_equals_brute_force(spark):
+    """Perplexity, evidence and thresholds of every document, by n-grams of strings; with all n-grams joined too."""
+    texts = [*ODD[:5], *[prose(60, 500 + i) for i in range(40)], *[prose(40, 600 + i) + " zyxomoron zyx" for i in range(6)], "XQ!! ZW## " * 40]
+    good, bad = list(range(5, 45)), list(range(45, 50))
     d = docs(spark, texts).withColumn("lang", F.lit("en"))
-    trusted = spark.createDataFrame([(len(ODD) + i,) for i in range(20)] + [(None,)], "doc_id long")
-    got = {r["doc_id"]: r for r in quality.score_quality(d, trusted).collect()}
-    assert len(got) == len(texts) and not got[len(texts) - 1]["kept"] and not got[0]["kept"]
-    assert sum(got[i]["kept"] for i in range(len(ODD), len(texts) - 1)) >= 20
-    assert got[0]["perplexity"] is None and got[len(texts) - 1]["perplexity"] > got[len(ODD)]["perplexity"]
-    small = {r["doc_id"]: r["log_prob"] for r in quality.perplexities(d.select("doc_id", "lang", "text").withColumn("trusted", F.lit(True)), quality.kneser_ney(quality.window_counts(d.withColumn("trusted", F.col("doc_id").between(len(ODD), len(ODD) + 19)))), head=3).collect()}
-    assert all(small[i] == pytest.approx(got[i]["log_prob"]) for i in small)
-    nothing = quality.score_quality(d, trusted.limit(0)).collect()
+    ids = lambda x: spark.createDataFrame([(i,) for i in x] + [(None,)], "doc_id long")
+    got = {r["doc_id"]: r for r in quality.score_quality(d, ids(good), bad=ids(bad)).collect()}
+    model, against = brute_kneser_ney([texts[i] for i in good]), brute_kneser_ney([texts[i] for i in bad])
+    badness, log_ppl = {}, {}
+    for i, t in enumerate(texts):
+        n, total, each = model(t or "")
+        assert got[i]["n_chars"] == n and got[i]["log_prob"] == pytest.approx(total, rel=1e-9)
+        if n:
+            ratio = {g: x - each[g] for g, x in against(t)[2].items()}
+            badness[i], log_ppl[i] = sum(max(0, x - quality.STRONG) for x in ratio.values()) / len(each) ** 0.5, -total / n
+            assert got[i]["badness"] == pytest.approx(badness[i], abs=1e-9) and got[i]["perplexity"] == pytest.approx(np.exp(-total / n))
+        else:
+            assert got[i]["perplexity"] is None and not got[i]["kept"]
+    for name, value, q in (("threshold", log_ppl, quality.QUANTILE), ("badness_threshold", badness, quality.BAD_QUANTILE)):
+        want = sorted(value[i] for i in good)[-int(-(q * len(good)) // 1) - 1]
+        found = got[5][name] if name != "threshold" else np.log(got[5][name])
+        assert want - 1e-9 <= found <= want + quality.STEP + 1e-9
+    assert not any(got[i]["kept"] for i in range(45, len(texts)))
+    named = d.select("doc_id", "lang", "text").withColumn("trusted", F.col("doc_id").isin(good)).withColumn("bad", F.col("doc_id").isin(bad))
+    model = quality.keep(quality.kneser_ney(quality.keep(quality.gram_counts(named))))
+    for head in (0, 40):
+        small = {r["doc_id"]: r for r in quality.document_scores(named, model, head).collect()}
+        assert all(small[i]["log_prob"] == pytest.approx(got[i]["log_prob"]) for i in small)
+    nothing = quality.score_quality(d, ids([])).collect()
     assert all(r["threshold"] is None for r in nothing) and sum(r["kept"] for r in nothing) == len(texts) - 4
-    assert quality.score_quality(docs(spark, []), trusted).count() == 0
+    assert quality.score_quality(docs(spark, []), ids(good)).count() == 0
+
+
+def test_quality_of_shuffled_words_is_lower(spark):
+    """The order of words counts: n-grams cross the ends of words."""
+    r = random.Random(11)
+    after = {w: r.sample(WORDS, 2) for w in WORDS}
+
+    def walk(n):
+        out = [r.choice(WORDS)]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    texts = [walk(120) for _ in range(60)]
+    mixed = [r.sample(t, len(t)) for t in texts[40:]]
+    d = docs(spark, [" ".join(t) for t in texts + mixed]).withColumn("lang", F.lit("en"))
+    got = {x["doc_id"]: x["log_prob"] for x in quality.score_quality(d, spark.createDataFrame([(i,) for i in range(40)], "doc_id long")).collect()}
+    assert all(got[40 + i] > got[60 + i] for i in range(20))
 
 
 def test_quality_rejects_few_marked_words(spark, tmp_path):
