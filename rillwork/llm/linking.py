@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import connected_components
-from rillwork.llm.store import cut, keep, semi
+from rillwork.llm.store import BROADCAST_IDS, cut, semi
 from rillwork.llm.text import U64, Texts, blocks, column, distinct, jaccard_parts, per_batch
 
 
@@ -51,48 +51,65 @@ def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(PARITIES))], ["id", *(f"p{i}" for i in range(PARITIES))])
 
 
+#: Pairs of one member, and members of one bucket, that a task takes together; more are split.
+SPLIT = 500
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """Those (a, b) of a materialised list whose whole texts' shingle sets have 100 * both >= percent * either."""
+    """Those (a, b) of a materialised list whose whole texts' shingle sets have 100 * both >= percent * either.
+
+    The pairs of a b with many are split over several copies of its text."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     need = semi(texts, ids, "id", ids.count()).groupBy("id").agg(F.first("text").alias("text"))
-    full = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(need.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    hot = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).alias("pieces")).where("pieces > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.expr("coalesce(pmod(xxhash64(a), pieces), 0)").alias("piece"))
+    hubs = need.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(hot, "b", "left").select("b", "tb", F.explode(F.expr("sequence(0L, coalesce(pieces, 1) - 1)")).alias("piece"))
+    full = dealt.join(need.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(hubs, ["b", "piece"])
     return full.select("a", "b", "ta", "tb").mapInArrow(_same(percent), "a long, b long")
 
 
-def near_components(items: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+def bucket_members(items: DataFrame) -> DataFrame:
+    """(key, id, n, hub, nh) of items (id long, n long, keys array<long>; one row per id): the members of every bucket of
+    several, and its least id, the hub, with its size."""
+    rows = items.select("id", "n", F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("n", "id").alias("nh")).where("hub <> last").drop("last")
+    return rows.join(hubs, "key").select("key", "id", "n", "hub", "nh")
+
+
+def near_components(members: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
     """(id, label) of the items that are linked with another one; label is the least id reachable.
 
-    items: id long, n long (set size), keys array<long> (band keys), one row per id. texts: id, text; rows with
-    equal ids have equal texts.
+    members: bucket_members(), materialised: key, id, n (set size), hub, nh (its set size); a bucket's hubs must be
+    members of it that lead to one another or to one. texts: id, text; rows with equal ids have equal texts.
 
-    1. A bucket's members are compared with its least id only (a star), so a bucket of n costs n comparisons.
+    1. A bucket's members are compared with its hub only (a star), so a bucket of n costs n comparisons.
     2. Components of those links are found. In buckets that still hold several components every member outside the
        bucket's largest one is held against all members of other components; the join itself rejects those whose sets
        can't be alike by their sizes and parities, and what it lets pass is verified. After that each two members
-       of a bucket are in one component or known to be unlike, so no link that the bands suggest is lost.
+       of a bucket are in one component or known to be unlike, so no link that the bands suggest is lost. Buckets with
+       many members outside the largest component are split over tasks by those.
     """
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    rows = items.select("id", "n", F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("n", "id").alias("nh")).where("hub <> last").drop("last")
-    members = keep(rows.join(hubs, "key").select("key", "id", "n", "hub", "nh"))
     stars = cut(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")).distinct().where(fits).select("a", "b"))
     links = cut(verified(stars, texts, percent))
     labels = cut(connected_components(links))
 
-    named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    named = members.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), F.ceil((F.sum("size") - F.max("size")) / SPLIT).alias("pieces")).where("parts > 1").drop("parts")
     several = cut(named.join(mixed, "key"))
     if several.isEmpty():
         return labels.withColumnRenamed("node", "id")
     ids = cut(several.select("id").distinct())
     need = semi(texts, ids, "id", ids.count()).groupBy("id").agg(F.first("text").alias("text"))
     several = several.join(need.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"p{i} long" for i in range(PARITIES))), "id")
-    one, other = several.where("label <> main").alias("x"), several.alias("y")
+    one = several.where("label <> main").withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
+    other = several.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
     apart = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES))
     most = f"(x.n + y.n - ({apart})) div 2"
     near = F.expr(f"x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})")
-    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(verified(rest, texts, percent))

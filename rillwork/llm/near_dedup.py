@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.linking import near_components
-from rillwork.llm.store import cut, fresh, table
+from rillwork.llm.linking import bucket_members, near_components
+from rillwork.llm.store import cut, discard, fresh, keep, table
 from rillwork.llm.text import band_keys, blocks, circulant, distinct, per_batch
 
 #: At a similarity of 0.75 a pair shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -39,7 +39,9 @@ def _linked(docs: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     signed = cut(signatures(docs, bands, rows))
     classes = cut(signed.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     texts = docs.select(F.xxhash64("text").alias("id"), "text").where("text is not null")
-    linked = near_components(classes.select("id", "n", "keys"), texts, percent)
+    members = keep(bucket_members(classes.select("id", "n", "keys")))
+    linked = near_components(members, texts, percent)
+    discard(members)
     named = classes.select("id", "first_doc").join(linked, "id", "left").select("id", "first_doc", F.coalesce("label", "id").alias("label"))
     keeper = F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "id"))["id"]
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"), keeper.alias("keeper"))

@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.linking import near_components
-from rillwork.llm.store import fresh, keep, table
+from rillwork.llm.store import discard, fresh, keep, table
 from rillwork.llm.text import U64, Texts, band_keys, blocks, circulant, mix, per_batch
 
 #: A paragraph begins at a line of LEAST_WORDS or more, behind one, or where the hash of two words is the least among its
 #: RADIUS neighbours on both sides.
-RADIUS = 5
-#: No paragraph has fewer words unless its text has; runs of repeated paragraphs of fewer words are not reported.
-LEAST_WORDS, RUN_WORDS = 6, 15
+RADIUS = 7
+#: No paragraph has fewer words unless its text has.
+LEAST_WORDS = 6
+#: Runs of repeated paragraphs of fewer words are not reported: a passage of fifty words loses up to a dozen at each end,
+#: where its paragraphs reach into what is around it.
+RUN_WORDS = 26
 #: Equal paragraphs share every band; at a similarity of 0.75 two share none with probability 0.13 percent, at 0.9 0.0002
 #: percent. A single coordinate a band would miss less, but then every common phrase makes a bucket.
 BANDS, ROWS = 8, 2
-#: Bits of the filter that thins the second scan; its size never changes, its misses cost time only.
-FILTER_BITS = 27
 #: Words that may lie between two repeated paragraphs of one passage.
 GAP = 8
+#: Bits of the filter that thins the scan for candidates' texts; its size never changes, its misses cost time only.
+FILTER_BITS = 27
 
 
 def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +65,14 @@ def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(t: Texts):
-    """Paragraphs that are compared: (first, last, text, id, n, keys), n the number of different shingles."""
+    """Paragraphs that are compared: (first, last, text, id, n, shingles, at), n the number of different shingles, which
+    are all that id tells; shingles are in order, those of paragraph i from at[i] on."""
     first, last = _paragraphs(t)
     text = np.searchsorted(t.at, first, "right") - 1
     long = last - first >= LEAST_WORDS
     first, last, text = first[long], last[long], text[long]
     if not len(first):
-        return first, last, text, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
+        return first, last, text, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(1, np.int64)
     n = len(t.word)
     h = np.zeros(max(n - 4, 0), U64)
     for j in range(5):
@@ -84,55 +88,94 @@ def _compared(t: Texts):
     order = np.lexsort((inside, group))
     new = np.ones(len(order), bool)
     new[1:] = (inside[order][1:] != inside[order][:-1]) | (group[1:] != group[:-1])
-    n = np.add.reduceat(new, at[:-1], dtype=np.int64)
-    return first, last, text, same.view(np.int64), n, band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)
+    return first, last, text, same.view(np.int64), np.add.reduceat(new, at[:-1], dtype=np.int64), inside, at
+
 
+def _characters(t: Texts, first: np.ndarray, last: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where paragraphs begin and end in their texts, in characters."""
+    points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
+    zero = points[t.offsets[text]]
+    return points[t.start[first]] - zero, points[t.end[last - 1]] - zero
+
+
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, w0, w1, c0, c1, id): every paragraph that is compared, in words and characters from w0 and c0 up to
+    w1 and c1, with a hash of its shingles. docs: doc_id, text_id, text."""
 
-def _keys(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [_compared(t)[5].ravel() for _, _, t in blocks(batch)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], ["key"])
+        rows, cols = [], [[] for _ in range(5)]
+        for i, _, t in blocks(batch):
+            first, last, text, same, *_ = _compared(t)
+            rows.append(i + text)
+            for c, v in zip(cols, (first - t.at[text], last - t.at[text], *_characters(t, first, last, text), same), strict=True):
+                c.append(v)
+        at = pa.array(np.concatenate(rows))
+        ids = [batch.column(c).take(at) for c in ("doc_id", "text_id")]
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(np.concatenate(c), k) for c, k in zip(cols, [pa.int32()] * 4 + [pa.int64()], strict=True))], ["doc_id", "text_id", "w0", "w1", "c0", "c1", "id"])
 
-    return docs.select("text").mapInArrow(per_batch(run), "key long")
+    return docs.select("doc_id", "text_id", "text").mapInArrow(per_batch(run), "doc_id long, text_id long, w0 int, w1 int, c0 int, c1 int, id long")
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over keys; it grows on the executors and is all that the driver gets."""
-    bit = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = keys.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast((key & {(1 << FILTER_BITS) - 1}) & 63 as int)))").alias("bits"))
+def bucket_members(docs: DataFrame) -> DataFrame:
+    """(key, id, hub): the paragraphs of every band key that different ones share, and one of these, the hub, to compare
+    each with.
+
+    Every batch of texts finds its own hubs first and passes on nothing but those under the key, so a key that a third
+    of all paragraphs have is one row from each batch; the others already have their hub."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, keys = [], []
+        for _, _, t in blocks(batch):
+            _, _, _, same, _, inside, at = _compared(t)
+            same, some = np.unique(same, return_index=True)
+            ids.append(same)
+            keys.append(band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)[some])
+        one, some = np.unique(np.concatenate(ids), return_index=True)
+        key = np.concatenate(keys)[some].ravel()
+        row = np.repeat(np.arange(len(one)), BANDS)
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        begins = np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1])
+        hub, alone = row[np.flatnonzero(begins)[np.cumsum(begins) - 1]], begins & np.append(begins[1:], True)[: len(key)]
+        place = np.where(begins, key, mix(key.view(U64) ^ mix(one[row].view(U64))).view(np.int64))
+        own = pa.StructArray.from_arrays([pa.array(key), pa.array(one[hub], mask=begins)], ["key", "hub"], mask=pa.array(alone))
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(one[row]), own], ["place", "id", "own"])
+
+    rows = docs.select("text").mapInArrow(per_batch(run), "place long, id long, own struct<key: long, hub: long>")
+    of_key = Window.partitionBy("place")
+    rows = rows.select("*", F.min("id").over(of_key).alias("least"), F.max("id").over(of_key).alias("greatest"))
+    shared = rows.where("own is not null or least <> greatest")
+    return shared.select(F.coalesce("own.key", "place").alias("key"), "id", F.coalesce("own.hub", "least").alias("hub")).distinct()
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over ids; it grows on the executors and is all that the driver gets."""
+    low = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = ids.groupBy(F.shiftright(low, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast((id & {(1 << FILTER_BITS) - 1}) & 63 as int)))").alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     rows = words.toArrow()
     out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def _occurrences(docs: DataFrame, bitmap) -> DataFrame:
-    """Paragraphs that may share a key with another one, with their place and text."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, text) of the paragraphs with an id of ids, and of a few others that share its bit; n counts shingles."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bits(ids))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, ids = bitmap.value, batch.column("doc_id").to_pylist()
-        out: list[list] = [[] for _ in _NAMES]
-        for i, _, t in blocks(batch):
-            first, last, text, same, n, keys = _compared(t)
-            low = keys.view(U64) & U64((1 << FILTER_BITS) - 1)
-            some = np.flatnonzero((bits[low >> U64(3)] >> (low & U64(7)).astype(np.uint8) & 1).any(1))
-            if not len(some):
-                continue
-            points = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
-            a, b, r = t.start[first[some]], t.end[last[some] - 1], text[some]
-            whole, zero = t.data.tobytes(), points[t.offsets[r]]
-            numbers = [first[some] - t.at[r], last[some] - t.at[r], points[a] - zero, points[b] - zero, same[some], n[some], *keys[some].T]
-            out[0] += [ids[i + x] for x in r]
-            for c, v in zip(out[1:], numbers, strict=False):
-                c += v.tolist()
-            out[-1] += [whole[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for c, n in zip(out, _NAMES, strict=True)], _NAMES)
-
-    return docs.select("doc_id", "text").mapInArrow(per_batch(run), ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in _NAMES))
-
+        bits, ids, sizes, texts = bitmap.value, [], [], []
+        for _, _, t in blocks(batch):
+            first, last, _, same, n, *_ = _compared(t)
+            low = same.view(U64) & U64((1 << FILTER_BITS) - 1)
+            some = np.flatnonzero(bits[low >> U64(3)] >> (low & U64(7)).astype(np.uint8) & 1)
+            one, at = np.unique(same[some], return_index=True)
+            whole = t.data.tobytes()
+            ids += one.tolist()
+            sizes += n[some[at]].tolist()
+            texts += [whole[x:y].decode("utf-8", "replace") for x, y in zip(t.start[first[some[at]]], t.end[last[some[at]] - 1], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["id", "n", "text"])
 
-_KEYS = [f"k{i}" for i in range(BANDS)]
-_NAMES = ["doc_id", "w0", "w1", "c0", "c1", "id", "n", *_KEYS, "text"]
+    return docs.select("text").mapInArrow(per_batch(run), "id long, n long, text string").groupBy("id").agg(F.first("n").alias("n"), F.first("text").alias("text"))
 
 
 def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -140,31 +183,39 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     docs: doc_id, text; other columns are left alone. Documents are cut into paragraphs at the ends of lines of six words
     or more and, inside these and inside stretches of shorter lines, where the words themselves say so (see RADIUS), so a
-    passage is found wherever in a line it stands. Paragraphs, of at least six words each, are compared by the Jaccard similarity of their five-word shingles: MinHash bands
-    find candidates, whole sets verify them, and linked paragraphs form components. A component that touches more
-    than one document is a cluster; its earliest paragraph, by doc_id and place, stays and the others are removed.
-    Neighbouring paragraphs of a document with one fate make one passage, reported from 15 words on: start and length
-    in characters, cluster_id the least of its clusters, n_places how often the most frequent of them occurs.
-    Nulls, empty texts and texts without words have no passages; a row that repeats is the same document; an empty
-    table gives no rows; a null doc_id is ignored.
+    passage is found wherever in a line it stands. Paragraphs, of at least six words each, are compared by the Jaccard
+    similarity of their five-word shingles: MinHash bands find candidates, whole sets verify them, and linked paragraphs
+    form components. A component that touches more than one document is a cluster; its earliest paragraph, by doc_id and
+    place, stays and the others are removed. Neighbouring paragraphs of a document with one fate make one passage,
+    reported from RUN_WORDS words on: start and length in characters, cluster_id the least of its clusters, n_places how
+    often the most frequent of them occurs.
+    Nulls, empty texts and texts without words have no passages; a row that repeats is the same document, rows of one
+    doc_id with different texts are judged each; an empty table gives no rows; a null doc_id is ignored.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    shared = _keys(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    found = keep(_occurrences(docs, bitmap))
-    firsts = [F.first(c).alias(c) for c in ("n", *_KEYS)]
-    classes = keep(found.groupBy("id").agg(*firsts, F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places")))
-    linked = near_components(classes.select("id", "n", F.array(*_KEYS).alias("keys")), found.select("id", "text"), percent)
-    named = classes.select("id", "first_doc", "last_doc", "places").join(linked, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    clusters = named.groupBy("label").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("places").alias("n_places")).where("first_doc <> last_doc").drop("last_doc")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    found = keep(paragraphs_of(docs))
+    members = keep(bucket_members(docs))
+    texts = keep(_texts(docs, members.select("id")))
+    sized = keep(members.join(texts.select("id", "n"), "id").join(texts.select(F.col("id").alias("hub"), F.col("n").alias("nh")), "hub"))
+    discard(members)
+    linked = keep(near_components(sized, texts.select("id", "text"), percent))
+    discard(sized)
+    discard(texts)
+    classes = found.groupBy("id").agg(F.min(F.struct("doc_id", "text_id", "w0")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places"))
+    named = classes.join(linked, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = keep(named.where("label <> id or first.doc_id <> last_doc").unionByName(named.join(linked.select("label").distinct(), "label", "left_semi").where("label = id and first.doc_id = last_doc")))
+    clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.max("last_doc").alias("last_doc"), F.sum("places").alias("n_places")).where("first.doc_id <> last_doc").drop("last_doc")
     of_class = named.select("id", "label").join(clusters, "label")
-    hit = keep(found.select("doc_id", "w0", "w1", "c0", "c1", "id").join(of_class, "id").drop("id").distinct())
-    earliest = hit.where("doc_id = first_doc").groupBy("label").agg(F.min("w0").alias("first_w0"))
-    hit = hit.join(earliest, "label").withColumn("removed", (F.col("doc_id") != F.col("first_doc")) | (F.col("w0") != F.col("first_w0")))
-    order = Window.partitionBy("doc_id").orderBy("w0")
+    removed = F.struct("doc_id", "text_id", "w0") != F.col("first")
+    hit = found.join(of_class, "id").select("doc_id", "text_id", "w0", "w1", "c0", "c1", "label", "n_places", removed.alias("removed"))
+    hit = keep(hit.repartition("doc_id", "text_id").dropDuplicates(["doc_id", "text_id", "w0"]))
+    discard(found)
+    discard(named)
+    order = Window.partitionBy("doc_id", "text_id").orderBy("w0")
     new = F.coalesce((F.col("w0") - F.lag("w1").over(order) > GAP) | (F.lag("removed").over(order) != F.col("removed")), F.lit(True))
     runs = hit.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
-    out = runs.groupBy("doc_id", "run", "removed").agg(F.min("c0").alias("start"), (F.max("c1") - F.min("c0")).alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_places").alias("n_places"))
+    of_run = runs.groupBy("doc_id", "text_id", "run", "removed")
+    out = of_run.agg(F.min("c0").cast("long").alias("start"), (F.max("c1") - F.min("c0")).cast("long").alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_places").alias("n_places"))
     return out.where(F.col("n_words") >= RUN_WORDS).select("doc_id", "start", "length", "n_words", "cluster_id", "n_places", "removed")
 
 
