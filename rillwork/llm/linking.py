@@ -4,54 +4,62 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.llm.components import connected_components
 from rillwork.llm.store import BROADCAST_IDS, cut, semi
-from rillwork.llm.text import U64, Texts, blocks, column, distinct, jaccard_parts, per_batch
+from rillwork.llm.text import blocks, distinct, jaccard_parts, per_batch
+
+
+def _sets(batch: pa.RecordBatch, key: str, name: str) -> list[np.ndarray]:
+    """Shingle sets of a column of texts; one that repeats from row to row is made once."""
+    ids = np.asarray(batch.column(key))
+    new = np.append(True, ids[1:] != ids[:-1])
+    some = batch.select([name]).filter(pa.array(new))
+    made = [x for _, _, texts in blocks(some, name) for x in distinct(*texts.shingles())]
+    return [made[k] for k in np.cumsum(new) - 1]
 
 
 def _same(percent: int):
     """For mapInArrow over (a, b, ta, tb): keeps the pairs whose shingle sets are alike enough."""
 
-    def sets(batch: pa.RecordBatch, key: str, name: str) -> list[np.ndarray]:
-        """Sets of the rows; one that repeats from row to row is made once."""
-        data, off, _ = column(batch, name)
-        ids, out = batch.column(key).to_pylist(), []
-        for i, x in enumerate(ids):
-            if not i or x != ids[i - 1]:
-                out.append(distinct(*Texts(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]])).shingles())[0])
-            else:
-                out.append(out[-1])
-        return out
-
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keep = [100 * x >= percent * y and y > 0 for x, y in (jaccard_parts(a, b) for a, b in zip(sets(batch, "a", "ta"), sets(batch, "b", "tb"), strict=True))]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both = (jaccard_parts(a, b) for a, b in zip(_sets(batch, "a", "ta"), _sets(batch, "b", "tb"), strict=True))
+                yield batch.select(["a", "b"]).filter(pa.array([100 * x >= percent * y and y > 0 for x, y in both], pa.bool_()))
 
     return run
 
 
-#: 64-bit words of a set's parities: bit h of them is the parity of the elements hashed to h, so two sets differ in at
-#: least as many elements as their parities in bits. That bounds the intersection from above, exactly.
-PARITIES = 32
+def _listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = _sets(batch, "id", "text")
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
 
-def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    for _, _, texts in blocks(batch):
-        for x in distinct(*texts.shingles()):
-            odd = np.bincount((x >> U64(20)).astype(np.int64) & (PARITIES * 64 - 1), minlength=PARITIES * 64) & 1
-            out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-    words = np.stack(out)
-    return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(PARITIES))], ["id", *(f"p{i}" for i in range(PARITIES))])
+def _alike(items: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b), b < a: pairs of items (id, label; materialised) with different labels that may be alike enough, found exactly.
 
+    Two sets that are share one of the rarest of their shingles: of n in order of frequency and value, one of the first
+    n - ceil(n * percent / 100) + 1. A join by these holds no pair together for a common phrase, and what differs in
+    copies with edits is rare. A shingle that many sets still have is split over tasks."""
+    each = texts.mapInArrow(per_batch(_listed), "id long, shingles array<long>").join(items, "id")
+    rows = cut(each.select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("h")))
+    ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("times")), "h")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("times", "h"))
+    first = cut(ranked.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1 and times > 1")).select("id", "label", "n", "h"))
+    pieces = first.groupBy("h").agg(F.ceil(F.count("*") / SPLIT).alias("pieces"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h", "pieces")
+    dealt = first.join(pieces, "h")
+    one = dealt.withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
+    other = dealt.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
+    fits = F.expr(f"x.h = y.h and x.piece = y.piece and x.id > y.id and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    return one.join(other, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-#: Pairs of one member, and members of one bucket, that a task takes together; more are split.
+
+#: Pairs of one member, and sets with one shingle, that a task takes together; more are split.
 SPLIT = 500
 
 
@@ -84,33 +92,23 @@ def near_components(members: DataFrame, texts: DataFrame, percent: int = 75) ->
     members of it that lead to one another or to one. texts: id, text; rows with equal ids have equal texts.
 
     1. A bucket's members are compared with its hub only (a star), so a bucket of n costs n comparisons.
-    2. Components of those links are found. In buckets that still hold several components every member outside the
-       bucket's largest one is held against all members of other components; the join itself rejects those whose sets
-       can't be alike by their sizes and parities, and what it lets pass is verified. After that each two members
-       of a bucket are in one component or known to be unlike, so no link that the bands suggest is lost. Buckets with
-       many members outside the largest component are split over tasks by those.
+    2. Components of those links are found. The members of buckets that still hold several components are held
+       against each other by an exact join (_alike), whose pairs are verified too. After that each two members of a
+       bucket are in one component or known to be unlike, so no link that the bands suggest is lost.
     """
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     stars = cut(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")).distinct().where(fits).select("a", "b"))
     links = cut(verified(stars, texts, percent))
     labels = cut(connected_components(links))
 
-    named = members.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), F.ceil((F.sum("size") - F.max("size")) / SPLIT).alias("pieces")).where("parts > 1").drop("parts")
-    several = cut(named.join(mixed, "key"))
-    if several.isEmpty():
+    named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
+    several = cut(named.join(mixed, "key").select("id", "label").distinct())
+    n = several.count()
+    if not n:
         return labels.withColumnRenamed("node", "id")
-    ids = cut(several.select("id").distinct())
-    need = semi(texts, ids, "id", ids.count()).groupBy("id").agg(F.first("text").alias("text"))
-    several = several.join(need.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"p{i} long" for i in range(PARITIES))), "id")
-    one = several.where("label <> main").withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
-    other = several.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
-    apart = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES))
-    most = f"(x.n + y.n - ({apart})) div 2"
-    near = F.expr(f"x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})")
-    rest = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece")) & near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    need = semi(texts, several.select("id"), "id", n).groupBy("id").agg(F.first("text").alias("text"))
+    rest = cut(_alike(several, need, percent).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(verified(rest, texts, percent))
         if not more.isEmpty():
