@@ -65,14 +65,14 @@ def _paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(t: Texts):
-    """Paragraphs that are compared: (first, last, text, id, n, shingles, at), n the number of different shingles, which
-    are all that id tells; shingles are in order, those of paragraph i from at[i] on."""
+    """Paragraphs that are compared: (first, last, text, id, shingles, at). id is a hash of the shingles, which are in
+    order, those of paragraph i from at[i] on."""
     first, last = _paragraphs(t)
     text = np.searchsorted(t.at, first, "right") - 1
     long = last - first >= LEAST_WORDS
     first, last, text = first[long], last[long], text[long]
     if not len(first):
-        return first, last, text, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(1, np.int64)
+        return first, last, text, np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(1, np.int64)
     n = len(t.word)
     h = np.zeros(max(n - 4, 0), U64)
     for j in range(5):
@@ -84,11 +84,7 @@ def _compared(t: Texts):
     inside = h[np.repeat(first - at[:-1], counts) + np.arange(at[-1])]
     place = np.arange(at[-1]) - np.repeat(at[:-1], counts)
     same = mix(np.add.reduceat(mix(inside + (place.astype(U64) << U64(1))), at[:-1]) + counts.astype(U64))
-    group = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((inside, group))
-    new = np.ones(len(order), bool)
-    new[1:] = (inside[order][1:] != inside[order][:-1]) | (group[1:] != group[:-1])
-    return first, last, text, same.view(np.int64), np.add.reduceat(new, at[:-1], dtype=np.int64), inside, at
+    return first, last, text, same.view(np.int64), inside, at
 
 
 def _characters(t: Texts, first: np.ndarray, last: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +122,7 @@ def bucket_members(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys = [], []
         for _, _, t in blocks(batch):
-            _, _, _, same, _, inside, at = _compared(t)
+            _, _, _, same, inside, at = _compared(t)
             same, some = np.unique(same, return_index=True)
             ids.append(same)
             keys.append(band_keys(circulant(inside, at, BANDS * ROWS), BANDS, ROWS)[some])
@@ -165,13 +161,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, ids, sizes, texts = bitmap.value, [], [], []
         for _, _, t in blocks(batch):
-            first, last, _, same, n, *_ = _compared(t)
+            first, last, _, same, inside, begins = _compared(t)
             low = same.view(U64) & U64((1 << FILTER_BITS) - 1)
             some = np.flatnonzero(bits[low >> U64(3)] >> (low & U64(7)).astype(np.uint8) & 1)
             one, at = np.unique(same[some], return_index=True)
             whole = t.data.tobytes()
             ids += one.tolist()
-            sizes += n[some[at]].tolist()
+            sizes += [len(np.unique(inside[begins[k] : begins[k + 1]])) for k in some[at]]
             texts += [whole[x:y].decode("utf-8", "replace") for x, y in zip(t.start[first[some[at]]], t.end[last[some[at]] - 1], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], ["id", "n", "text"])
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 WIDTH = 5
 #: Bytes of text taken through numpy at once; a longer text is taken alone.
 BLOCK = 1 << 20
+#: The same where each step reads arrays of 64-bit numbers: those stay in the cache.
+SMALL_BLOCK = 1 << 18
 
 U64, U32 = np.uint64, np.uint32
 _rng = np.random.default_rng(20240607)
@@ -107,7 +109,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np
     return (np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)), off, valid
 
 
-def blocks(batch: pa.RecordBatch, name: str = "text", size: int = BLOCK) -> Iterator[tuple[int, int, Texts]]:
+def blocks(batch: pa.RecordBatch, name: str = "text", size: int = SMALL_BLOCK) -> Iterator[tuple[int, int, Texts]]:
     """Texts of rows i to j, for consecutive ranges of about `size` bytes."""
     data, off, _ = column(batch, name)
     i, rows = 0, batch.num_rows
