@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.components import connected_components
 from rillwork.llm.store import BROADCAST_IDS, cut, semi
-from rillwork.llm.text import blocks, distinct, jaccard_parts, per_batch
+from rillwork.llm.text import U64, blocks, distinct, jaccard_parts, per_batch
 
 
 def _sets(batch: pa.RecordBatch, key: str, name: str) -> list[np.ndarray]:
@@ -40,22 +40,39 @@ def _listed(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
 
+#: 64-bit words of a set's parities: bit h of them is the parity of the elements hashed to h, so two sets differ in at
+#: least as many elements as their parities in bits. That bounds the intersection from above, exactly.
+PARITIES = 32
+
+
+def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for x in _sets(batch, "id", "text"):
+        odd = np.bincount((x >> U64(20)).astype(np.int64) & (PARITIES * 64 - 1), minlength=PARITIES * 64) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    words = np.stack(out)
+    return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(PARITIES))], ["id", *(f"p{i}" for i in range(PARITIES))])
+
+
 def _alike(items: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b), b < a: pairs of items (id, label; materialised) with different labels that may be alike enough, found exactly.
 
     Two sets that are share one of the rarest of their shingles: of n in order of frequency and value, one of the first
     n - ceil(n * percent / 100) + 1. A join by these holds no pair together for a common phrase, and what differs in
-    copies with edits is rare. A shingle that many sets still have is split over tasks."""
+    copies with edits is rare; the join itself rejects what can't be alike by sizes and parities. A shingle that many
+    sets still have is split over tasks."""
     each = texts.mapInArrow(per_batch(_listed), "id long, shingles array<long>").join(items, "id")
     rows = cut(each.select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("h")))
     ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("times")), "h")
     place = F.row_number().over(Window.partitionBy("id").orderBy("times", "h"))
     first = cut(ranked.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1 and times > 1")).select("id", "label", "n", "h"))
     pieces = first.groupBy("h").agg(F.ceil(F.count("*") / SPLIT).alias("pieces"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h", "pieces")
-    dealt = first.join(pieces, "h")
+    odd = texts.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
+    dealt = first.join(pieces, "h").join(odd, "id")
     one = dealt.withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
     other = dealt.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
-    fits = F.expr(f"x.h = y.h and x.piece = y.piece and x.id > y.id and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    most = "(x.n + y.n - (" + " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES)) + ")) div 2"
+    fits = F.expr(f"x.h = y.h and x.piece = y.piece and x.id > y.id and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})")
     return one.join(other, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
