@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillwork.llm.store import BROADCAST_IDS, cut, table
 from rillwork.llm.text import per_batch
 
-#: A site's node is judged once this many of its pages have it; below LEAST importance it goes.
+#: A site's node is judged once this many of its different pages have it; below LEAST importance it goes.
 PAGES, LEAST = 4, 0.3
 #: Weight of a node's own content against the presentation of the node around it.
 CONTENT = 0.9
@@ -40,7 +40,11 @@ _PROSE = set("p h1 h2 h3 h4 h5 h6 b i em strong a span u s small mark sub sup co
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Words that say nothing of what an element holds: a class of a marking word and these marks, one with others doesn't.
+_NEUTRAL = set("site page main global post entry article user inner outer wrap wrapper box container content area block section list item items row col group body bar top bottom left right center sticky fixed mobile desktop primary secondary js id no text link links button icon image slot unit zone space holder panel form button text thread count title heading".split())
 _SPLIT = re.compile(r"[^a-z]+")
+#: Depth from which paths don't grow any more, so that very deep pages cost no more for an element.
+DEEP = 128
 
 
 class Block(NamedTuple):
@@ -59,6 +63,16 @@ class _Open(NamedTuple):
     article: bool
 
 
+def _marks(value: str) -> set[str]:
+    """Marking words of class names that consist of such and neutral words alone: `notice` and `notice-box`, not `notice-board`."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {w for w in _SPLIT.split(name) if w}
+        if words <= _WORDS | _NEUTRAL:
+            found |= words & _WORDS
+    return found
+
+
 def _attributes(text: str, tag: str, article: bool) -> tuple[str, int]:
     """What the path shows of an element's attributes, and how they mark it as no article text (see _Open)."""
     label, aside = "", 0
@@ -67,7 +81,7 @@ def _attributes(text: str, tag: str, article: bool) -> tuple[str, int]:
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + " ".join(re.sub(r"\d+", "9", value).split())
             if tag not in ("html", "body"):
-                found = _WORDS.intersection(_SPLIT.split(value)) - ({"header"} if article else set())
+                found = _marks(value) - ({"header"} if article else set())
                 aside = max(aside, 2 if found - _LAYOUT else 1 if found else 0)
         elif name == "role":
             aside = 2 if value.strip() in _ROLES else aside
@@ -156,9 +170,7 @@ def blocks_of(page: str) -> list[Block]:
         prose = article and (tag in ("article", "main") or (up.prose and tag in _PROSE and not label))
         if tag in _BLOCK or aside != up.aside:
             flush()
-        stack.append(_Open(tag, f"{up.path}/{tag}{label}" if tag in _BLOCK or label else up.path, aside, prose, article))
-        if len(stack) > 512:  # nested beyond any sense: deeper elements are taken as ended
-            close(len(stack) - 1)
+        stack.append(_Open(tag, f"{up.path}/{tag}{label}" if (tag in _BLOCK or label) and len(stack) < DEEP else up.path, aside, prose, article))
     flush()
     return out
 
@@ -168,16 +180,19 @@ def _key(x: str) -> int:
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): in how many pages of the host the node has the feature. Kind 0 is the node
-    itself, 1 a text in it (content), 2 the form in which its blocks follow each other (presentation)."""
+    """(host, path, kind, feature, n): in how many different pages of the host the node has the feature. Kind 0 is the node
+    itself, 1 a text in it (content), 2 the form in which its blocks follow each other (presentation). Pages with the same
+    blocks count once, so copies of a page don't make its text a site's furniture."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: set[tuple] = set()
-        for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if host is None or not page:
                 continue
             around: dict[int, list[str]] = {}
-            for b in blocks_of(page):
+            found = blocks_of(page)
+            k = _key("\n".join(f"{b.path}\t{b.text}" for b in found))
+            for b in found:
                 path, parent = _key(b.path), b.path.rpartition("/")
                 rows.add((k, host, path, 0, 0))
                 rows.add((k, host, path, 1, _key(b.text)))
@@ -186,10 +201,10 @@ def _nodes(pages: DataFrame) -> DataFrame:
                 rows.add((k, host, path, 0, 0))
                 rows.add((k, host, path, 2, _key(" ".join(x for i, x in enumerate(children) if not i or x != children[i - 1]))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)], ["host", "path", "kind", "feature"])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page", "host", "path", "kind", "feature"])
 
-    seen = pages.select("host", "html").mapInArrow(per_batch(run), "host string, path long, kind long, feature long")
+    seen = pages.select("host", "html").mapInArrow(per_batch(run), "page long, host string, path long, kind long, feature long").distinct()
     return seen.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
 
 
@@ -214,7 +229,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     1. The trees of a host's pages are merged into one style tree; each node gets its importance.
     2. From each page go the branches that its markup marks as menus, headers, footers, sidebars, notices, adverts,
        forms or comments, and those whose node is unimportant on the host. Prose that stands in an article or main
-       element without a box of its own is never unimportant, so pages that repeat lose nothing.
+       element without a box of its own is never unimportant; a page that would lose all its text by importance
+       keeps it, and equal pages count once, so pages that repeat lose nothing.
     3. Where a page has article or main elements, what stands outside them goes.
     Blocks left are joined by two line feeds; nothing is cut off. A null or empty html, or one without text, gives an
     empty text. A null or odd url has no host, and its page is judged by its markup alone. Rows that repeat are kept;
@@ -231,7 +247,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         for page, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True):
             found, low = blocks_of(page or ""), set(noise or ())
             inside = any(b.article and not b.aside for b in found)
-            kept = [b.text for b in found if not b.aside and (b.article or not inside) and (b.prose or not low or _key(b.path) not in low)]
+            marked = [b for b in found if not b.aside and (b.article or not inside)]
+            kept = [b.text for b in marked if b.prose or not low or _key(b.path) not in low] or [b.text for b in marked]
             texts.append("\n\n".join(kept))
             total.append(len(found))
             gone.append(len(found) - len(kept))

@@ -449,6 +449,47 @@ def test_pages(spark):
     assert all(0 <= x <= 1 for x in tree if x is not None)
 
 
+def test_pages_that_repeat_and_odd_classes(spark):
+    """Copies of a page lose nothing, a marking word within another name marks nothing, and depth has no end."""
+    boxed = [f"<div><p>{prose(30, 40 + i)}</p></div><div class=x>Subscribe now to the letter</div>" for i in range(6)]
+    bodies = ["<div><p>alone and often</p></div>"] * 6
+    odd = ["<div class='notice-board'><p>on the board</p></div>", "<div class='form-guide'>a guide</div>", "<div class='notice-box'>gone</div><p>stays</p>", "<div>" * 700 + "deep<nav>menu</nav>" + "</div>" * 700]
+    rows = [(i, "http://same.example/", b) for i, b in enumerate(bodies)] + [(10 + i, f"http://o{i}.example/", b) for i, b in enumerate(odd)] + [(20 + i, "http://boxed.example/", b) for i, b in enumerate(boxed)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(got[i] == "alone and often" for i in range(6))
+    assert [got[10 + i] for i in range(4)] == ["on the board", "a guide", "stays", "deep"]
+    assert all(got[20 + i] == prose(30, 40 + i) for i in range(6))
+    bare = {r["page_id"]: r["text"] for r in html_text.main_text(df.withColumn("url", F.lit(None).cast("string"))).collect()}
+    assert all(bare[20 + i] == got[20 + i] + "\n\nSubscribe now to the letter" for i in range(6))  # what the tree takes away
+
+
+def test_importance_equals_brute_force(spark):
+    pages = [f"<div class=a><p>{['same', 'same', 'other', f'own {i}'][i % 4]}</p></div><div class=b><p>one</p>{'<ul><li>x</li></ul>' if i % 2 else ''}</div>" for i in range(8)]
+    df = spark.createDataFrame([("h", p) for p in [*pages, pages[0], pages[0]]], "host string, html string")
+    got = {r["path"]: r for r in html_text.site_style_tree(df).collect()}
+    texts, forms, having = (collections.defaultdict(lambda: collections.defaultdict(set)) for _ in range(3))
+    for page in {tuple((b.path, b.text) for b in html_text.blocks_of(p)) for p in pages}:
+        around = collections.defaultdict(list)
+        for path, t in page:
+            texts[path][t].add(page)
+            having[path][0].add(page)
+            around[path.rpartition("/")[0]].append(path.rpartition("/")[2])
+        for path, children in around.items():
+            having[path][0].add(page)
+            forms[path][tuple(c for k, c in enumerate(children) if not k or c != children[k - 1])].add(page)
+    checked = 0
+    for path in set(texts) | set(forms):
+        m, r = len(having[path][0]), got.get(html_text._key(path))
+        if m >= html_text.PAGES:
+            content = 1 - np.mean([np.log(len(x)) / np.log(m) for x in texts[path].values()]) if texts[path] else None
+            shown = sum(-len(x) / m * np.log(len(x) / m) / np.log(m) for x in forms[path].values()) if forms[path] else None
+            want = shown if content is None else html_text.CONTENT * content + (1 - html_text.CONTENT) * (shown or 0)
+            assert r["pages"] == m and r["importance"] == pytest.approx(want, abs=1e-12)
+            checked += 1
+    assert checked >= 3
+
+
 def test_stages_judge_rows_without_an_id_by_their_texts(spark, tmp_path):
     item = prose(40, 900)
     rows = [(i, prose(60, i)) for i in range(8)] + [(None, prose(60, 50)), (None, prose(60, 3)), (None, prose(60, 51)), (None, prose(60, 51)), (None, f"{prose(9, 1)} {item}")]
