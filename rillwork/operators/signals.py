@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +69,9 @@ def spectrum(s: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def spectral_entropy(spec: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, pse): entropy of the one-sided periodogram, inner components twice, over the log of their number."""
-    power = spec.withColumn("p", (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.col("n_k"))
+    """(key, pse): entropy of the one-sided periodogram without the mean, inner components twice, over the log of their
+    number."""
+    power = spec.withColumn("p", F.when(F.col("k") == 0, 0.0).otherwise((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.col("n_k")))
     share = power.withColumn("q", F.col("p") / F.nullif(F.sum("p").over(Window.partitionBy(key)), F.lit(0.0)))
     return share.groupBy(key).agg((-F.sum(F.when(F.col("q") > 0, F.col("q") * F.log2("q")).otherwise(0.0)) / math.log2(n // 2 + 1)).alias("pse"))
 
@@ -119,15 +121,24 @@ def sample_entropy(s: DataFrame, key: str, m: int = 2, r: float = 0.2) -> DataFr
     return n.select(key, F.when((F.col("a") > 0) & (F.col("b") > 0), -F.log(F.col("a") / F.col("b"))).otherwise(0.0).alias("ke"))
 
 
-def correlation_dimension(s: DataFrame, key: str, m: int = 10, radii: int = 8) -> DataFrame:
-    """(key, cd): slope of log C(r) on log r by least squares, C(r) the share of pairs of m-value vectors nearer than r
-    in their greatest difference, for radii from 0.1 deviation by factors of 1.35; radii without pairs are left out."""
-    pairs = _pairs_within(_embedded(s, key, m), key).select(key, "d")
-    sd = s.groupBy(key).agg(F.stddev_samp("x").alias("sd"))
-    r = F.array(*[F.lit(0.1 * 1.35**j * 3) for j in range(radii)])
-    counted = pairs.join(sd, key).select(key, "d", F.explode(F.transform(r, lambda f: f * F.col("sd"))).alias("r"))
-    c = counted.groupBy(key, "r").agg(F.avg((F.col("d") < F.col("r")).cast("double")).alias("c")).where("c > 0 and r > 0")
-    slopes = c.groupBy(key).agg(F.when(F.count("*") > 1, F.regr_slope(F.log("c"), F.log("r"))).alias("cd"))
+def radii() -> np.ndarray:
+    """Radii of the correlation dimension in deviations: 0.1 to 0.5 by factors of 1.03."""
+    return 0.1 * 1.03 ** np.arange(int(math.log(5) / math.log(1.03)) + 1)
+
+
+def correlation_dimension(s: DataFrame, key: str, m: int = 10) -> DataFrame:
+    """(key, cd): slope of log C(r) on log r by least squares, C(r) the share of pairs of m-value vectors nearer than r,
+    Euclidean, for radii() times the sample deviation; radii without pairs are left out, 0 where fewer than two are left."""
+    e = _embedded(s, key, m)
+    a, b = e.select(key, "i", F.col("v").alias("a")), e.select(key, F.col("i").alias("j"), F.col("v").alias("b"))
+    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    sd = s.groupBy(key).agg(F.stddev_samp("x").alias("sd"), F.count("*").alias("n"))
+    far = float(radii()[-1])
+    pairs = a.join(b, key).where("i < j").select(key, F.sqrt(square).alias("d")).join(sd, key).where(F.col("d") < far * F.col("sd"))
+    r = F.array(*[F.lit(float(x)) for x in radii()])
+    c = pairs.select(key, "n", "sd", "d", F.explode(r).alias("r")).where("d < r * sd").groupBy(key, "n", (F.col("r") * F.col("sd")).alias("r")).agg(F.count("*").alias("near"))
+    share = F.col("near") * 2.0 / ((F.col("n") - m + 1) * (F.col("n") - m))
+    slopes = c.withColumn("c", share).groupBy(key).agg(F.when(F.count("*") > 1, F.regr_slope(F.log("c"), F.log("r"))).alias("cd"))
     return sd.select(key).join(slopes, key, "left").select(key, F.coalesce(F.nanvl("cd", F.lit(0.0)), F.lit(0.0)).alias("cd"))
 
 
@@ -279,11 +290,15 @@ def beat_summary(rows: DataFrame, key: str) -> DataFrame:
 
 
 def heart_rate_variability(beats: DataFrame, key: str, fs: float) -> DataFrame:
-    """(key, rr_mean, hr, sdnn, rmssd, pnn50) of beat places (key, i); the last three need two intervals."""
+    """(key, rr_mean, hr, sdnn, rmssd, pnn50) of beat places (key, i); the last three need two intervals.
+
+    Sums are of whole samples, so they are exact; the rate comes in last."""
     order = Window.partitionBy(key).orderBy("i")
-    rr = beats.withColumn("rr", (F.lead("i").over(order) - F.col("i")) / fs).where("rr is not null").withColumn("d", F.lead("rr").over(order) - F.col("rr"))
-    many = F.count("*") >= 2
-    return rr.groupBy(key).agg(F.avg("rr").alias("rr_mean"), (60 / F.avg("rr")).alias("hr"), F.when(many, F.stddev_pop("rr")).alias("sdnn"), F.when(many, F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rmssd"), F.when(many, F.avg((F.abs("d") > 0.050).cast("double")) * 100).alias("pnn50"))
+    rr = beats.withColumn("rr", (F.lead("i").over(order) - F.col("i")).cast("long")).where("rr is not null").withColumn("d", F.lead("rr").over(order) - F.col("rr"))
+    g = rr.groupBy(key).agg(F.count("*").alias("n"), F.sum("rr").alias("t"), F.sum(F.col("rr") * F.col("rr")).alias("tt"), F.sum(F.col("d") * F.col("d")).alias("dd"), F.sum((F.abs("d") > 0.050 * fs).cast("long")).alias("far"))
+    n, t, many = F.col("n"), F.col("t"), F.col("n") >= 2
+    sdnn = F.sqrt((n * F.col("tt") - t * t).cast("double")) / n / fs
+    return g.select(key, (t / n / fs).alias("rr_mean"), (60 * fs * n / t).alias("hr"), F.when(many, sdnn).alias("sdnn"), F.when(many, F.sqrt(F.col("dd") / (n - 1)) / fs).alias("rmssd"), F.when(many, F.col("far") * 100.0 / (n - 1)).alias("pnn50"))
 
 
 def pulse_shape(s: DataFrame, found: DataFrame, key: str, fs: float) -> DataFrame:

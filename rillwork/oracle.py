@@ -182,7 +182,8 @@ SQL = {
     "fused_predictions": f"{GRADED} SELECT subject, ts, fold, " + ", ".join(_r(f'"{m}"', f'"{m}"') for m in _METHODS) + " FROM w",
     "predictions_long": f"{GRADED} SELECT fold, method, count(*) AS n, {_r('sum(pred)', 'total', 4)} FROM l GROUP BY fold, method",
     "sugeno_lambda3": "WITH b AS (SELECT o_custkey, " + ", ".join(f"greatest(least(avg(CASE WHEN o_orderpriority[1] = '{k}' THEN 1.0 ELSE 0.0 END), 0.99::DOUBLE), 0.01::DOUBLE) AS {c}" for k, c in (("1", "a"), ("2", "b"), ("3", "c"))) + f" FROM orders GROUP BY o_custkey) SELECT o_custkey, {_r('a', 'a', 5)}, {_r('b', 'b', 5)}, {_r('c', 'c', 5)}, {_r(_lambda3('a', 'b', 'c'), 'lambda', 5)} FROM b",
-    "sugeno_lambda_any": "SELECT DISTINCT l_discount, n FROM lineitem, (VALUES (2), (3), (4), (5)) t(n) WHERE l_discount > 0",
+    "sugeno_lambda_any": f"""SELECT g AS l_discount, n, {_r('(list_reduce(list_prepend(10.0::DOUBLE, list_transform(range(80), lambda k: 0.0::DOUBLE)), lambda u, k: u - (CASE n WHEN 2 THEN 1 + u WHEN 3 THEN 1 + u + u * u WHEN 4 THEN 1 + u + u * u + u * u * u ELSE 1 + u + u * u + u * u * u + u * u * u * u END - 1 / g) / CASE n WHEN 2 THEN 1 WHEN 3 THEN 1 + 2 * u WHEN 4 THEN 1 + 2 * u + 3 * u * u ELSE 1 + 2 * u + 3 * u * u + 4 * u * u * u END) - 1) / g', 'lambda', 4)}
+      FROM (SELECT DISTINCT CAST(l_discount AS DOUBLE) AS g, n FROM lineitem, (VALUES (2), (3), (4), (5)) t(n) WHERE l_discount > 0)""",
     "choquet3": "WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity AS v1, l_extendedprice / 1000 AS v2, l_tax * 100 AS v3, greatest(least(l_discount, 0.99::DOUBLE), 0.01::DOUBLE) AS g1, 0.3::DOUBLE AS g2, greatest(least(l_tax, 0.99::DOUBLE), 0.01::DOUBLE) AS g3 FROM lineitem), w AS (SELECT *, " + _lambda3("g1", "g2", "g3") + f" AS lam FROM v) SELECT l_orderkey, l_linenumber, {_r(_choquet3(['v1', 'v2', 'v3'], ['g1', 'g2', 'g3'], 'lam'), 'fused', 8)} FROM w",
     "owa_weights": f"WITH {_OWA} SELECT {_r('g', 'g')}, {_r('lam', 'lam')}, {_r('g', 'w1')}, {_r('g * (1 + lam * g)', 'w2')}, {_r('g * pow(1 + lam * g, 2)', 'w3')} FROM o",
     "degeneracy_report": f"{PREDICTED}, {_DENSITY}, q AS (SELECT fold, lam, list_reverse_sort([{', '.join(_G)}]) AS g FROM d), k AS (SELECT fold, g, g[1] - g[3] AS spread, g[3] + lam * (g[1] + g[2] + lam * g[1] * g[2]) * g[3] AS w3, g[2] + lam * g[1] * g[2] AS w2 FROM q)"
@@ -217,7 +218,7 @@ SQL = {
     "hjorth": f"WITH {_X}, {_HJORTH} SELECT vec_id, {_r('sm', 'sm')}, {_r('sc', 'sc')} FROM h",
     "amplitude_entropy": f"WITH {_X}, {_ENTROPY} SELECT vec_id, {_r('se', 'se')} FROM en",
     "window_features": f"WITH {_X}, {_MOMENTS}, {_HJORTH}, {_ENTROPY} SELECT m.vec_id, {', '.join(_r(c, c) for c in ('kur', 'ske', 'sm', 'sc', 'se'))} FROM m JOIN h ON h.vec_id = m.vec_id JOIN en ON en.vec_id = m.vec_id",
-    "spectral_entropy": f"{_SPEC}, q AS (SELECT vec_id, p * n / sum(p * n) OVER (PARTITION BY vec_id) AS q FROM g) SELECT vec_id, {_r('-sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / log2(33)', 'pse')} FROM q GROUP BY vec_id",
+    "spectral_entropy": f"{_SPEC}, b AS (SELECT vec_id, CASE WHEN k = 0 THEN 0 ELSE p * n END AS p FROM g), q AS (SELECT vec_id, p / sum(p) OVER (PARTITION BY vec_id) AS q FROM b) SELECT vec_id, {_r('-sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) / log2(33)', 'pse')} FROM q GROUP BY vec_id",
     "c0_complexity": f"{_SPEC}, q AS (SELECT *, sum(p * n) OVER (PARTITION BY vec_id) / 64 AS mean FROM g) SELECT vec_id, {_r('sum(CASE WHEN p > mean THEN 0 ELSE p * n END) / sum(p * n)', 'c0')} FROM q GROUP BY vec_id",
     "higuchi": f"""WITH {_X}, d AS (SELECT a.vec_id, k, a.i % k AS m, abs(a.x - b.x) AS d FROM x a, range(1, 11) t(k), x b WHERE b.vec_id = a.vec_id AND b.i = a.i - k),
       l AS (SELECT vec_id, k, m, sum(d) * 63 / (count(*) * k * k) AS l FROM d GROUP BY vec_id, k, m), q AS (SELECT vec_id, k, avg(l) AS l FROM l GROUP BY vec_id, k) SELECT vec_id, {_r('regr_slope(ln(l), ln(1.0::DOUBLE / k))', 'fd')} FROM q GROUP BY vec_id""",
@@ -226,8 +227,9 @@ SQL = {
     "dwt_details": f"WITH {_X}, {_wave('x', _HIGH, 'h1')}, {_wave('x', _LOW, 'a1')}, b1 AS (SELECT vec_id, o AS i, x FROM a1), {_wave('b1', _HIGH, 'h2')} SELECT vec_id, 1 AS level, CAST(o AS INTEGER) AS o, {_r('x', 'x')} FROM h1 UNION ALL SELECT vec_id, 2, CAST(o AS INTEGER), round(x, 6) FROM h2",
     "moving_energy": f"WITH {_X}, e AS (SELECT vec_id, i, pow(x - coalesce(lag(x) OVER (PARTITION BY vec_id ORDER BY i), x), 2) AS energy FROM x) SELECT vec_id, CAST(i AS INTEGER) AS i, {_r('energy', 'energy')}, {_r('sum(energy) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7', 'smooth')} FROM e",
     "signal_peaks": f"{_PEAK} SELECT vec_id, CAST(i AS INTEGER) AS i, {_r('x', 'x')} FROM pk",
-    "rr_hrv": f"""{_PEAK}, q AS (SELECT vec_id, (lead(i) OVER (PARTITION BY vec_id ORDER BY i) - i) / 64 AS rr, i FROM pk), d AS (SELECT *, lead(rr) OVER (PARTITION BY vec_id ORDER BY i) - rr AS d FROM q WHERE rr IS NOT NULL)
-      SELECT vec_id, {_r('avg(rr)', 'rr_mean')}, {_r('60 / avg(rr)', 'hr')}, CASE WHEN count(*) >= 2 THEN round(stddev_pop(rr), 6) END AS sdnn, CASE WHEN count(*) >= 2 THEN round(sqrt(avg(d * d)), 6) END AS rmssd, CASE WHEN count(*) >= 2 THEN round(avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) > 0.05 THEN 1.0 ELSE 0.0 END) * 100, 6) END AS pnn50 FROM d GROUP BY vec_id""",
+    "rr_hrv": f"""{_PEAK}, q AS (SELECT vec_id, CAST(lead(i) OVER (PARTITION BY vec_id ORDER BY i) - i AS BIGINT) AS rr, i FROM pk), d AS (SELECT *, lead(rr) OVER (PARTITION BY vec_id ORDER BY i) - rr AS d FROM q WHERE rr IS NOT NULL),
+      sums AS (SELECT vec_id, count(*) AS n, CAST(sum(rr) AS BIGINT) AS t, CAST(sum(rr * rr) AS BIGINT) AS tt, CAST(sum(d * d) AS BIGINT) AS dd, CAST(count(*) FILTER (abs(d) > 3.2::DOUBLE) AS DOUBLE) AS far FROM d GROUP BY vec_id)
+      SELECT vec_id, {_r('t / n / 64', 'rr_mean')}, {_r('60 * 64 * n / t', 'hr')}, CASE WHEN n >= 2 THEN round(sqrt(CAST(n * tt - t * t AS DOUBLE)) / n / 64, 6) END AS sdnn, CASE WHEN n >= 2 THEN round(sqrt(dd / (n - 1)) / 64, 6) END AS rmssd, CASE WHEN n >= 2 THEN round(far * 100 / (n - 1), 6) END AS pnn50 FROM sums""",
     "standardised": f"WITH {_FEATURES}, q AS (SELECT ship_month AS mo, " + ", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS z_{c}" for c in _NAMES[:5]) + " FROM f) SELECT " + _r("z_ship_month", "ship_month", 3) + ", count(*) AS n, " + ", ".join(_r(f"sum(z_{c})", c, 3) for c in _NAMES[:4]) + " FROM q GROUP BY mo, z_ship_month",
     "ufs_topk": f"WITH {_FEATURES}, c AS ({_CORR}), k AS (SELECT *, row_number() OVER (ORDER BY r * r / (1 - r * r) * (n - 2) DESC NULLS LAST, place) AS rank FROM c) SELECT feature, CAST(rank AS INTEGER) AS rank, {_r('r', 'r')} FROM k WHERE rank <= 5",
     "resume_pending": "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate < TIMESTAMP '1998-01-01')",
@@ -256,8 +258,8 @@ def _sweep() -> str:
 
 
 SQL["temporal_sweep"] = _sweep()
-SQL["correlation_dim"] = f"""WITH {_X}, sd AS (SELECT vec_id, stddev_samp(x) AS sd FROM x GROUP BY vec_id),
-  e AS (SELECT vec_id, i, list(x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS v FROM x), f AS (SELECT * FROM e WHERE len(v) = 10),
-  q AS (SELECT a.vec_id, list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i < b.i),
-  c AS (SELECT q.vec_id, j, any_value(0.3::DOUBLE * pow(1.35, j) * sd) AS r, avg(CASE WHEN d < 0.3::DOUBLE * pow(1.35, j) * sd THEN 1.0 ELSE 0.0 END) AS c FROM q JOIN sd ON sd.vec_id = q.vec_id, range(0, 8) t(j) GROUP BY q.vec_id, j)
-  SELECT sd.vec_id, round(coalesce(k.cd, 0), 5) AS cd FROM sd LEFT JOIN (SELECT vec_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(c), ln(r)) END AS cd FROM c WHERE c > 0 AND r > 0 GROUP BY vec_id) k ON k.vec_id = sd.vec_id"""
+SQL["correlation_dim"] = f"""WITH {_X}, sd AS (SELECT vec_id, stddev_samp(x) AS sd, count(*) AS n FROM x GROUP BY vec_id),
+  f AS (SELECT vec_id, i, x, lead(x) OVER (PARTITION BY vec_id ORDER BY i) AS y FROM x),
+  q AS (SELECT a.vec_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i < b.i WHERE a.y IS NOT NULL AND b.y IS NOT NULL),
+  c AS (SELECT q.vec_id, j, any_value(0.1::DOUBLE * pow(1.03::DOUBLE, j) * sd) AS r, count(*) * 2.0::DOUBLE / any_value((n - 1) * (n - 2)) AS c FROM q JOIN sd ON sd.vec_id = q.vec_id, range(0, 55) t(j) WHERE d < 0.1::DOUBLE * pow(1.03::DOUBLE, j) * sd GROUP BY q.vec_id, j)
+  SELECT sd.vec_id, round(coalesce(k.cd, 0), 4) AS cd FROM sd LEFT JOIN (SELECT vec_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(c), ln(r)) END AS cd FROM c GROUP BY vec_id) k ON k.vec_id = sd.vec_id"""

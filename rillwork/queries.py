@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rillwork import oracle
 from rillwork.functions import fuzzy, grade
 from rillwork.functions.zones import MGDL, zone
-from rillwork.operators import align, folds, fusion, selection, signals
+from rillwork.operators import align, features, folds, fusion, selection, signals
 from rillwork.operators import readings as rd
 from rillwork.plans import protocol
 from rillwork.sources.recordings import resume
@@ -130,9 +130,9 @@ def sugeno_lambda3(spark, d):
 
 
 def sugeno_lambda_any(spark, d):
-    got = table(spark, d, "lineitem").select("l_discount").where("l_discount > 0").distinct()
-    n = F.col("n")
-    return rounded(got.withColumn("n", F.explode(F.array(*map(F.lit, (2, 3, 4, 5))))).select("l_discount", "n", fuzzy.sugeno_lambda(F.array_repeat(F.col("l_discount"), n)).alias("lambda")).withColumn("check", 1 + F.col("lambda") - F.pow(1 + F.col("lambda") * F.col("l_discount"), n)).where("abs(check) < 1e-6 * (1 + lambda)").select("l_discount", "n"))
+    got = table(spark, d, "lineitem").select(F.col("l_discount").cast("double").alias("l_discount")).where("l_discount > 0").distinct()
+    each = got.withColumn("n", F.explode(F.array(*map(F.lit, (2, 3, 4, 5)))))
+    return rounded(each.select("l_discount", "n", fuzzy.sugeno_lambda(F.array_repeat(F.col("l_discount"), F.col("n"))).alias("lambda")), 4)
 
 
 def choquet3(spark, d):
@@ -366,7 +366,7 @@ def sample_entropy(spark, d):
 
 
 def correlation_dim(spark, d):
-    return rounded(signals.correlation_dimension(_samples(spark, d), "vec_id"), 5)
+    return rounded(signals.correlation_dimension(_samples(spark, d), "vec_id", 2), 4)
 
 
 def dwt_details(spark, d):
@@ -380,7 +380,14 @@ def dwt_reconstructed(spark, d):
 
 
 def ten_features(spark, d):
-    return rounded(signals.ten_features(_samples(spark, d), "vec_id", 64))
+    """The ten features of each window and of its seven wavelet levels, under their names."""
+    return rounded(features.temporal_features(windows(spark, d), "vec_id", {"x": "X_"}))
+
+
+def window_rows(spark, d):
+    """Windows to wide feature rows: the signal as the one channel, and reversed as the other."""
+    paired = windows(spark, d).select("vec_id", F.col("x").alias("ecg"), F.reverse("x").alias("ppg"))
+    return rounded(features.window_rows(paired, "vec_id", (0.5, 8.0, 64.0), (0.5, 8.0, 64.0)))
 
 
 def moving_energy(spark, d):
@@ -488,7 +495,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-dwt_reconstructed ten_features moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
+dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
 resume_pending reject_reasons
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

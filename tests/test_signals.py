@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import signals
+from rillwork.operators import features, signals
 
 
 def ecg(fs=250, seconds=16, bpm=72):
@@ -79,3 +79,46 @@ def test_reconstructions_add_up(spark):
 def test_ten_features_of_a_flat_window(spark):
     got = signals.ten_features(frame(spark, [np.ones(64), np.random.default_rng(6).normal(size=64)]), "w", 64).orderBy("w").collect()
     assert len(got) == 2 and len(got[0]) == 11 and got[0]["sm"] == 0 and got[1]["sm"] > 0
+
+
+def test_features_of_a_batch_equal_the_native_forms(spark, sf):
+    """Every feature of the Arrow pass against the joins of signals, on the signal and on its wavelet levels."""
+    w = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 12").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    smooth = w.select("vec_id", F.expr("transform(sequence(1, size(x)), i -> aggregate(slice(x, 1, i), 0D, (a, v) -> a + v))").alias("x"))
+    got = {r["vec_id"]: r for r in features.temporal_features(smooth, "vec_id", {"x": "X_"}).collect()}
+    assert len(next(iter(got.values())).asDict()) == 81
+    levels = signals.wavelet_reconstructions(signals.samples(smooth, "vec_id"), "vec_id", 3).cache()
+    for k in (0, 3):
+        s = levels.where(F.col("level") == k).select("vec_id", "i", "x")
+        spec = signals.spectrum(s, "vec_id", 64)
+        native = {"Kur": (signals.moments, "kur"), "Ske": (signals.moments, "ske"), "SM": (signals.hjorth, "sm"), "SC": (signals.hjorth, "sc"), "FD": (signals.higuchi, "fd"), "CD": (signals.correlation_dimension, "cd"), "KE": (signals.sample_entropy, "ke"), "SE": (signals.amplitude_entropy, "se")}
+        want = {n: {r["vec_id"]: r[c] for r in f(s, "vec_id").collect()} for n, (f, c) in native.items()}
+        want["C0"] = {r["vec_id"]: r["c0"] for r in signals.c0_complexity(spec, "vec_id", 64).collect()}
+        want["PSE"] = {r["vec_id"]: r["pse"] for r in signals.spectral_entropy(spec, "vec_id", 64).collect()}
+        for name, values in want.items():
+            for i, v in values.items():
+                assert got[i][f"X_FE{k}_{name}"] == pytest.approx(v, rel=1e-6, abs=1e-9), (k, name, i)
+
+
+def test_band_pass_keeps_the_band_without_a_shift():
+    b, a = features.butterworth(4, 0.5, 40.0, 250.0)
+    gain = lambda f: abs(np.polyval(b[::-1], np.exp(-2j * np.pi * f / 250)) / np.polyval(a[::-1], np.exp(-2j * np.pi * f / 250)))
+    assert len(a) == len(b) == 9 and gain(0.5) == pytest.approx(0.5**0.5, rel=1e-4) and gain(40) == pytest.approx(0.5**0.5, rel=1e-6) and gain(8) == pytest.approx(1, abs=1e-3) and gain(0) < 1e-6
+    t = np.arange(4000) / 250
+    out = features.band_pass(np.array([np.sin(2 * np.pi * 8 * t) + 5 + np.sin(2 * np.pi * 90 * t), np.full(4000, 3.0)]), 0.5, 40.0, 250.0)
+    assert np.abs(out[0] - np.sin(2 * np.pi * 8 * t))[1500:-1500].max() < 0.02 and np.abs(out[1]).max() < 1e-6
+    assert np.isnan(features.band_pass(np.ones((1, 27)), 0.5, 8.0, 64.0)).all()
+
+
+def test_wide_rows(spark):
+    t = np.arange(1024) / 64
+    pulse = np.sin(2 * np.pi * 1.2 * t) + 0.3 * np.sin(2 * np.pi * 2.4 * t + 1)
+    r = np.random.default_rng(3)
+    rows = [(1, ecg() + r.normal(0, 0.01, 4000), pulse + r.normal(0, 0.01, 1024)), (2, None, pulse), (3, np.zeros(4000), pulse), (4, ecg()[:20], []), (5, ecg(), pulse[:40])]
+    df = spark.createDataFrame([(i, *(None if x is None else [float(v) for v in x] for x in p)) for i, *p in rows], "w int, ecg array<double>, ppg array<double>")
+    got = {x["w"]: x for x in features.window_rows(df, "w").collect()}
+    one = got[1].asDict()
+    assert set(got) == {1, 2, 3, 4, 5} and len(one) == 193 + 2 and got[1]["finite"] and not any(got[i]["finite"] for i in (2, 3, 4, 5))
+    assert abs(one["ECGm_HR_mean"] - 72) < 5 and one["ECGm_QT_mean"] > 0 and one["ECGm_QTc"] > 0 and 0.05 < one["PPGm_Rise_mean"] < 0.5
+    assert got[2]["PPGm_Samp_mean"] is not None and got[2]["ECG_FE0_Kur"] is None and got[5]["PPGm_Samp_mean"] is None
+    assert features.window_rows(df.limit(0), "w").count() == 0
