@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, fresh, table
+from rillwork.llm.store import cut, fresh, keep, table
 from rillwork.llm.text import U32, U64, blocks, distinct, per_batch, permute
 
 #: Coordinates of a signature. A window holds at most 4 times the shingles of an item of its partition, so at a
 #: containment of 0.75 their Jaccard similarity is 0.17 or more, and no coordinate agrees with probability 1e-5.
 COORDINATES = 64
-#: Items that a task holds at once; more are taken block by block.
-ITEMS = 20_000
+#: Items, and shingles of them, that a task holds at once; more are taken block by block.
+ITEMS, SHINGLES = 20_000, 4_000_000
 PERCENT = 75
 
 
@@ -104,18 +104,15 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT, coordin
     five-word shingles (an item of fewer words is one shingle), n_shared how many of them are among the document's;
     a pair is given if 100 * n_shared >= percent * n_item. Items are partitioned by size; against each partition a
     document of any length is searched window by window with MinHash signatures, and each pair found is checked on
-    the whole sets. Items are taken in blocks of bounded size, each broadcast and held against all documents, so the
-    benchmark may grow without bound. Nulls and texts without words match nothing; empty tables give no rows; an item
+    the whole sets. Items are taken in blocks of bounded size, in items and in shingles (but for one item that is longer
+    by itself), each broadcast and held against all documents, so the benchmark may grow without bound. Nulls and texts without words match nothing; empty tables give no rows; an item
     or a document that repeats gives its rows again.
     """
     spark = docs.sparkSession
-    sets = item_sets(items)
-    total = items.count()
-    if total > block:
-        sets = cut(sets.withColumn("block", F.floor(F.rand(1) * (total / block))))
-        blocks_of = [sets.where(F.col("block") == i).drop("block") for i in range(-(-total // block))]
-    else:
-        blocks_of = [sets]
+    sets = keep(item_sets(items))
+    size = sets.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    parts = max(1, -(-size["items"] // block), -(-size["shingles"] // SHINGLES))
+    blocks_of = [sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(parts)) == i) for i in range(parts)]
     out = None
     for part in blocks_of:
         rows = [(r["item_id"], np.array(r["shingles"], np.int64).view(U64)) for r in part.toLocalIterator()]

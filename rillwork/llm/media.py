@@ -50,6 +50,13 @@ def _decoded(batch: pa.RecordBatch):
             yield r, media[r], d
 
 
+def _blocks(d):
+    """(block, sample_offset, n_samples, byte_offset, byte_length, pcm) of a decoded stream's frames."""
+    pcm = (d.samples.view(np.uint8) ^ 128).tobytes()
+    for k, f in enumerate(d.frames):
+        yield k, *map(int, f), pcm[f[0] : f[0] + f[1]]
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """A row per FLAC frame of each row of media (doc_id, media): block, sample_offset, n_samples, byte_offset in the
     stream, byte_length, and pcm, the samples as unsigned bytes. A reader that wants sample s takes the block with the
@@ -58,8 +65,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = batch.column("doc_id").to_pylist(), []
         for r, _, d in _decoded(batch):
-            pcm = (d.samples.view(np.uint8) ^ 128).tobytes()
-            rows += [(ids[r], k, *map(int, f), pcm[f[0] : f[0] + f[1]]) for k, f in enumerate(d.frames)]
+            rows += [(ids[r], *b) for b in _blocks(d)]
         names = ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "byte_length", "pcm"]
         cols = list(zip(*rows, strict=True)) or [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "pcm" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
@@ -76,21 +82,25 @@ def feature(samples: np.ndarray) -> str:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes give when read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, n_blocks, feature."""
+    """What the stored bytes give when read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, n_blocks, last_sample_offset, feature. The payload is put together from the PCM blocks, each at its
+    sample offset. A null media column has no row; an empty table gives none; rows that repeat are read each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sizes, rows = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), []
         for r, stored, d in _decoded(batch):
-            payload = (d.samples.view(np.uint8) ^ 128).tobytes()
-            rows.append((ids[r], sizes[r], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(d.frames), feature(d.samples)))
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_blocks", "feature"]
-        cols = list(zip(*rows, strict=True)) or [[]] * 9
+            payload, last = bytearray(len(d.samples)), 0
+            for _, last, n, _, _, pcm in _blocks(d):
+                payload[last : last + n] = pcm
+            rows.append((ids[r], sizes[r], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(d.frames), last, feature(d.samples)))
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_blocks", "last_sample_offset", "feature"]
+        cols = list(zip(*rows, strict=True)) or [[]] * 10
         return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("sha256") or n == "feature" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
-    return media.mapInArrow(per_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_blocks long, feature string")
+    return media.mapInArrow(per_batch(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_blocks long, last_sample_offset long, feature string")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents; a null text is an empty one. Equal texts give equal values; rows that repeat are kept."""
+    """Every row of documents; a null text is an empty one. Equal texts give equal values; rows that repeat are kept; a very
+    long text is coded frame by frame; an empty table gives no rows; other columns of documents are left out."""
     return digest(encode_media(table(spark, sf_dir, "documents")))
