@@ -54,6 +54,31 @@ def _parities(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(words[:, i]) for i in range(PARITIES))], ["id", *(f"p{i}" for i in range(PARITIES))])
 
 
+_NAMES = [f"p{i}" for i in range(PARITIES)]
+
+
+def _odd(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"{p} long" for p in _NAMES))
+
+
+def _fits(percent: int) -> str:
+    """SQL for x and y of different labels that may be alike enough by their sizes n and parities."""
+    most = "(x.n + y.n - (" + " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in _NAMES) + ")) div 2"
+    return f"x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})"
+
+
+def _in_buckets(named: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b), b < a: pairs of one bucket (key) with different labels that may be alike enough. Every member outside the
+    bucket's largest component is held against all members of others; those are split over tasks where they are many."""
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.ceil((F.sum("size") - F.max("size")) / SPLIT).alias("pieces"))
+    several = named.join(main, "key").join(_odd(texts), "id")
+    one = several.where("label <> main").withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
+    other = several.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
+    pairs = one.join(other, F.expr(f"x.key = y.key and x.piece = y.piece and {_fits(percent)}"))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def _alike(items: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b), b < a: pairs of items (id, label; materialised) with different labels that may be alike enough, found exactly.
 
@@ -67,12 +92,10 @@ def _alike(items: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("id").orderBy("times", "h"))
     first = cut(ranked.withColumn("place", place).where(F.expr(f"place <= n - ceil(n * {percent} / 100.0) + 1 and times > 1")).select("id", "label", "n", "h"))
     pieces = first.groupBy("h").agg(F.ceil(F.count("*") / SPLIT).alias("pieces"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("h", "pieces")
-    odd = texts.mapInArrow(per_batch(_parities), "id long, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
-    dealt = first.join(pieces, "h").join(odd, "id")
+    dealt = first.join(pieces, "h").join(_odd(texts), "id")
     one = dealt.withColumn("piece", F.expr("pmod(xxhash64(id), pieces)")).alias("x")
     other = dealt.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).alias("y")
-    most = "(x.n + y.n - (" + " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES)) + ")) div 2"
-    fits = F.expr(f"x.h = y.h and x.piece = y.piece and x.id > y.id and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 100 * ({most}) >= {percent} * (x.n + y.n - {most})")
+    fits = F.expr(f"x.h = y.h and x.piece = y.piece and x.id > y.id and {_fits(percent)}")
     return one.join(other, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -102,30 +125,34 @@ def bucket_members(items: DataFrame) -> DataFrame:
     return rows.join(hubs, "key").select("key", "id", "n", "hub", "nh")
 
 
-def near_components(members: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+def near_components(members: DataFrame, texts: DataFrame, percent: int = 75, rare: bool = False) -> DataFrame:
     """(id, label) of the items that are linked with another one; label is the least id reachable.
 
     members: bucket_members(), materialised: key, id, n (set size), hub, nh (its set size); a bucket's hubs must be
     members of it that lead to one another or to one. texts: id, text; rows with equal ids have equal texts.
 
     1. A bucket's members are compared with its hub only (a star), so a bucket of n costs n comparisons.
-    2. Components of those links are found. The members of buckets that still hold several components are held
-       against each other by an exact join (_alike), whose pairs are verified too. After that each two members of a
-       bucket are in one component or known to be unlike, so no link that the bands suggest is lost.
+    2. Components of those links are found. In buckets that still hold several components members of different ones
+       are held against each other, and what can't be ruled out is verified. After that each two members of a bucket
+       are in one component or known to be unlike, so no link that the bands suggest is lost. The pairs come from the
+       buckets themselves, or with rare, for small sets whose buckets common phrases make, from an exact join by the
+       sets' rarest shingles.
     """
     fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     stars = cut(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")).distinct().where(fits).select("a", "b"))
     links = cut(verified(stars, texts, percent))
     labels = cut(connected_components(links))
 
-    named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    named = members.select("key", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
-    several = cut(named.join(mixed, "key").select("id", "label").distinct())
-    n = several.count()
+    several = cut(named.join(mixed, "key"))
+    ids = cut(several.select("id", "label").distinct())
+    n = ids.count()
     if not n:
         return labels.withColumnRenamed("node", "id")
-    need = semi(texts, several.select("id"), "id", n).groupBy("id").agg(F.first("text").alias("text"))
-    rest = cut(_alike(several, need, percent).join(stars, ["a", "b"], "left_anti"))
+    need = semi(texts, ids.select("id"), "id", n).groupBy("id").agg(F.first("text").alias("text"))
+    pairs = _alike(ids, need, percent) if rare else _in_buckets(several, need, percent)
+    rest = cut(pairs.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = cut(verified(rest, texts, percent))
         if not more.isEmpty():

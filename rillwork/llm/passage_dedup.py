@@ -194,7 +194,7 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = keep(_texts(docs, members.select("id")))
     sized = keep(members.join(texts.select("id", "n"), "id").join(texts.select(F.col("id").alias("hub"), F.col("n").alias("nh")), "hub"))
     discard(members)
-    linked = keep(near_components(sized, texts.select("id", "text"), percent))
+    linked = keep(near_components(sized, texts.select("id", "text"), percent, rare=True))
     discard(sized)
     discard(texts)
     classes = found.groupBy("id").agg(F.min(F.struct("doc_id", "text_id", "w0")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("places"))

@@ -66,8 +66,9 @@ def test_buckets_of_unlike_texts_lose_no_link(spark):
     a, b = prose(60, 21).split(), prose(60, 22).split()
     texts = [" ".join(a), " ".join(b), " ".join(b[:-1] + ["q"]), " ".join(a[:-2] + ["r", "s"])]
     items = spark.createDataFrame([(i, 56, [1, 2]) for i in range(4)], "id long, n long, keys array<long>")
-    got = {r["id"]: r["label"] for r in linking.near_components(linking.bucket_members(items), spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
-    assert got == {0: 0, 3: 0, 1: 1, 2: 1}
+    for rare in (False, True):
+        got = {r["id"]: r["label"] for r in linking.near_components(linking.bucket_members(items), spark.createDataFrame(list(enumerate(texts)), "id long, text string"), rare=rare).collect()}
+        assert got == {0: 0, 3: 0, 1: 1, 2: 1}
 
 
 @pytest.mark.parametrize("small", [500_000, 0])
@@ -218,7 +219,7 @@ def test_passages_link_like_brute_force(spark):
     members = passage_dedup.keep(passage_dedup.bucket_members(d))
     texts_of = passage_dedup.keep(passage_dedup._texts(d, members.select("id")))
     sized = members.join(texts_of.select("id", "n"), "id").join(texts_of.select(F.col("id").alias("hub"), F.col("n").alias("nh")), "hub")
-    label = {x["id"]: x["label"] for x in linking.near_components(passage_dedup.keep(sized), texts_of.select("id", "text")).collect()}
+    label = {x["id"]: x["label"] for x in linking.near_components(passage_dedup.keep(sized), texts_of.select("id", "text"), rare=True).collect()}
     linked = [label.get(a, a) == label.get(b, b) for a, b in alike]
     assert len(alike) > 60 and sum(linked) >= 0.97 * len(linked)
     whole = {i: least for i, least in zip(ids, least_reachable(len(ids), [(ids.index(a), ids.index(b)) for a, b in alike]), strict=True)}
