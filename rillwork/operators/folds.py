@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut
+from rillwork.operators.lineage import cut
 
 
 def micros() -> F.Column:
