@@ -56,6 +56,25 @@ def fusion_audit(wide: DataFrame, fused: str, models: list[str]) -> DataFrame:
     return wide.agg(F.corr(F.col(fused), low).alias("corr_min"), F.avg(F.abs(F.col(fused) - low)).alias("gap_min"), F.avg(F.abs(F.col(fused) - mean)).alias("gap_mean"))
 
 
+def headline(summary: DataFrame, fused: str, control: str, singles: list[str]) -> DataFrame:
+    """role, method, r2, rmse of a summary's fused method, its best single model (least rmse) and the control."""
+    best = summary.where(F.col("method").isin(singles)).agg(F.min_by(F.struct("method", "r2", "rmse"), F.struct("rmse", "method")).alias("m")).select(F.lit("best single").alias("role"), "m.*")
+    named = F.when(F.col("method") == fused, "fused").when(F.col("method") == control, "control")
+    return summary.where(F.col("method").isin(fused, control)).select(named.alias("role"), "method", "r2", "rmse").unionByName(best)
+
+
+def coverage(requested: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """One row: how many different keys are requested, how many of them are found, and whether all are."""
+    both = requested.select(key).where(F.col(key).isNotNull()).distinct().join(found.select(key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    return both.agg(F.count("*").alias("requested"), F.count("hit").alias("covered")).withColumn("complete", F.col("requested") == F.col("covered"))
+
+
+def finite_moments(value: Column) -> list[Column]:
+    """n, mean and population deviation of the finite values; null where there are none."""
+    some = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return [F.count(some).alias("n"), F.avg(some).alias("mean"), F.stddev_pop(some).alias("sd")]
+
+
 def against_control(summary: DataFrame, control: str, margin: float = 0.02) -> DataFrame:
     """Each method beside the control: r2, control_r2 and whether it is better by the margin."""
     base = summary.where(F.col("method") == control).select(F.col("r2").alias("control_r2"))

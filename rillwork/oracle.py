@@ -263,3 +263,12 @@ SQL["correlation_dim"] = f"""WITH {_X}, sd AS (SELECT vec_id, stddev_samp(x) AS
   q AS (SELECT a.vec_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i < b.i WHERE a.y IS NOT NULL AND b.y IS NOT NULL),
   c AS (SELECT q.vec_id, j, any_value(0.1::DOUBLE * pow(1.03::DOUBLE, j) * sd) AS r, count(*) * 2.0::DOUBLE / any_value((n - 1) * (n - 2)) AS c FROM q JOIN sd ON sd.vec_id = q.vec_id, range(0, 55) t(j) WHERE d < 0.1::DOUBLE * pow(1.03::DOUBLE, j) * sd GROUP BY q.vec_id, j)
   SELECT sd.vec_id, round(coalesce(k.cd, 0), 4) AS cd FROM sd LEFT JOIN (SELECT vec_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(c), ln(r)) END AS cd FROM c GROUP BY vec_id) k ON k.vec_id = sd.vec_id"""
+
+SQL["zone_vs_r2"] = f"{GRADED} SELECT method, {_r(_RAW['zone_ab'], 'zone_ab')}, {_r(_RAW['r2'], 'r2')} FROM z GROUP BY method"
+SQL["headline"] = f"""{GRADED}, m AS (SELECT method, {_RAW['r2']} AS r2, {_RAW['rmse']} AS rmse FROM z GROUP BY method),
+  k AS (SELECT *, CASE method WHEN 'Choquet' THEN 'fused' WHEN 'NoSkillBaseline' THEN 'control' END AS role FROM m WHERE method IN ('Choquet', 'NoSkillBaseline')
+  UNION ALL SELECT *, 'best single' FROM (SELECT * FROM m WHERE method IN {tuple(_MODELS)!r} ORDER BY rmse, method LIMIT 1))
+  SELECT role, method, {_r('r2', 'r2')}, {_r('rmse', 'rmse')} FROM k"""
+SQL["fold_coverage"] = f"{PREDICTED} SELECT subject, count(DISTINCT fold) AS n_folds, count(*) AS n FROM p GROUP BY subject"
+SQL["subject_coverage"] = f"{PREDICTED}, h AS (SELECT DISTINCT subject FROM p), q AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS subject FROM customer WHERE c_custkey IS NOT NULL) SELECT count(*) AS requested, count(h.subject) AS covered, count(*) = count(h.subject) AS complete FROM q LEFT JOIN h ON h.subject = q.subject"
+SQL["finite_moments"] = f"SELECT event_type, count(value) AS n, {_r('avg(value)', 'mean')}, {_r('stddev_pop(value)', 'sd')} FROM events GROUP BY event_type"

@@ -225,6 +225,31 @@ def reliability_weighted(spark, d):
     return rounded(fusion.reliability_weighted(rows)).select("subject", "ts", "pred")
 
 
+def zone_vs_r2(spark, d):
+    return rounded(grade.summarise(long(spark, d)).select("method", "zone_ab", "r2"))
+
+
+def headline(spark, d):
+    return rounded(grade.headline(grade.summarise(long(spark, d)), "Choquet", "NoSkillBaseline", MODELS))
+
+
+def fold_coverage(spark, d):
+    """How many folds each subject's readings are dealt to."""
+    return predictions(spark, d).groupBy("subject").agg(F.count_distinct("fold").alias("n_folds"), F.count("*").alias("n"))
+
+
+def subject_coverage(spark, d):
+    """Customers that have predictions."""
+    asked = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("subject"))
+    return grade.coverage(asked, predictions(spark, d), "subject")
+
+
+def finite_moments(spark, d):
+    """Moments of each event type's values, a missing one being NaN as in exported feature tables."""
+    value = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
+    return rounded(table(spark, d, "events").groupBy("event_type").agg(*grade.finite_moments(value)))
+
+
 def fold_sizes(spark, d):
     rows = folds.hash_fold(readings(spark, d), 5)
     return folds.no_skill(rows).select("fold", "n_train", "n_test")
@@ -496,7 +521,7 @@ grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weight
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
 dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
-resume_pending reject_reasons
+resume_pending reject_reasons zone_vs_r2 headline fold_coverage subject_coverage finite_moments
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 ORACLE = oracle.SQL

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork.functions.zones import MGDL
 
@@ -84,6 +86,32 @@ def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def manifest(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The units that write_results() has completed below path; none if nothing was written there yet."""
+    shape = ", ".join(f"{k} string" for k in by)
+    try:
+        return spark.read.schema(shape).parquet(f"{path}/manifest")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], shape)
+
+
+def read_features(spark: SparkSession, path: str, subjects: list[str] | None = None, width: int = 3) -> DataFrame:
+    """A feature table whose subjects are strings of at least `width` digits, also where Spark or an export took them for
+    numbers; with subjects, those only."""
+    name = F.col("subject").cast("string")
+    rows = spark.read.parquet(path).withColumn("subject", F.lpad(name, F.greatest(F.length(name), F.lit(width)), F.lit("0")))
+    return rows if subjects is None else rows.where(F.col("subject").isin(subjects))
+
+
+def read_results(spark: SparkSession, path: str, name: str, by: list[str]) -> DataFrame:
+    """Rows of a results table whose units are complete; a unit that is half written or not there gives none."""
+    done = manifest(spark, path, by).distinct()
+    shape = T.StructType([T.StructField(f.name, T.StringType()) if f.name in by else f for f in spark.read.parquet(f"{path}/{name}").schema])
+    return spark.read.schema(shape).parquet(f"{path}/{name}").join(done, by, "left_semi")
+
+
 def write_units(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces only the partitions that df has; a unit is there whole or not at all."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
@@ -95,3 +123,18 @@ def write_results(tables: dict[str, DataFrame], path: str, by: list[str], unit:
         write_units(df, f"{path}/{name}", by)
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([tuple(unit[k] for k in by)], ", ".join(f"{k} string" for k in by)).write.mode("append").parquet(f"{path}/manifest")
+
+
+def sweep(spark: SparkSession, configs: list[dict[str, str]], path: str, run: Callable[[dict[str, str]], dict[str, DataFrame]]) -> list[dict[str, str]]:
+    """Runs the configurations that the manifest below path doesn't name and writes each one's tables; returns those run.
+
+    All configurations have the same keys. run gives a configuration's tables, which get its values as columns; one that
+    fails leaves no manifest row, so the next sweep takes it up again."""
+    by, took = list(configs[0]) if configs else [], []
+    done = {tuple(r) for r in manifest(spark, path, by).select(*by).distinct().collect()} if by else set()
+    for config in configs:
+        if tuple(config[k] for k in by) not in done:
+            named = {name: df.withColumns({k: F.lit(v) for k, v in config.items()}) for name, df in run(config).items()}
+            write_results(named, path, by, config)
+            took.append(config)
+    return took

@@ -54,3 +54,35 @@ def test_models_are_saved_and_score(spark, sf, tmp_path):
     again = protocol.load_bundle(spark, f"{tmp_path}/b")
     a, b = (protocol.score_batch(rows, m, w, queries.FEATURES).select("subject", "l_orderkey", "l_linenumber", "Choquet").orderBy("l_orderkey", "l_linenumber").collect() for m, w in ((models, worth), again[:2]))
     assert a == b
+
+
+def test_sweep_takes_up_what_is_not_complete(spark, sf, tmp_path):
+    rows, path, fail = spark.read.parquet(f"{sf}/nation.parquet"), str(tmp_path / "swept"), {"random"}
+    configs = [{"protocol": p, "features": f} for p in ("loso", "random") for f in ("001", "002")]
+
+    def run(config):
+        if config["protocol"] in fail:
+            raise LookupError
+        return {"preds": rows.select("n_nationkey")}
+
+    with pytest.raises(LookupError):
+        rec.sweep(spark, configs, path, run)
+    fail.clear()
+    assert rec.sweep(spark, configs, path, run) == configs[2:]
+    assert rec.sweep(spark, configs, path, run) == []
+    assert rec.sweep(spark, [], path, run) == []
+    rec.write_units(rows.selectExpr("n_nationkey", "'half' as protocol", "'003' as features"), f"{path}/preds", ["protocol", "features"])
+    got = rec.read_results(spark, path, "preds", ["protocol", "features"])
+    n = rows.count()
+    assert sorted(map(tuple, got.groupBy("protocol", "features").count().collect())) == [(p, f, n) for p in ("loso", "random") for f in ("001", "002")]
+
+
+def test_read_features_keeps_ids_as_strings(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("lpad(cast(c_custkey as string), 3, '0') as subject", "c_acctbal").where("c_acctbal > 0")
+    rec.write_units(rows, str(tmp_path / "f"), ["subject"])
+    got = rec.read_features(spark, str(tmp_path / "f"))
+    assert sorted(map(tuple, got.select("subject", "c_acctbal").collect())) == sorted(map(tuple, rows.collect()))
+    some = sorted(r.subject for r in rows.collect())[:2]
+    assert sorted({r.subject for r in rec.read_features(spark, str(tmp_path / "f"), some).collect()}) == some
+    spark.createDataFrame([(7, 1.0), (1234, 2.0)], "subject long, x double").write.parquet(str(tmp_path / "n"))
+    assert sorted(r.subject for r in rec.read_features(spark, str(tmp_path / "n")).collect()) == ["007", "1234"]
