@@ -64,7 +64,7 @@ def group_fold(rows: DataFrame, k: int) -> DataFrame:
     rounds = F.broadcast(spark.createDataFrame(dealt, "n long, begin long, end long, cycle array<int>"))
     numbered = sized.withColumn("part", part).join(shift, ["part", "n"]).withColumn("number", place + F.col("shift"))
     of_size = numbered.join(rounds, "n").where("number >= begin and number < end")
-    return rows.join(of_size.select("subject", F.expr("cycle[cast((number - begin) % size(cycle) as int)]").alias("fold")).hint("shuffle_merge"), "subject")
+    return rows.join(of_size.select("subject", F.expr("get(cycle, cast(pmod(number - begin, size(cycle)) as int))").alias("fold")).hint("shuffle_merge"), "subject")
 
 
 def loso_fold(rows: DataFrame) -> DataFrame:
