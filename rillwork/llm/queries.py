@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillwork.llm import decontaminate, filter_audit, html_text, language_id, line_dedup, media, near_dedup, packing, passage_dedup, quality, token_counts
+from rillwork.llm import decontaminate, filter_audit, html_text, language_id, line_dedup, media, near_dedup, packing, passage_dedup, quality, token_counts, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_whitening": whitening.op11_whitening,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
