@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillwork.llm import decontaminate, filter_audit, html_text, language_id, line_dedup, media, near_dedup, packing, passage_dedup, quality, token_counts, whitening
+from rillwork.llm import decontaminate, filter_audit, html_text, language_id, line_dedup, lm_score, media, near_dedup, packing, passage_dedup, quality, token_counts, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_whitening": whitening.op11_whitening,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_lm_scoring": lm_score.op13_lm_scoring,
 }
 
 ORACLE = {

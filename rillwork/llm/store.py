@@ -61,3 +61,16 @@ def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
 
     The ids are broadcast while they are few; beyond BROADCAST_IDS the join shuffles."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows of counts from some count on, no more than `most`. A histogram of bounded size tells from where; no rows are
+    sorted, so nothing gathers in one task."""
+    bins = F.when(F.col(count) < 4096, F.col(count)).otherwise(F.floor(F.log2(count) * 16) + 4096)
+    total, least = 0, None
+    for r in counts.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("bin")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return counts.where(F.lit(False) if least is None else F.col(count) >= least)
