@@ -484,11 +484,17 @@ def rfe(spark, d):
 
 
 def lasso_rank(spark, d):
-    rows = feature_rows(spark, d)
-    ranked = selection.lasso_rank(folds.hash_fold(rows, 3), FEATURES, "glucose", selection.penalty_path(rows, FEATURES, "glucose"))
+    ranked = selection.lasso_rank(folds.hash_fold(feature_rows(spark, d), 3), FEATURES, "glucose")
     return spark.createDataFrame(ranked, "feature string, weight double")
 
 
+def cross_means(spark, d):
+    """What lasso learns from: products of all pairs of one, the features and the target, averaged by fold."""
+    sums = selection.cross_sums(folds.hash_fold(feature_rows(spark, d), 3), [*FEATURES, "glucose"], "fold")
+    n = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("total"))).over(Window.partitionBy("fold"))
+    return rounded(sums.select("fold", "i", "j", (F.col("total") / n).alias("mean")))
+
+
 def protocol_run(spark, d):
     got = protocol.run_protocol(folds.group_fold(feature_rows(spark, d), 3), FEATURES)
     return grade.summarise(grade.to_long(got, [*protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "NoSkillBaseline"], ["glucose"]))
@@ -496,9 +502,9 @@ def protocol_run(spark, d):
 
 def score_batch(spark, d):
     rows = folds.hash_fold(feature_rows(spark, d), 5)
-    models, worth = protocol.final_models(rows.where("fold > 0").drop("fold"), FEATURES, "glucose")
     new = rows.where("fold = 0").withColumn("l_tax", F.when(F.col("l_tax") > 0.001, F.col("l_tax")))
-    return protocol.score_batch(new, models, worth, FEATURES).select("subject", "ts", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
+    got = protocol.fit_and_score(rows.where("fold > 0").drop("fold"), new.drop("fold"), FEATURES, "glucose")
+    return got.select("subject", "ts", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
 
 
 def resume_pending(spark, d):
@@ -520,7 +526,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank protocol_run score_batch
+dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank cross_means protocol_run score_batch
 resume_pending reject_reasons zone_vs_r2 headline fold_coverage subject_coverage finite_moments
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
