@@ -31,32 +31,35 @@ def sorted_rows(x: np.ndarray) -> np.ndarray:
     return np.argsort(x, axis=1, kind="stable").astype(np.int32)
 
 
-def _best_splits(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_splits(x: np.ndarray, wy: np.ndarray, w: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, threshold, found) of each node: the split with the least squared error, halfway between two values; equal
     ones go to the first feature and the smallest value. Rows of `order` are grouped by node, from `begin` on."""
     nodes, n = len(begin), order.shape[1]
-    last = np.zeros(n, bool)
-    last[begin + size - 1] = True
-    gains, places = np.full((len(x), nodes), -np.inf), np.zeros((len(x), nodes), np.int64)
-    wide = np.repeat(np.arange(nodes), size)
+    end = begin + size - 1
+    gains, places = np.empty((len(x), nodes)), np.empty((len(x), nodes), np.int64)
     for f in range(len(x)):
         rows = order[f]
-        values, weights = x[f][rows], w[rows]
-        lw, ls = np.cumsum(weights), np.cumsum(weights * y[rows])
-        end = begin + size - 1
-        total_w, total_s = np.diff(lw[end], prepend=0.0), np.diff(ls[end], prepend=0.0)
-        lw -= (lw[end] - total_w)[wide]
-        ls -= (ls[end] - total_s)[wide]
-        rw, rs = total_w[wide] - lw, total_s[wide] - ls
-        blocked = last.copy()
-        blocked[:-1] |= values[:-1] >= values[1:]
-        rw[blocked] = 1.0
-        gain = ls * ls / lw + rs * rs / rw
-        gain[blocked] = -np.inf
+        values = x[f].take(rows)
+        lw, ls = np.cumsum(w.take(rows)), np.cumsum(wy.take(rows))
+        up_to_w, up_to_s = lw[end], ls[end]
+        lw -= np.repeat(np.append(0.0, up_to_w[:-1]), size)
+        ls -= np.repeat(np.append(0.0, up_to_s[:-1]), size)
+        rw, rs = np.repeat(lw[end], size), np.repeat(ls[end], size)
+        rw -= lw
+        rs -= ls
+        open_ = np.empty(n, bool)
+        np.less(values[:-1], values[1:], out=open_[:-1])
+        open_[end] = False
+        rw[~open_] = 1.0
+        gain = ls * ls
+        gain /= lw
+        rs *= rs
+        rs /= rw
+        gain += rs
+        gain[~open_] = -np.inf
         gains[f] = np.maximum.reduceat(gain, begin)
-        at = np.flatnonzero((gain == gains[f][wide]) & ~blocked)
-        own, first = np.unique(wide[at], return_index=True)
-        places[f, own] = at[first]
+        at = np.flatnonzero(gain == np.repeat(gains[f], size))
+        places[f] = at[np.searchsorted(at, begin)]
     best = gains.argmax(axis=0)
     at = places[best, np.arange(nodes)]
     threshold = (x[best, order[best, at]] + x[best, order[best, np.minimum(at + 1, n - 1)]]) / 2
@@ -66,18 +69,18 @@ def _best_splits(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray,
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray, depth: int | None = None) -> Tree:
     """A tree of the rows in order (features by rows, from sorted_rows(), rows of no weight left out), without a bound on
     its depth if there is none: nodes of one row, of one target, or without two different values of a feature are leaves."""
-    parts, offset, level = [], 0, 0
+    parts, offset, level, wy = [], 0, 0, w * y
     begin, size = np.zeros(1, np.int64), np.array([order.shape[1]])
     while len(begin):
         rows = order[0]
         weights = w[rows]
-        value = np.add.reduceat(weights * y[rows], begin) / np.add.reduceat(weights, begin)
+        value = np.add.reduceat(wy[rows], begin) / np.add.reduceat(weights, begin)
         nodes = len(begin)
         open_ = (size > 1) & (np.maximum.reduceat(y[rows], begin) > np.minimum.reduceat(y[rows], begin))
         feature, threshold = np.zeros(nodes, np.int8), np.zeros(nodes)
         if (depth is None or level < depth) and open_.any():
             order, begin, size = _kept(order, size, open_)
-            best, cut, found = _best_splits(x, y, w, order, begin, size)
+            best, cut, found = _best_splits(x, wy, w, order, begin, size)
             if not found.all():
                 order, begin, size = _kept(order, size, found)
                 open_[np.flatnonzero(open_)[~found]] = False
@@ -113,14 +116,15 @@ def _parted(x: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarra
     goes_left = np.zeros(x.shape[1], bool)
     goes_left[rows] = x[feature[node], rows] <= threshold[node]
     n_left = np.add.reduceat(goes_left[rows].astype(np.int64), begin)
-    out, place = np.empty_like(order), np.arange(order.shape[1])
+    out, before = np.empty_like(order), np.cumsum(n_left) - n_left
+    to_left = np.repeat((begin - before - 1).astype(np.int32), size)
+    place = np.arange(order.shape[1], dtype=np.int32) + np.repeat((n_left + before).astype(np.int32), size)
     for f in range(len(order)):
         rows = order[f]
-        left = goes_left[rows]
-        seen = np.cumsum(left)
-        inside = seen - (seen[begin] - left[begin])[node]
-        to = np.where(left, begin[node] + inside - 1, place + n_left[node] - inside)
-        out[f][to] = rows
+        left = goes_left.take(rows)
+        seen = np.cumsum(left, dtype=np.int32)
+        # a left row goes to its node's begin plus the left rows before it, a right one behind all the left ones
+        out[f][np.where(left, seen + to_left, place - seen)] = rows
     both = np.column_stack([n_left, size - n_left]).ravel()
     return out, np.cumsum(both) - both, both
 
