@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, fresh, keep, semi, table
+from rillwork.llm.store import BROADCAST_IDS, cut, fresh, keep, semi, table
 
 #: Lines shorter than this many characters must be equal; from here on one edit is allowed.
 NEAR_FROM = 12
@@ -21,21 +21,21 @@ def _spaced(text: str) -> str:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, line_id) of lines that aren't blank; tabs and the like count as spaces, those at the
+    """(doc_id, text_id, line_no, line, line_id) of lines that aren't blank; tabs and the like count as spaces, those at the
     ends are cut off. line_id is a 64-bit hash of the line."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.expr(_spaced("text")), "\n")).alias("line_no", "line"))
-    clean = split.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line"))
+    split = docs.select("doc_id", "text_id", F.posexplode(F.split(F.expr(_spaced("text")), "\n")).alias("line_no", "line"))
+    clean = split.select("doc_id", "text_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line"))
     return clean.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line_id, keys): what all but the last steps need of a line; keys are those of _pieces() for two
+    """(doc_id, text_id, line_no, line_id, keys): what all but the last steps need of a line; keys are those of _pieces() for two
     parts, null for a line that must be equal."""
     lines = lines_of(docs).withColumn("n", F.length("line"))
     key = "xxhash64({m}, {part}, {text})"
     parts = [key.format(m=m, part=0, text=f"right(line, {m} - {m} div 2)") + ", " + key.format(m=m, part=1, text=f"left(line, cast({m} div 2 as int))") for m in ("n", "(n - 1)")]
     keys = F.when(F.col("n") >= NEAR_FROM, F.expr(f"array({', '.join(parts)})"))
-    return lines.select("doc_id", "line_no", "line_id", keys.alias("keys"))
+    return lines.select("doc_id", "text_id", "line_no", "line_id", keys.alias("keys"))
 
 
 def _pieces(lines: DataFrame, parts: int, *keep: str) -> DataFrame:
@@ -72,7 +72,7 @@ def later_neighbours(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """
     some = cut(_sharing(lines.where("keys is not null").select("line_id", F.explode("keys").alias("rest"))).select("line_id").distinct())
     texts = semi(lines_of(docs), some, "line_id", some.count())
-    texts = cut(texts.groupBy("line_id").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("first")))
+    texts = cut(texts.groupBy("line_id").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "text_id", "line_no")).alias("first")))
     places = _sharing(_pieces(texts, PARTS, "line_id").select("line_id", "m", "part", "rest"))
     alike = places.drop("rest").join(_pieces(texts, PARTS, "line_id", "first"), ["line_id", "m", "part"])
     alike = alike.select("line_id", "first", "line", "rest", (F.length("line") > F.col("m")).alias("longer"), F.expr("substr(line, before + 1, length(line) - before - after)").alias("mid"))
@@ -92,6 +92,37 @@ def later_neighbours(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return near.select(F.greatest("me", "other").getField("line_id").alias("line_id")).distinct()
 
 
+def _identified(docs: DataFrame, doc: str, text_id: str) -> DataFrame:
+    """docs with its rows' identity: doc, the doc_id (a null one before all others), and text_id, a hash of the text where a
+    doc_id is null or has different texts, else 0 (so that nothing is shuffled for the many that have one)."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).where("doc_id is not null")
+    several = cut(hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias(text_id)))
+    joined = docs.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNull() | F.col(text_id), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return joined.withColumn(doc, F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(text_id, own)
+
+
+def _deduped(docs: DataFrame, n_lines: str, n_dropped: str) -> DataFrame:
+    """docs with fewer lines, and columns n_lines and n_dropped (names that docs doesn't have)."""
+    doc, text_id, numbers, total = fresh(docs, "doc"), fresh(docs, "text_of"), fresh(docs, "gone"), fresh(docs, "total")
+    base = _identified(docs, doc, text_id)
+    texts = base.select(F.col(doc).alias("doc_id"), F.col(text_id).alias("text_id"), "text")
+    lines = keep(keyed_lines(texts))
+    later = cut(later_neighbours(lines, texts))
+    in_doc = keep(lines.groupBy("line_id", "doc_id", "text_id").agg(F.min("line_no").alias("n"), F.count("*").alias("c")))
+    spread = in_doc.groupBy("line_id").agg(F.min(F.struct("doc_id", "text_id")).alias("d"), F.count("*").alias("docs"))
+    known = spread.where("docs > 1").select("line_id", "d").join(later.withColumn("near", F.lit(True)), "line_id", "full")
+    marks = lines.select("line_id", "doc_id", "text_id", "line_no")
+    gone = marks.join(known, "line_id").where("near or doc_id <> d.doc_id or text_id <> d.text_id").unionByName(marks.join(in_doc.where("c > 1").drop("c"), ["line_id", "doc_id", "text_id"]).where("line_no <> n"), allowMissingColumns=True)
+    counted = in_doc.groupBy("doc_id", "text_id").agg(F.sum("c").alias(total))
+    per_doc = counted.join(gone.groupBy("doc_id", "text_id").agg(F.collect_set("line_no").alias(numbers)), ["doc_id", "text_id"], "left").withColumnsRenamed({"doc_id": doc, "text_id": text_id}).hint("shuffle_hash")
+    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> not array_contains({numbers}, cast(i as bigint)))")
+    out = base.join(per_doc, [doc, text_id], "left")
+    out = out.withColumn(n_lines, F.coalesce(total, F.lit(0).cast("long"))).withColumn(n_dropped, F.coalesce(F.size(numbers), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return out.select(*docs.columns, n_lines, n_dropped)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the lines that no earlier line repeats, and n_lines and n_dropped.
 
@@ -99,25 +130,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id and then by place in the text. That the earlier line goes itself makes no difference. White space at a
     line's ends doesn't count; blank lines stay and aren't counted. Other columns are left as they are, but for
     columns named n_lines or n_dropped, which are replaced. A null text stays null with 0 lines, an empty one empty.
-    Rows with one doc_id are taken as one document: a row that repeats counts its lines twice and keeps them. A null
-    doc_id comes first, its lines stay, and its n_lines is 0. Everything is Spark's own expressions; keys are 64-bit hashes.
+    Rows of one doc_id with different texts are judged each, in the order of their texts' hashes; rows that repeat in
+    both are one document: each counts all their lines and keeps the same ones. Rows with a null doc_id come first.
+    An empty table gives no rows. Everything is Spark's own expressions; keys are 64-bit hashes.
     """
-    texts = docs.select("doc_id", "text")
-    lines = keep(keyed_lines(texts))
-    later = cut(later_neighbours(lines, texts))
-    in_doc = keep(lines.groupBy("line_id", "doc_id").agg(F.min("line_no").alias("n"), F.count("*").alias("c")))
-    spread = in_doc.groupBy("line_id").agg(F.min("doc_id").alias("d"), F.count("*").alias("docs"), F.max(F.col("doc_id").isNull()).alias("bare"))
-    known = spread.where("docs > 1").select("line_id", F.when(~F.col("bare"), F.col("d")).alias("d")).join(later.withColumn("near", F.lit(True)), "line_id", "full")
-    marks = lines.select("line_id", "doc_id", "line_no")
-    gone = marks.join(known, "line_id").where("near or not (doc_id <=> d)").unionByName(marks.join(in_doc.where("c > 1").drop("c"), ["line_id", "doc_id"]).where("line_no <> n"), allowMissingColumns=True)
-    base = docs.drop("n_lines", "n_dropped")
-    numbers, total = fresh(base, "gone"), fresh(base, "total")
-    n_lines = in_doc.groupBy("doc_id").agg(F.sum("c").alias(total))
-    per_doc = n_lines.join(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)), "doc_id", "left").hint("shuffle_hash")
-    kept = F.expr(f"filter(split(text, '\\n'), (x, i) -> not array_contains({numbers}, cast(i as bigint)))")
-    out = base.join(per_doc, "doc_id", "left")
-    out = out.withColumn("n_lines", F.coalesce(total, F.lit(0).cast("long"))).withColumn("n_dropped", F.coalesce(F.size(numbers), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = _deduped(docs.drop("n_lines", "n_dropped"), "n_lines", "n_dropped")
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
@@ -126,8 +143,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go; a document goes if it had lines and all of them were repeats."""
-    out = dedup_lines(docs).where("n_dropped = 0 or n_dropped < n_lines")
+    """Pipeline stage: repeated lines go; a document goes if it had lines and all of them were repeats.
+
+    Rows are judged as in dedup_lines(), by doc_id and text. Null, empty and blank texts have no lines and stay; n_chars
+    follows the text; every other column, whatever its name, is left alone; an empty table stays empty."""
+    n_lines, n_dropped = fresh(docs, "lines_in"), fresh(docs, "lines_out")
+    out = _deduped(docs, n_lines, n_dropped).where((F.col(n_dropped) == 0) | (F.col(n_dropped) < F.col(n_lines)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -70,13 +70,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row is known by doc_id and text, so rows of one doc_id with other texts don't stand for each other. Of rows with a null
     doc_id one stays where their component has no other document; equal ones of them count as copies, not as one row."""
-    name = fresh(docs, "text_id")
+    name, of_id, of_text = fresh(docs, "text_id"), fresh(docs, "id_of"), fresh(docs, "text_of")
     linked = _linked(docs.select("doc_id", "text"), 75, BANDS, ROWS)
     stay = linked.where("id is null or (doc_id <=> component_id and id = keeper)").groupBy("doc_id", "text_id").agg(F.max(F.col("id").isNotNull()).alias("words"))
     bare = cut(stay.where("doc_id is null and words").select(F.col("text_id").alias(name)))
     hashed = docs.withColumn(name, F.xxhash64("text"))
-    listed = stay.where("doc_id is not null or not words").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"))
-    rest = hashed.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_text")), "left_semi")
+    listed = stay.where("doc_id is not null or not words").select(F.col("doc_id").alias(of_id), F.col("text_id").alias(of_text))
+    rest = hashed.join(listed, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(name) == F.col(of_text)), "left_semi")
     one = hashed.where("doc_id is null").join(bare, name, "left_semi").dropDuplicates([name])
     return rest.select(docs.columns).unionByName(one.select(docs.columns))
 

@@ -17,8 +17,9 @@ RADIUS = 7
 #: No paragraph has fewer words unless its text has.
 LEAST_WORDS = 6
 #: Runs of repeated paragraphs of fewer words are not reported: a passage of fifty words loses up to a dozen at each end,
-#: where its paragraphs reach into what is around it.
-RUN_WORDS = 26
+#: where its paragraphs reach into what is around it. Whole lines that repeat lose nothing, so they count from WHOLE_LINES
+#: words on: a repeated line alone is no passage.
+RUN_WORDS, WHOLE_LINES = 15, 26
 #: Equal paragraphs share every band; at a similarity of 0.75 two share none with probability 0.13 percent, at 0.9 0.0002
 #: percent. A single coordinate a band would miss less, but then every common phrase makes a bucket.
 BANDS, ROWS = 8, 2
@@ -94,22 +95,31 @@ def _characters(t: Texts, first: np.ndarray, last: np.ndarray, text: np.ndarray)
     return points[t.start[first]] - zero, points[t.end[last - 1]] - zero
 
 
+def _edges(t: Texts, first: np.ndarray, last: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """1 for paragraphs that begin a line of their text, plus 2 for those that end one."""
+    lines = np.concatenate(([0], np.cumsum(t.data == 10)))
+    begins = (first == t.at[text]) | (lines[t.start[first]] != lines[t.end[np.maximum(first - 1, 0)]])
+    ends = (last == t.at[text + 1]) | (lines[t.end[last - 1]] != lines[t.start[np.minimum(last, len(t.start) - 1)]])
+    return begins + 2 * ends
+
+
 def paragraphs_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, w0, w1, c0, c1, id): every paragraph that is compared, in words and characters from w0 and c0 up to
-    w1 and c1, with a hash of its shingles. docs: doc_id, text_id, text."""
+    """(doc_id, text_id, w0, w1, c0, c1, edges, id): every paragraph that is compared, in words and characters from w0 and c0
+    up to w1 and c1, with a hash of its shingles; edges is 1 if it begins a line, plus 2 if it ends one. docs: doc_id,
+    text_id, text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, cols = [], [[] for _ in range(5)]
+        rows, cols = [], [[] for _ in range(6)]
         for i, _, t in blocks(batch):
             first, last, text, same, *_ = _compared(t)
             rows.append(i + text)
-            for c, v in zip(cols, (first - t.at[text], last - t.at[text], *_characters(t, first, last, text), same), strict=True):
+            for c, v in zip(cols, (first - t.at[text], last - t.at[text], *_characters(t, first, last, text), _edges(t, first, last, text), same), strict=True):
                 c.append(v)
         at = pa.array(np.concatenate(rows))
         ids = [batch.column(c).take(at) for c in ("doc_id", "text_id")]
-        return pa.RecordBatch.from_arrays([*ids, *(pa.array(np.concatenate(c), k) for c, k in zip(cols, [pa.int32()] * 4 + [pa.int64()], strict=True))], ["doc_id", "text_id", "w0", "w1", "c0", "c1", "id"])
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(np.concatenate(c), k) for c, k in zip(cols, [pa.int32()] * 4 + [pa.int8(), pa.int64()], strict=True))], ["doc_id", "text_id", "w0", "w1", "c0", "c1", "edges", "id"])
 
-    return docs.select("doc_id", "text_id", "text").mapInArrow(per_batch(run), "doc_id long, text_id long, w0 int, w1 int, c0 int, c1 int, id long")
+    return docs.select("doc_id", "text_id", "text").mapInArrow(per_batch(run), "doc_id long, text_id long, w0 int, w1 int, c0 int, c1 int, edges byte, id long")
 
 
 def bucket_members(docs: DataFrame) -> DataFrame:
@@ -175,7 +185,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, start, length, n_words, cluster_id, n_places, removed: the passages that occur in several documents.
+    """doc_id, start, length, n_words, cluster_id, n_places, removed, text_id: the passages that occur in several documents.
 
     docs: doc_id, text; other columns are left alone. Documents are cut into paragraphs at the ends of lines of six words
     or more and, inside these and inside stretches of shorter lines, where the words themselves say so (see RADIUS), so a
@@ -183,8 +193,8 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     similarity of their five-word shingles: MinHash bands find candidates, whole sets verify them, and linked paragraphs
     form components. A component that touches more than one document is a cluster; its earliest paragraph, by doc_id and
     place, stays and the others are removed. Neighbouring paragraphs of a document with one fate make one passage,
-    reported from RUN_WORDS words on: start and length in characters, cluster_id the least of its clusters, n_places how
-    often the most frequent of them occurs.
+    reported from RUN_WORDS words on (whole lines from WHOLE_LINES on): start and length in characters, cluster_id the least of its clusters, n_places how
+    often the most frequent of them occurs, text_id a hash of the text that the passage is in.
     Nulls, empty texts and texts without words have no passages; a row that repeats is the same document, rows of one
     doc_id with different texts are judged each; an empty table gives no rows; a null doc_id is ignored.
     """
@@ -203,7 +213,7 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.max("last_doc").alias("last_doc"), F.sum("places").alias("n_places")).where("first.doc_id <> last_doc").drop("last_doc")
     of_class = named.select("id", "label").join(clusters, "label")
     removed = F.struct("doc_id", "text_id", "w0") != F.col("first")
-    hit = found.join(of_class, "id").select("doc_id", "text_id", "w0", "w1", "c0", "c1", "label", "n_places", removed.alias("removed"))
+    hit = found.join(of_class, "id").select("doc_id", "text_id", "w0", "w1", "c0", "c1", "edges", "label", "n_places", removed.alias("removed"))
     hit = keep(hit.repartition("doc_id", "text_id").dropDuplicates(["doc_id", "text_id", "w0"]))
     discard(found)
     discard(named)
@@ -211,16 +221,20 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     new = F.coalesce((F.col("w0") - F.lag("w1").over(order) > GAP) | (F.lag("removed").over(order) != F.col("removed")), F.lit(True))
     runs = hit.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
     of_run = runs.groupBy("doc_id", "text_id", "run", "removed")
-    out = of_run.agg(F.min("c0").cast("long").alias("start"), (F.max("c1") - F.min("c0")).cast("long").alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_places").alias("n_places"))
-    return out.where(F.col("n_words") >= RUN_WORDS).select("doc_id", "start", "length", "n_words", "cluster_id", "n_places", "removed")
+    whole = (F.min_by("edges", "w0").bitwiseAND(1) == 1) & (F.max_by("edges", "w0").bitwiseAND(2) == 2)
+    out = of_run.agg(whole.alias("whole"), F.min("c0").cast("long").alias("start"), (F.max("c1") - F.min("c0")).cast("long").alias("length"), F.sum(F.col("w1") - F.col("w0")).alias("n_words"), F.min("label").alias("cluster_id"), F.max("n_places").alias("n_places"))
+    long = F.col("n_words") >= F.when(F.col("whole"), WHOLE_LINES).otherwise(RUN_WORDS)
+    return out.where(long).select("doc_id", "start", "length", "n_words", "cluster_id", "n_places", "removed", "text_id")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the removed ones of repeated_passages() taken out of text; other columns stay as they are."""
-    name = fresh(docs, "spans")
-    spans = passages.where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length")), False).alias(name))
+    """docs with the removed ones of repeated_passages() taken out of text; other columns stay as they are. A row loses what was
+    found in its own text: rows of one doc_id with other texts are left alone."""
+    name, text_id, of_id, of_text = (fresh(docs, x) for x in ("spans", "text_of", "id_of", "hash_of"))
+    spans = passages.where("removed").groupBy(F.col("doc_id").alias(of_id), F.col("text_id").alias(of_text)).agg(F.sort_array(F.collect_set(F.struct("start", "length")), False).alias(name))
     cut_out = F.expr(f"aggregate({name}, text, (t, s) -> concat(left(t, cast(s.start as int)), substr(t, cast(s.start + s.length + 1 as int))))")
-    joined = docs.join(spans, "doc_id", "left")
+    hashed = docs.withColumn(text_id, F.xxhash64("text"))
+    joined = hashed.join(spans, (F.col("doc_id") == F.col(of_id)) & (F.col(text_id) == F.col(of_text)), "left")
     return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut_out)).select(docs.columns)
 
 
