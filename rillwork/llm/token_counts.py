@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm.store import cut, table
+from rillwork.llm.store import cut, most_frequent, table
 from rillwork.llm.text import decoded
 
 #: The most frequent pre-tokens, of at most LONGEST characters, that are broadcast with their counts (under 70 MB).
@@ -85,7 +85,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, head: int = HE
     columns are left alone; a null doc_id is kept.
     """
     known = cut(vocabulary(docs, model))
-    top = known.where(F.length("token") <= LONGEST).orderBy(F.desc("freq"), "token").limit(head).select("token", "n")
+    top = most_frequent(known.where(F.length("token") <= LONGEST), "freq", head).select("token", "n")
     frequent = docs.sparkSession.sparkContext.broadcast({r["token"]: r["n"] for r in top.toLocalIterator()})
 
     def split(batches):
