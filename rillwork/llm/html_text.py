@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,9 +41,10 @@ _PROSE = set("p h1 h2 h3 h4 h5 h6 b i em strong a span u s small mark sub sup co
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Words that say nothing of what an element holds: a class of a marking word and these marks, one with others doesn't.
-_NEUTRAL = set("site page main global post entry article user inner outer wrap wrapper box container content area block section list item items row col group body bar top bottom left right center sticky fixed mobile desktop primary secondary js id no text link links button icon image slot unit zone space holder panel form button text thread count title heading".split())
-_SPLIT = re.compile(r"[^a-z]+")
+#: Words that say nothing of what an element holds, and words ahead of what an element has or lacks.
+_NEUTRAL = set("site page main global post posts entry article message messages user inner outer wrap wrapper box container content area block section list item items row col group body bar top bottom left right center sticky fixed mobile desktop primary secondary js id no text link links button icon image slot unit zone space holder panel form button text thread count title heading".split())
+_NEGATED = set("no has have with without not hide show is".split())
+_SPLIT, _HUMP = re.compile(r"[^a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Depth from which paths don't grow any more, so that very deep pages cost no more for an element.
 DEEP = 128
 
@@ -63,25 +65,34 @@ class _Open(NamedTuple):
     article: bool
 
 
-def _marks(value: str) -> set[str]:
-    """Marking words of class names that consist of such and neutral words alone: `notice` and `notice-box`, not `notice-board`."""
+@lru_cache(1 << 16)
+def _marks(value: str) -> frozenset[str]:
+    """Marking words of class names and ids, by their last word that says something: `reader-comments`, `ad-300x250` and
+    `notice-box` are marked, `notice-board` isn't, nor is `has-sidebar`. Of a name of marking and neutral words alone
+    every marking word counts."""
     found: set[str] = set()
-    for name in value.split():
-        words = {w for w in _SPLIT.split(name) if w}
-        if words <= _WORDS | _NEUTRAL:
-            found |= words & _WORDS
-    return found
+    for name in _HUMP.sub("-", value).lower().split():
+        words = [w for w in _SPLIT.split(name) if w]
+        if words and words[0] in _NEGATED:
+            continue
+        if set(words) <= _WORDS | _NEUTRAL:
+            found |= set(words) & _WORDS
+        while words and (words[-1] in _NEUTRAL or len(words[-1]) == 1):
+            words.pop()
+        found |= set(words[-1:]) & _WORDS
+    return frozenset(found)
 
 
 def _attributes(text: str, tag: str, article: bool) -> tuple[str, int]:
     """What the path shows of an element's attributes, and how they mark it as no article text (see _Open)."""
     label, aside = "", 0
     for name, *values in _ATTR.findall(text):
-        name, value = name.lower(), next((v for v in values if v), "").lower()
+        name, raw = name.lower(), next((v for v in values if v), "")
+        value = raw.lower()
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + " ".join(re.sub(r"\d+", "9", value).split())
             if tag not in ("html", "body"):
-                found = _marks(value) - ({"header"} if article else set())
+                found = _marks(raw) - ({"header"} if article else set())
                 aside = max(aside, 2 if found - _LAYOUT else 1 if found else 0)
         elif name == "role":
             aside = 2 if value.strip() in _ROLES else aside
@@ -226,7 +237,9 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_removed for each row of pages (page_id, url, html).
 
-    1. The trees of a host's pages are merged into one style tree; each node gets its importance.
+    1. The trees of a host's pages are merged into one style tree; each node that PAGES different pages have gets its
+       importance, so a host of fewer pages is judged by markup alone. Elements more than DEEP levels down count to
+       the node above them.
     2. From each page go the branches that its markup marks as menus, headers, footers, sidebars, notices, adverts,
        forms or comments, and those whose node is unimportant on the host. Prose that stands in an article or main
        element without a box of its own is never unimportant; a page that would lose all its text by importance

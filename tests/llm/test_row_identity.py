@@ -4,7 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
-from rillwork.llm import line_dedup, near_dedup, passage_dedup
+from rillwork.llm import html_text, line_dedup, near_dedup, passage_dedup
 
 r = random.Random(23)
 WORDS = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)]
@@ -79,3 +79,12 @@ def test_planted_passages_are_found(spark):
         found[n, x["doc_id"]] += x["n_words"]
     share = {n: sum(k[0] == n for k in found) / 100 for n in (40, 50, 60, 100)}
     assert share[40] >= 0.7 and min(share[n] for n in (50, 60, 100)) >= 0.94
+
+
+def test_compound_class_names_mark_boxes(spark):
+    """Boxes inside an article go by the word that says what they are, on hosts without a tree too."""
+    gone = ["reader-comments", "wp-block-comments", "ad-300x250", "cookie-message", "site-wide-banner", "elementor-widget-sidebar", "jp-related-posts", "readerComments", "notice-box", "post-share"]
+    stay = ["notice-board", "has-sidebar", "long-form", "form-guide", "price-list", "story", "content no-sidebar", "x9"]
+    inside = "".join(f"<div class='{c}'>{c} text</div>" for c in [*gone, *stay])
+    df = spark.createDataFrame([(1, "http://one.example/", f"<article><p>first</p>{inside}<p>last</p></article>")], "page_id long, url string, html string")
+    assert html_text.main_text(df).first()["text"] == "\n\n".join(["first", *[f"{c} text" for c in stay], "last"])
