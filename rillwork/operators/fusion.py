@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.fuzzy import choquet, density, pairs, sugeno_lambda, sugeno_lambda3
 from rillwork.operators.readings import runs
+from rillwork.operators.segments import scan
 
 
 def fold_densities(rows: DataFrame, models: list[str], target: str = "glucose") -> DataFrame:
@@ -37,21 +38,38 @@ def fuse(rows: DataFrame, densities: DataFrame, models: list[str]) -> DataFrame:
     )
 
 
-def trailing_lambda(spark, n: int, g: float) -> DataFrame:
-    """(k, lam) for 1 to n equal densities; one density alone has no lambda and 0 stands for it."""
-    return spark.range(1, n + 1).select(F.col("id").cast("int").alias("k"), F.when(F.col("id") == 1, 0.0).otherwise(sugeno_lambda(F.array_repeat(F.lit(float(g)), F.col("id").cast("int")))).alias("lam"))
+def trailing_lambda(spark, n: int, g: float) -> list[float]:
+    """Lambda of 1 to n equal densities; one density alone has none and 0 stands for it."""
+    made = spark.range(1, n + 1).select("id", F.when(F.col("id") == 1, 0.0).otherwise(sugeno_lambda(F.array_repeat(F.lit(float(g)), F.col("id").cast("int")))).alias("lam"))
+    return [r["lam"] for r in made.orderBy("id").collect()]
 
 
-def smooth(rows: DataFrame, value: str, out: str, n: int = 7, g: float = 1 / 7, max_gap_min: float = 15) -> DataFrame:
-    """Adds `out`: the Choquet integral, all densities g, of a value and up to n - 1 before it in its contiguous run.
+def smoothings(rows: DataFrame, values: list[str], wanted: dict[str, tuple[str, float]], n: int = 7, max_gap_min: float = 15) -> DataFrame:
+    """Adds columns, name to (value, density): the Choquet integral, all densities equal, of a value and up to n - 1 before
+    it in its contiguous run. All of them read one trail of `values`, gathered once.
 
-    A run ends at a gap of more than max_gap_min; its first value stands for itself."""
+    A run ends at a gap of more than max_gap_min; its first value stands for itself, and nulls are no values."""
     named = rows if "run" in rows.columns else runs(rows, max_gap_min)
-    trail = Window.partitionBy("subject", "run").orderBy("ts").rowsBetween(1 - n, 0)
-    got = named.withColumn("_v", F.collect_list(value).over(trail)).withColumn("k", F.size("_v"))
-    sized = got.join(F.broadcast(trailing_lambda(rows.sparkSession, n, g)), "k")
-    fused = choquet(F.transform("_v", lambda v: F.struct(v.alias("value"), F.lit(float(g)).alias("density"))), F.col("lam"))
-    return sized.withColumn(out, F.when(F.col("k") == 1, F.col(value)).otherwise(fused)).drop("_v", "k", "lam")
+    trail = scan(named, tail=["run", *values], halo=n - 1)
+    same = F.filter("before", lambda x: x["run"].eqNullSafe(F.col("run")))
+
+    def past(value: str) -> F.Column:
+        return F.filter(F.concat(F.transform(same, lambda x: x[value]), F.array(value)), lambda x: x.isNotNull())
+
+    trail = trail.withColumns({f"_t_{v}": past(v) for v in values})
+    lams = {g: F.array(*map(F.lit, trailing_lambda(rows.sparkSession, n, g))) for _, g in wanted.values()}
+
+    def fused(value: str, g: float) -> F.Column:
+        held = F.col(f"_t_{value}")
+        whole = choquet(F.transform(held, lambda v: F.struct(v.alias("value"), F.lit(float(g)).alias("density"))), F.get(lams[g], F.size(held) - 1))
+        return F.when(F.size(held) <= 1, F.get(held, F.lit(0))).otherwise(whole)
+
+    return trail.withColumns({name: fused(v, g) for name, (v, g) in wanted.items()}).drop("before", *[f"_t_{v}" for v in values])
+
+
+def smooth(rows: DataFrame, value: str, out: str, n: int = 7, g: float = 1 / 7, max_gap_min: float = 15) -> DataFrame:
+    """One smoothing of smoothings()."""
+    return smoothings(rows, [value], {out: (value, g)}, n, max_gap_min)
 
 
 def reliability_weighted(long: DataFrame) -> DataFrame:

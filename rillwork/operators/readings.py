@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.zones import MGDL
-
-
-def in_time():
-    """A subject's readings in order."""
-    return Window.partitionBy("subject").orderBy("ts")
+from rillwork.operators.segments import scan
 
 
 def clean_readings(raw: DataFrame, subject: str, ts: str, kind: str, value: str, kinds: list[str] | None = None) -> DataFrame:
@@ -20,23 +16,20 @@ def clean_readings(raw: DataFrame, subject: str, ts: str, kind: str, value: str,
     return rows.select(F.col(subject).cast("string").alias("subject"), F.col(ts).alias("ts"), (number / MGDL).alias("glucose")).na.drop()
 
 
-def gap_minutes() -> F.Column:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return (micros - F.lag(micros).over(in_time())) / 60e6
+def _longer(max_gap_min: float):
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    return lambda before, own: micros(own) - micros(before) > max_gap_min * 60e6
 
 
 def runs(readings: DataFrame, max_gap_min: float) -> DataFrame:
     """Adds run: a new one begins where the gap to the reading before is greater than max_gap_min."""
-    new = F.coalesce((gap_minutes() > max_gap_min).cast("int"), F.lit(0))
-    return readings.withColumn("new", new).withColumn("run", F.sum("new").over(in_time())).drop("new")
+    return scan(readings, {"run": (_longer(max_gap_min), 0)})
 
 
 def days(readings: DataFrame) -> DataFrame:
     """Adds ordinal (from 0), day_no and label: a new day where the date differs from the reading before."""
-    date = F.to_date("ts")
-    new = F.coalesce((date != F.lag(date).over(in_time())).cast("int"), F.lit(1))
-    out = readings.withColumn("ordinal", (F.row_number().over(in_time()) - 1).cast("long")).withColumn("new", new)
-    return out.withColumn("day_no", F.sum("new").over(in_time())).drop("new").withColumn("label", F.concat(F.lit("day "), F.col("day_no").cast("string")))
+    out = scan(readings, {"day_no": (lambda before, own: F.to_date(own) != F.to_date(before), 1)}, ordinal="ordinal")
+    return out.withColumn("ordinal", F.col("ordinal").cast("long")).withColumn("label", F.concat(F.lit("day "), F.col("day_no").cast("string")))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -54,6 +47,8 @@ MODELS = ["LastReading", "TrailingMean", "PastMean"]
 
 def causal_predictions(readings: DataFrame) -> DataFrame:
     """Predictions from a subject's own past: its last reading, the mean of up to seven, the mean of all so far."""
-    past = in_time().rowsBetween(Window.unboundedPreceding, -1)
-    out = readings.withColumn("LastReading", F.lag("glucose").over(in_time())).withColumn("TrailingMean", F.avg("glucose").over(in_time().rowsBetween(-7, -1))).withColumn("PastMean", F.avg("glucose").over(past))
-    return out.where("LastReading is not null")
+    past = scan(readings, tail=["glucose"], halo=7, sums=["glucose"])
+    known = F.filter(F.transform("before", lambda x: x["glucose"]), lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+    out = past.withColumn("LastReading", F.get("before", F.size("before") - 1)["glucose"]).withColumn("TrailingMean", mean)
+    return out.withColumn("PastMean", F.col("sum_glucose") / F.nullif("count_glucose", F.lit(0))).drop("before", "sum_glucose", "count_glucose").where("LastReading is not null")

@@ -168,18 +168,15 @@ def temporal_choquet(spark, d):
 
 
 def temporal_sweep(spark, d):
-    """Smoothing variants of each model, fused and graded, beside the raw models."""
-    rows, out = predictions(spark, d), None
-    rows = rd.runs(rows, GAP)
-    densities = fusion.fold_densities(rows, MODELS)
-    for name, g in (("raw", None), ("1/7", 1 / 7), ("0.20", 0.20), ("0.35", 0.35)):
-        now = rows
-        for m in MODELS if g else []:
-            now = fusion.smooth(now, m, f"s_{m}", 7, g).drop(m).withColumnRenamed(f"s_{m}", m)
-        graded = fusion.fuse(now, densities, MODELS).agg(grade.rmse(F.col("glucose"), F.col("Choquet")).alias("rmse"), grade.mard(F.col("glucose"), F.col("Choquet")).alias("mard")).withColumn("variant", F.lit(name))
-        out = graded if out is None else out.unionByName(graded)
+    """Smoothing variants of each model, fused and graded, beside the raw models: one trail and one aggregate for all."""
+    rows = rd.runs(predictions(spark, d), GAP)
+    variants = {"1/7": 1 / 7, "0.20": 0.20, "0.35": 0.35}
+    wide = fusion.smoothings(rows, MODELS, {f"{name} {m}": (m, g) for name, g in variants.items() for m in MODELS})
+    each = F.array(*[F.struct(F.lit(name).alias("variant"), *[F.col(f"`{name} {m}`" if name != "raw" else m).alias(m) for m in MODELS]) for name in ("raw", *variants)])
+    apart = wide.select("fold", "glucose", F.explode(each).alias("v")).select("fold", "glucose", "v.*")
+    graded = fusion.fuse(apart, fusion.fold_densities(rows, MODELS), MODELS).groupBy("variant").agg(grade.rmse(F.col("glucose"), F.col("Choquet")).alias("rmse"), grade.mard(F.col("glucose"), F.col("Choquet")).alias("mard"))
     base = F.max(F.when(F.col("variant") == "raw", F.col("rmse"))).over(Window.partitionBy())
-    return rounded(out.withColumn("delta", F.col("rmse") - base), 4)
+    return rounded(graded.withColumn("delta", F.col("rmse") - base), 4)
 
 
 def zone_label(spark, d):
