@@ -1,5 +1,5 @@
-"""The wide feature row of paired signal windows: band-pass, wavelet reconstructions and ten features of each in one pass
-over Arrow batches of windows; beats and pulses as joins over their samples (signals)."""
+"""The wide feature row of paired signal windows: band-pass, wavelet reconstructions, ten features of each, beats and pulses
+in one pass over Arrow batches of windows. beat_features and pulse_features are the same measures as joins over samples."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.operators import signals
+from rillwork.operators import morphology, signals
 
 # Names that readers of the feature table know, in their order.
 TEN = ["Kur", "Ske", "SM", "SC", "FD", "CD", "C0", "PSE", "KE", "SE"]
@@ -149,26 +149,13 @@ def ten_features(x: np.ndarray) -> np.ndarray:
         return np.column_stack([(d**4).mean(1) / var**2 - 3, (d**3).mean(1) / var**1.5, mobility, np.sqrt(ddx / dx) / mobility, fd, cd, c0, pse, ke, se])
 
 
-def cleaned(windows: DataFrame, bands: dict[str, tuple[float, float, float]]) -> DataFrame:
-    """windows with each signal column of bands (low, high, rate) band-passed; too short or null ones become null."""
+def _rows(column: pa.Array) -> list:
+    """The windows of a column; null and empty ones, and those with nulls, give None."""
+    return [None if v is None or not len(v) or None in v else np.array(v, float) for v in column.to_pylist()]
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                for name, (low, high, fs) in bands.items():
-                    column = batch.schema.get_field_index(name)
-                    out = _by_length(batch.column(column), lambda x, b=(low, high, fs): list(band_pass(x, *b)))
-                    out = [None if v is None or np.isnan(v).any() else v for v in out]
-                    batch = batch.set_column(column, name, pa.array(out, pa.list_(pa.float64())))
-                yield batch
 
-    return windows.mapInArrow(run, windows.schema)
-
-
-def _by_length(column: pa.Array, f) -> list:
-    """f over the rows of equal length at once; null and empty rows, and those with nulls, give None."""
-    rows = [None if v is None or not len(v) or None in v else np.array(v, float) for v in column.to_pylist()]
+def _by_length(rows: list, f) -> list:
+    """f over the windows of equal length at once."""
     out: list = [None] * len(rows)
     for n in {len(r) for r in rows if r is not None}:
         some = [i for i, r in enumerate(rows) if r is not None and len(r) == n]
@@ -177,22 +164,50 @@ def _by_length(column: pa.Array, f) -> list:
     return out
 
 
+def _passed(rows: list, band: tuple[float, float, float]) -> list:
+    """Windows band-passed; those too short or without finite values become None."""
+    return [None if v is None or np.isnan(v).any() else v for v in _by_length(rows, lambda x: list(band_pass(x, *band)))]
+
+
+def _slices(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            yield whole.slice(at, BATCH)
+
+
+def _temporal(rows: list, levels: int) -> np.ndarray:
+    """Ten features of each window and of its wavelet levels; NaN where there is none."""
+    none = np.full(10 * (levels + 1), np.nan)
+    made = _by_length(rows, lambda x: np.concatenate([ten_features(r) for r in reconstructions(x, levels)], axis=1))
+    return np.stack([none if v is None else v for v in made])
+
+
+def _temporal_names(prefix: str, levels: int) -> list[str]:
+    return [f"{prefix}FE{k}_{t}" for k in range(levels + 1) for t in TEN]
+
+
+def cleaned(windows: DataFrame, bands: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """windows with each signal column of bands (low, high, rate) band-passed; too short or null ones become null."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            for name, band in bands.items():
+                column = batch.schema.get_field_index(name)
+                batch = batch.set_column(column, name, pa.array(_passed(_rows(batch.column(column)), band), pa.list_(pa.float64())))
+            yield batch
+
+    return windows.mapInArrow(run, windows.schema)
+
+
 def temporal_features(windows: DataFrame, key: str, names: dict[str, str], levels: int = LEVELS) -> DataFrame:
     """key and, for each signal column and its prefix in names, prefix + FE0_Kur ... FE7_SE: the ten features of the
     signal and of what each wavelet level alone gives back. A null, empty or constant signal leaves nulls."""
-    columns = [f"{p}FE{k}_{t}" for p in names.values() for k in range(levels + 1) for t in TEN]
-
-    def features(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([ten_features(r) for r in reconstructions(x, levels)], axis=1)
+    columns = [c for p in names.values() for c in _temporal_names(p, levels)]
 
     def run(batches):
-        none = np.full(10 * (levels + 1), np.nan)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                got = [np.stack([none if v is None else v for v in _by_length(batch.column(batch.schema.get_field_index(n)), features)]) for n in names]
-                wide = np.concatenate(got, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, mask=~np.isfinite(v)) for v in wide.T)], [key, *columns])
+        for batch in _slices(batches):
+            wide = np.concatenate([_temporal(_rows(batch.column(batch.schema.get_field_index(n))), levels) for n in names], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, mask=~np.isfinite(v)) for v in wide.T)], [key, *columns])
 
     kind = windows.schema[key].dataType.simpleString()
     return windows.select(key, *names).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in columns))
@@ -225,13 +240,23 @@ def window_rows(windows: DataFrame, key: str, ecg: tuple[float, float, float] =
     """The wide row of each window (key, ecg, ppg): both signals band-passed, ten features of each and of their wavelet
     levels, beats of the ecg, pulses of the ppg, and finite: whether all of them have a value.
 
-    key tells windows apart. Null, empty and short signals leave nulls and are not finite; rows that repeat would be
-    joined with each other, so they are to be taken out first (readings.keep_first); an empty table gives no rows. ecg and
+    One pass over Arrow batches: each window is filtered once, nothing is exploded, joined or shuffled. Null, empty and short
+    signals leave nulls and are not finite; rows that repeat give their row again; an empty table gives no rows. ecg and
     ppg give the band and the rate of each signal."""
-    clean = cleaned(windows.select(key, "ecg", "ppg"), {"ecg": ecg, "ppg": ppg})
-    wide = temporal_features(clean, key, {"ecg": "ECG_", "ppg": "PPG_"}, levels)
-    beats = beat_features(clean.select(key, F.col("ecg").alias("x")).where("x is not null"), key, ecg[2])
-    pulses = pulse_features(clean.select(key, F.col("ppg").alias("x")).where("x is not null"), key, ppg[2])
-    out = wide.join(beats, key, "left").join(pulses, key, "left")
-    names = [c for c in out.columns if c != key]
-    return out.withColumn("finite", F.forall(F.array(*[F.col(f"`{c}`") for c in names]), lambda v: v.isNotNull() & ~F.isnan(v)))
+    beat = [f"ECGm_{n}_{k}" for n in BEAT.values() for k in ("mean", "std")] + [f"ECGm_{n}" for n in ("HR_mean", "QTc", "SDNN", "RMSSD", "pNN50")]
+    pulse = [f"PPGm_{n}_{k}" for n in PULSE.values() for k in ("mean", "std")]
+    columns = [*_temporal_names("ECG_", levels), *_temporal_names("PPG_", levels), *beat, *pulse]
+
+    def each(rows: list, f, width: int) -> np.ndarray:
+        return np.stack([np.full(width, np.nan) if r is None else f(r) for r in rows])
+
+    def run(batches):
+        for batch in _slices(batches):
+            heart, blood = _passed(_rows(batch.column(1)), ecg), _passed(_rows(batch.column(2)), ppg)
+            parts = [_temporal(heart, levels), _temporal(blood, levels), each(heart, lambda x: morphology.beat_features(x, ecg[2]), len(beat)), each(blood, lambda x: morphology.pulse_features(x, ppg[2]), len(pulse))]
+            wide = np.concatenate(parts, axis=1)
+            finite = np.isfinite(wide)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, mask=~m) for v, m in zip(wide.T, finite.T, strict=True)), pa.array(finite.all(axis=1))], [key, *columns, "finite"])
+
+    kind = windows.schema[key].dataType.simpleString()
+    return windows.select(key, "ecg", "ppg").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in columns) + ", finite boolean")

@@ -122,3 +122,30 @@ def test_wide_rows(spark):
     assert abs(one["ECGm_HR_mean"] - 72) < 5 and one["ECGm_QT_mean"] > 0 and one["ECGm_QTc"] > 0 and 0.05 < one["PPGm_Rise_mean"] < 0.5
     assert got[2]["PPGm_Samp_mean"] is not None and got[2]["ECG_FE0_Kur"] is None and got[5]["PPGm_Samp_mean"] is None
     assert features.window_rows(df.limit(0), "w").count() == 0
+
+
+def _wide_by_joins(df, key, ecg, ppg):
+    clean = features.cleaned(df.select(key, "ecg", "ppg"), {"ecg": ecg, "ppg": ppg})
+    beats = features.beat_features(clean.select(key, F.col("ecg").alias("x")).where("x is not null"), key, ecg[2])
+    pulses = features.pulse_features(clean.select(key, F.col("ppg").alias("x")).where("x is not null"), key, ppg[2])
+    return features.temporal_features(clean, key, {"ecg": "ECG_", "ppg": "PPG_"}).join(beats, key, "left").join(pulses, key, "left")
+
+
+def test_the_pass_over_batches_equals_the_joins(spark, sf):
+    """All 193 features against the native forms, on short windows and on whole ones; one Arrow stage and no exchange."""
+    w = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("ecg"))
+    short = w.select("vec_id", "ecg", F.reverse("ecg").alias("ppg")), (0.5, 8.0, 64.0), (0.5, 8.0, 64.0)
+    r, t = np.random.default_rng(4), np.arange(1024) / 64
+    rows = [(i, [float(v) for v in ecg() + r.normal(0, 0.02, 4000)], [float(v) for v in np.sin(2 * np.pi * (1 + 0.1 * i) * t) + 0.3 * np.sin(4 * np.pi * t + i) + r.normal(0, 0.02, 1024)]) for i in range(4)]
+    whole = spark.createDataFrame(rows, "vec_id long, ecg array<double>, ppg array<double>"), (0.5, 40.0, 250.0), (0.5, 8.0, 64.0)
+    for df, a, b in (short, whole):
+        wide = features.window_rows(df, "vec_id", a, b)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+        got = {x["vec_id"]: x.asDict() for x in wide.collect()}
+        for x in _wide_by_joins(df, "vec_id", a, b).collect():
+            want = x.asDict()
+            assert set(want) | {"finite"} == set(got[want["vec_id"]])
+            for name, value in want.items():
+                assert got[want["vec_id"]][name] == (value if value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), name
+    assert any(got[i]["ECGm_SDNN"] is not None and got[i]["PPGm_AI_mean"] is not None for i in got)
