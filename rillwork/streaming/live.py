@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rillwork.functions.grade import grades
+from rillwork.operators.fusion import trailing_lambda
 
 
 def run_sessions(readings: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -29,53 +30,67 @@ def pair_signals(readings: DataFrame, windows: DataFrame, seconds: int, late: st
     return r.join(w, near).select("r.subject", "r.ts", "r.glucose", "w.t_end", "w.x")
 
 
-def sugeno(g: float, k: int) -> float:
-    """Lambda of k equal densities g, by bisection."""
-    if k == 1 or abs(g * k - 1) <= 1e-12:
-        return 0.0
-    gap = lambda x: (1 + x) - (1 + g * x) ** k
-    lo, hi = (1e-9, 1.0) if g * k < 1 else (-1 + 1e-15, -1e-9)
-    while g * k < 1 and gap(hi) > 0:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (gap(mid) > 0) == (g * k < 1) else (lo, mid)
-    return (lo + hi) / 2
-
-
 class _Smoother(StatefulProcessor):
-    """Keeps a subject's last n values of its run."""
+    """Holds a subject's rows until the watermark has passed them, then takes them in order of time, and its run's last n
+    values until no row can join the run any more."""
 
-    def __init__(self, n: int, g: float, max_gap_min: float):
-        self.n, self.g, self.gap = n, g, max_gap_min
-        self.lam = [0.0] + [sugeno(g, k) for k in range(1, n + 1)]
+    def __init__(self, lam: list[float], n: int, g: float, max_gap_min: float):
+        self.lam, self.n, self.g, self.gap = lam, n, g, int(max_gap_min * 60_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trail", "last timestamp, trail array<double>")
+        self.handle = handle
+        self.trail = handle.getValueState("trail", "last long, trail array<double>")
+        self.waiting = handle.getListState("waiting", "ms long, ts timestamp, value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
-        last, trail = (held[0], list(held[1])) if held else (None, [])
-        for pdf in sorted(rows, key=lambda p: p["ts"].min()):
-            out = []
-            for ts, value in pdf.sort_values("ts")[["ts", "value"]].itertuples(index=False):
-                if last is not None and (ts - pd.Timestamp(last)).total_seconds() > self.gap * 60:
-                    trail = []
-                trail, last = [*trail, value][-self.n :], ts
-                total = measure = 0.0
-                for v in sorted(trail, reverse=True):
-                    more = self.g + self.lam[len(trail)] * measure * self.g
-                    measure, total = measure + more, total + v * more
-                out.append((key[0], ts, value, value if len(trail) == 1 else total))
-            yield pd.DataFrame(out, columns=["subject", "ts", "value", "smoothed"])
-        if last is not None:
-            self.state.update((pd.Timestamp(last).to_pydatetime(), trail))
+        passed, new = timerValues.getCurrentWatermarkInMs(), []
+        for pdf in rows:
+            new += [(int(ts.value // 1_000_000), ts.to_pydatetime(), float(v)) for ts, v in pdf[["ts", "value"]].dropna().itertuples(index=False)]
+        new = [r for r in new if r[0] > passed]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(r[0] for r in new))
+        yield pd.DataFrame(columns=["subject", "ts", "value", "smoothed"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        last, trail = self.trail.get() if self.trail.exists() else (None, [])
+        trail, out = list(trail or []), []
+        for ms, ts, value in due:
+            trail = [*([] if last is None or ms - last > self.gap else trail), value][-self.n :]
+            last = ms
+            out.append((key[0], ts, value, value if len(trail) == 1 else self._integral(trail)))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        else:
+            self.waiting.clear()
+        if last is not None and passed >= last + self.gap:  # what comes now begins a run of its own
+            self.trail.clear()
+        elif due:
+            self.trail.update((last, trail))
+            self.handle.registerTimer(last + self.gap)
+        yield pd.DataFrame(out, columns=["subject", "ts", "value", "smoothed"])
+
+    def _integral(self, trail: list[float]) -> float:
+        total = measure = 0.0
+        for v in sorted(trail, reverse=True):
+            more = self.g + self.lam[len(trail) - 1] * measure * self.g
+            measure, total = measure + more, total + v * more
+        return total
 
     def close(self) -> None:
         pass
 
 
-def smooth_stream(values: DataFrame, n: int = 7, g: float = 1 / 7, max_gap_min: float = 15) -> DataFrame:
-    """(subject, ts, value, smoothed) of a stream (subject, ts, value) by the trailing Choquet integral of a run; rows of
-    a subject are taken in the order in which batches bring them, by time within a batch."""
-    return values.groupBy("subject").transformWithStateInPandas(statefulProcessor=_Smoother(n, g, max_gap_min), outputStructType="subject string, ts timestamp, value double, smoothed double", outputMode="Append", timeMode="None")
+def smooth_stream(values: DataFrame, n: int = 7, g: float = 1 / 7, max_gap_min: float = 15, late: str = "1 hour") -> DataFrame:
+    """(subject, ts, value, smoothed) of a stream (subject, ts, value) by the trailing Choquet integral of a run, as
+    fusion.smooth gives it for a table.
+
+    A row is given once the watermark, `late` behind the newest time, has passed it, so rows may come in any order within
+    that; later ones and rows without time or value are left out. A subject leaves no state once its last row is more than
+    the gap behind the watermark."""
+    lam = trailing_lambda(values.sparkSession, n, g)
+    return values.withWatermark("ts", late).groupBy("subject").transformWithStateInPandas(statefulProcessor=_Smoother(lam, n, g, max_gap_min), outputStructType="subject string, ts timestamp, value double, smoothed double", outputMode="Append", timeMode="EventTime")

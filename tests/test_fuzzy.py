@@ -9,7 +9,6 @@ from rillwork.functions import fuzzy
 from rillwork.functions.zones import zone
 from rillwork.operators import align, folds, fusion
 from rillwork.operators import readings as rd
-from rillwork.streaming.live import sugeno
 
 
 @pytest.mark.parametrize(
@@ -88,7 +87,7 @@ def test_smoothing(spark):
     got = [r[0] for r in fusion.smooth(df, "glucose", "s").orderBy("ts").select("s").collect()]
     assert got[:5] == pytest.approx([7.0, 7.028571, 7.057143, 7.638689, 7.683388], abs=1e-6)
     assert got[5] == 5.0 and 5.0 < got[6] < 6.0
-    assert [sugeno(1 / 7, k) for k in (2, 3, 4, 5)] == pytest.approx([35, 7, 2.724355, 1.182717], rel=1e-6)
+    assert fusion.trailing_lambda(spark, 5, 1 / 7)[1:] == pytest.approx([35, 7, 2.724355, 1.182717], rel=1e-6)
 
 
 def test_clean_readings_drops_what_is_no_number(spark):
