@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def columns_by_prefix(df: DataFrame, *prefixes: str) -> list[str]:
-    return [c for p in prefixes for c in df.columns if c.startswith(p)]
+def feature_sets(columns: list[str]) -> dict[str, list[str]]:
+    """The five named sets of a wide row's features, by the prefixes of its columns: temporal ones of each signal (ECG_,
+    PPG_), morphological ones (ECGm_, PPGm_), both in that order, and those of one signal."""
+    of = lambda *prefixes: [c for p in prefixes for c in columns if c.startswith(p)]
+    temporal, morphological = of("ECG_", "PPG_"), of("ECGm_", "PPGm_")
+    return {"temporal": temporal, "morphological": morphological, "fused": temporal + morphological, "ecg_only": of("ECG_", "ECGm_"), "ppg_only": of("PPG_", "PPGm_")}
 
 
 def standardise(rows: DataFrame, features: list[str]) -> DataFrame:

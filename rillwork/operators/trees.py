@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Values of features that are taken at once: few rows have many features in each numpy step.
+AT_ONCE = 1 << 14
+
+
 @dataclass
 class Tree:
     """Nodes in order of depth. A leaf is its own child, so that rows may be sent on for as long as the tree is deep."""
@@ -37,19 +41,21 @@ def _best_splits(x: np.ndarray, wy: np.ndarray, w: np.ndarray, order: np.ndarray
     nodes, n = len(begin), order.shape[1]
     end = begin + size - 1
     gains, places = np.empty((len(x), nodes)), np.empty((len(x), nodes), np.int64)
-    for f in range(len(x)):
-        rows = order[f]
-        values = x[f].take(rows)
-        lw, ls = np.cumsum(w.take(rows)), np.cumsum(wy.take(rows))
-        up_to_w, up_to_s = lw[end], ls[end]
-        lw -= np.repeat(np.append(0.0, up_to_w[:-1]), size)
-        ls -= np.repeat(np.append(0.0, up_to_s[:-1]), size)
-        rw, rs = np.repeat(lw[end], size), np.repeat(ls[end], size)
+    step = max(1, AT_ONCE // n)
+    for lo in range(0, len(x), step):  # some features at once, each summed by itself
+        rows = order[lo : lo + step]
+        some = np.arange(len(rows))[:, None]
+        values = x[lo + some, rows]
+        lw, ls = np.cumsum(w.take(rows), axis=1), np.cumsum(wy.take(rows), axis=1)
+        up_to_w, up_to_s = lw[:, end], ls[:, end]
+        lw -= np.repeat(np.pad(up_to_w[:, :-1], ((0, 0), (1, 0))), size, axis=1)
+        ls -= np.repeat(np.pad(up_to_s[:, :-1], ((0, 0), (1, 0))), size, axis=1)
+        rw, rs = np.repeat(lw[:, end], size, axis=1), np.repeat(ls[:, end], size, axis=1)
         rw -= lw
         rs -= ls
-        open_ = np.empty(n, bool)
-        np.less(values[:-1], values[1:], out=open_[:-1])
-        open_[end] = False
+        open_ = np.empty(values.shape, bool)
+        np.less(values[:, :-1], values[:, 1:], out=open_[:, :-1])
+        open_[:, end] = False
         rw[~open_] = 1.0
         gain = ls * ls
         gain /= lw
@@ -57,12 +63,15 @@ def _best_splits(x: np.ndarray, wy: np.ndarray, w: np.ndarray, order: np.ndarray
         rs /= rw
         gain += rs
         gain[~open_] = -np.inf
-        gains[f] = np.maximum.reduceat(gain, begin)
-        at = np.flatnonzero(gain == np.repeat(gains[f], size))
-        places[f] = at[np.searchsorted(at, begin)]
+        most = np.maximum.reduceat(gain, begin, axis=1)
+        at = np.flatnonzero(gain == np.repeat(most, size, axis=1))
+        gains[lo : lo + step] = most
+        places[lo : lo + step] = at[np.searchsorted(at, some * n + begin)] - some * n
     best = gains.argmax(axis=0)
     at = places[best, np.arange(nodes)]
-    threshold = (x[best, order[best, at]] + x[best, order[best, np.minimum(at + 1, n - 1)]]) / 2
+    low, high = x[best, order[best, at]], x[best, order[best, np.minimum(at + 1, n - 1)]]
+    between = low + (high - low) / 2
+    threshold = np.where(between < high, between, low)  # neighbouring doubles have nothing between them
     return best, threshold, gains.max(axis=0) > -np.inf
 
 
@@ -77,7 +86,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray, depth:
         value = np.add.reduceat(wy[rows], begin) / np.add.reduceat(weights, begin)
         nodes = len(begin)
         open_ = (size > 1) & (np.maximum.reduceat(y[rows], begin) > np.minimum.reduceat(y[rows], begin))
-        feature, threshold = np.zeros(nodes, np.int8), np.zeros(nodes)
+        feature, threshold = np.zeros(nodes, np.int32), np.zeros(nodes)
         if (depth is None or level < depth) and open_.any():
             order, begin, size = _kept(order, size, open_)
             best, cut, found = _best_splits(x, wy, w, order, begin, size)
@@ -119,12 +128,13 @@ def _parted(x: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarra
     out, before = np.empty_like(order), np.cumsum(n_left) - n_left
     to_left = np.repeat((begin - before - 1).astype(np.int32), size)
     place = np.arange(order.shape[1], dtype=np.int32) + np.repeat((n_left + before).astype(np.int32), size)
-    for f in range(len(order)):
-        rows = order[f]
+    step = max(1, AT_ONCE // order.shape[1])
+    for lo in range(0, len(order), step):
+        rows = order[lo : lo + step]
         left = goes_left.take(rows)
-        seen = np.cumsum(left, dtype=np.int32)
+        seen = np.cumsum(left, axis=1, dtype=np.int32)
         # a left row goes to its node's begin plus the left rows before it, a right one behind all the left ones
-        out[f][np.where(left, seen + to_left, place - seen)] = rows
+        np.put_along_axis(out[lo : lo + step], np.where(left, seen + to_left, place - seen), rows, axis=1)
     both = np.column_stack([n_left, size - n_left]).ravel()
     return out, np.cumsum(both) - both, both
 

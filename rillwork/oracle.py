@@ -233,6 +233,10 @@ SQL = {
     "standardised": f"WITH {_FEATURES}, q AS (SELECT ship_month AS mo, " + ", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS z_{c}" for c in _NAMES[:5]) + " FROM f) SELECT " + _r("z_ship_month", "ship_month", 3) + ", count(*) AS n, " + ", ".join(_r(f"sum(z_{c})", c, 3) for c in _NAMES[:4]) + " FROM q GROUP BY mo, z_ship_month",
     "ufs_topk": f"WITH {_FEATURES}, c AS ({_CORR}), k AS (SELECT *, row_number() OVER (ORDER BY r * r / (1 - r * r) * (n - 2) DESC NULLS LAST, place) AS rank FROM c) SELECT feature, CAST(rank AS INTEGER) AS rank, {_r('r', 'r')} FROM k WHERE rank <= 5",
     "cross_means": f"WITH {_FEATURES.replace('f AS (SELECT', 'f0 AS (SELECT')}, ff AS (SELECT *, 1::DOUBLE AS one, {_fold(3)} AS fold FROM f0)" + " UNION ALL ".join(f" SELECT fold, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, {_r(f'sum({a} * {b}) / count(*)', 'mean')} FROM ff GROUP BY fold" for i, a in enumerate(["one", *_NAMES, "glucose"]) for j, b in enumerate(["one", *_NAMES, "glucose"]) if i <= j),
+    "window_reasons": """WITH w AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, vec_id % 25 AS k FROM embeddings),
+      o AS (SELECT k, CASE k WHEN 1 THEN x[1:40] WHEN 2 THEN list_transform(range(64), lambda i: 0.5::DOUBLE) WHEN 4 THEN NULL ELSE x END AS ecg, CASE k WHEN 5 THEN x[1:9] ELSE list_reverse(x) END AS ppg FROM w),
+      j AS (SELECT *, CASE WHEN ecg IS NULL THEN 'ecg missing' WHEN len(ecg) < 48 THEN 'ecg too short' WHEN k = 3 THEN 'ecg not finite' WHEN list_max(ecg[-48:]) - list_min(ecg[-48:]) < 1e-9 THEN 'ecg flat' WHEN len(ppg) < 48 THEN 'ppg too short' ELSE 'kept' END AS reason FROM o)
+      SELECT reason, count(*) AS n, round(sum(list_sum(ecg[-48:])) FILTER (reason = 'kept'), 4) AS ecg, round(sum(list_sum(ppg[-48:])) FILTER (reason = 'kept'), 4) AS ppg FROM j GROUP BY reason""",
     "resume_pending": "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate < TIMESTAMP '1998-01-01')",
     "reject_reasons": "SELECT CASE WHEN value IS NULL THEN 'missing' WHEN value / 18.018::DOUBLE < 0.1 THEN 'too low' WHEN value / 18.018::DOUBLE > 25 THEN 'too high' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "feature_intersection": f"WITH {_FEATURES.replace('f AS (SELECT', 'f0 AS (SELECT')}, ff AS (SELECT *, {_fold(3)} AS fold FROM f0), c AS (" + " UNION ALL ".join(f"SELECT {k} AS k, '{c}' AS feature, {i} AS place, corr({c}, glucose) AS r FROM ff WHERE fold <> {k}" for k in range(3) for i, c in enumerate(_NAMES)) + "), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY r * r / (1 - r * r) DESC NULLS LAST, place) <= 5) SELECT feature, CAST(any_value(place) + 1 AS INTEGER) AS place FROM t GROUP BY feature HAVING count(*) = 3",

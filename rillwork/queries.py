@@ -15,7 +15,7 @@ from rillwork.functions import fuzzy, grade
 from rillwork.functions.zones import MGDL, zone
 from rillwork.operators import align, features, folds, fusion, selection, signals
 from rillwork.operators import readings as rd
-from rillwork.plans import protocol
+from rillwork.plans import protocol, scoring
 from rillwork.sources.recordings import resume
 
 MODELS = rd.MODELS
@@ -504,6 +504,31 @@ def score_batch(spark, d):
     return got.select("subject", "ts", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
 
 
+def raw_windows(spark, d) -> DataFrame:
+    """Embeddings as windows of two signals of 48 samples, some of which no model can score."""
+    x, k = F.col("x"), F.col("vec_id") % 25
+    odd = F.when(k == 1, F.slice(x, 1, 40)).when(k == 2, F.array_repeat(F.lit(0.5), 64)).when(k == 3, F.transform(x, lambda v, i: F.when(i != 60, v))).when(k != 4, x)
+    return windows(spark, d).select("vec_id", "label", odd.alias("ecg"), F.when(k != 5, F.reverse("x")).otherwise(F.slice(x, 1, 9)).alias("ppg"))
+
+
+def window_reasons(spark, d):
+    """Windows by why they are refused, and the sums of what is kept of the others."""
+    got = scoring.usable_windows(raw_windows(spark, d), 48, 48)
+    total = lambda c: F.sum(F.when(F.col("reason").isNull(), F.aggregate(c, F.lit(0.0), lambda a, v: a + v)))
+    return rounded(got.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), total("ecg").alias("ecg"), total("ppg").alias("ppg")), 4)
+
+
+def window_scores(spark, d):
+    """From raw windows to scores: models learn from four fifths of the windows, the others are scored or refused."""
+    raw = raw_windows(spark, d)
+    wide = scoring.wide_windows(raw.drop("label"), "vec_id", 48, 48, (0.5, 8.0, 64.0), (0.5, 8.0, 64.0)).join(raw.select("vec_id", "label"), "vec_id")
+    rows = wide.withColumns({"subject": F.concat(F.lit("s"), (F.col("vec_id") % 12).cast("string")), "ts": F.timestamp_seconds("vec_id"), "glucose": F.col("label") + 4.0})
+    names = selection.feature_sets(wide.columns)["temporal"]
+    wide_rows = rows.select("vec_id", "subject", "ts", "glucose", "reason", *names)
+    got = scoring.score_windows(wide_rows.where("vec_id % 5 = 0 or reason is not null"), wide_rows.where("vec_id % 5 > 0 and reason is null"), names, "glucose")
+    return got.select("vec_id", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
+
+
 def resume_pending(spark, d):
     done = table(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'1998-01-01'").select(F.col("l_orderkey").alias("o_orderkey"))
     return resume(table(spark, d, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
@@ -523,7 +548,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank cross_means protocol_run score_batch
+dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank cross_means protocol_run score_batch window_reasons window_scores
 resume_pending reject_reasons zone_vs_r2 headline fold_coverage subject_coverage finite_moments
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillwork import queries
 from rillwork.operators import folds, selection, trees
-from rillwork.plans import ensembles, protocol
+from rillwork.plans import ensembles, protocol, scoring
 
 from compare import same
 
@@ -52,6 +52,12 @@ def test_tree_equals_brute_force(depth):
         assert depth is None or got.depth <= depth
 
 
+def test_neighbouring_doubles_are_split():
+    x = np.array([[1.0, np.nextafter(1.0, 2), np.nextafter(np.nextafter(1.0, 2), 2)]])
+    y = np.array([3.0, 1.0, 2.0])
+    assert trees.grow(x, y, np.ones(3), trees.sorted_rows(x)).predict(x).tolist() == y.tolist()
+
+
 def test_boosting_adds_trees_of_residuals():
     rng = np.random.default_rng(6)
     x, y = rng.random((2, 50)), rng.random(50)
@@ -146,3 +152,24 @@ def test_group_folds_can_be_joined_on(spark):
 def test_comparison_of_protocols_at_a_larger_size(spark):
     d = "/root/testdata/sf0.01"
     same(queries.QUERIES["protocol_comparison"](spark, d), queries.ORACLE["protocol_comparison"], d)
+
+
+def test_feature_sets_by_prefix():
+    names = ["vec_id", "ECG_FE0_Kur", "ECGm_RR_mean", "PPG_FE1_SE", "PPGm_AI_std"]
+    sets = selection.feature_sets(names)
+    assert sets["temporal"] == ["ECG_FE0_Kur", "PPG_FE1_SE"] and sets["morphological"] == ["ECGm_RR_mean", "PPGm_AI_std"] and sets["fused"] == sets["temporal"] + sets["morphological"]
+    assert sets["ecg_only"] == names[1:3] and sets["ppg_only"] == names[3:]
+
+
+def test_raw_windows_are_scored_or_refused(spark, sf):
+    """Every window comes back, each with predictions or with the reason why not."""
+    raw = queries.raw_windows(spark, sf)
+    short, long = scoring.usable_windows(raw, 48, 48), scoring.usable_windows(raw, 60, 60)
+    assert {r["reason"] for r in short.select("reason").distinct().collect()} == {None, "ecg missing", "ecg too short", "ecg flat", "ecg not finite", "ppg too short"}
+    kept = long.where("reason is null").select("ecg", "vec_id").first()
+    assert kept["ecg"] == pytest.approx(raw.where(F.col("vec_id") == kept["vec_id"]).first()["ecg"][-60:])
+    wide = scoring.wide_windows(raw, "vec_id", 48, 48, (0.5, 8.0, 64.0), (0.5, 8.0, 64.0)).withColumns({"subject": (F.col("vec_id") % 7).cast("string"), "ts": F.timestamp_seconds("vec_id"), "glucose": F.col("ECG_FE0_Kur") + 5})
+    names = ["ECG_FE0_Kur", "ECG_FE0_Ske", "ECGm_RR_mean"]
+    got = scoring.score_windows(wide, wide.where("vec_id % 3 > 0 and reason is null"), names, "glucose", FEW).collect()
+    assert sorted(r["vec_id"] for r in got) == sorted(r["vec_id"] for r in raw.select("vec_id").collect())
+    assert all((r["Choquet"] is None) == (r["reason"] is not None) for r in got) and {"missing ECGm_RR_mean", None, "ecg flat"} <= {r["reason"] for r in got}
