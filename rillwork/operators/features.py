@@ -182,6 +182,12 @@ def _temporal(rows: list, levels: int) -> np.ndarray:
     return np.stack([none if v is None else v for v in made])
 
 
+def ten_features_of(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, whether missing) of each of the ten features of a column of windows."""
+    wide = _temporal(_rows(column), 0)
+    return [(v, ~np.isfinite(v)) for v in wide.T]
+
+
 def _temporal_names(prefix: str, levels: int) -> list[str]:
     return [f"{prefix}FE{k}_{t}" for k in range(levels + 1) for t in TEN]
 

@@ -237,6 +237,11 @@ SQL = {
       o AS (SELECT k, CASE k WHEN 1 THEN x[1:40] WHEN 2 THEN list_transform(range(64), lambda i: 0.5::DOUBLE) WHEN 4 THEN NULL ELSE x END AS ecg, CASE k WHEN 5 THEN x[1:9] ELSE list_reverse(x) END AS ppg FROM w),
       j AS (SELECT *, CASE WHEN ecg IS NULL THEN 'ecg missing' WHEN len(ecg) < 48 THEN 'ecg too short' WHEN k = 3 THEN 'ecg not finite' WHEN list_max(ecg[-48:]) - list_min(ecg[-48:]) < 1e-9 THEN 'ecg flat' WHEN len(ppg) < 48 THEN 'ppg too short' ELSE 'kept' END AS reason FROM o)
       SELECT reason, count(*) AS n, round(sum(list_sum(ecg[-48:])) FILTER (reason = 'kept'), 4) AS ecg, round(sum(list_sum(ppg[-48:])) FILTER (reason = 'kept'), 4) AS ppg FROM j GROUP BY reason""",
+    "sql_scalars": f"""WITH l AS (SELECT l_returnflag, l_quantity / 3.0::DOUBLE + 2 AS glucose, l_quantity / 4.0::DOUBLE + 40 * l_discount AS pred, l_discount + 0.05::DOUBLE AS a, l_tax + 0.1::DOUBLE AS b, l_quantity / 100.0::DOUBLE AS c FROM lineitem),
+      z AS (SELECT *, {zone_sql('glucose', 'pred')} AS zone, {_lambda3('a', 'b', 'c')} AS lam FROM l)
+      SELECT l_returnflag, {_r(_RAW['rmse'], 'rmse')}, {_r(_RAW['mard'], 'mard')}, {_r(_RAW['r2'], 'r2')}, {_r(_RAW['zone_a'], 'zone_a')}, {_r(_RAW['zone_ab'], 'zone_ab')}, max(zone) AS worst,
+        {_r(f"avg({_choquet3(['glucose', 'pred', '10::DOUBLE'], ['a', 'b', 'c'], 'lam')})", 'fused', 4)}, {_r('avg(lam)', 'lam', 4)}, {_r('avg(a * pow(1 + lam * a, 2))', 'last_weight', 4)} FROM z GROUP BY l_returnflag""",
+    "sql_window_features": f"WITH {_X}, {_MOMENTS}, {_HJORTH} SELECT m.vec_id AS key, {_r('kur', 'kur')}, {_r('ske', 'ske')}, {_r('sm', 'sm')} FROM m JOIN h ON h.vec_id = m.vec_id",
     "resume_pending": "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_shipdate < TIMESTAMP '1998-01-01')",
     "reject_reasons": "SELECT CASE WHEN value IS NULL THEN 'missing' WHEN value / 18.018::DOUBLE < 0.1 THEN 'too low' WHEN value / 18.018::DOUBLE > 25 THEN 'too high' ELSE 'kept' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "feature_intersection": f"WITH {_FEATURES.replace('f AS (SELECT', 'f0 AS (SELECT')}, ff AS (SELECT *, {_fold(3)} AS fold FROM f0), c AS (" + " UNION ALL ".join(f"SELECT {k} AS k, '{c}' AS feature, {i} AS place, corr({c}, glucose) AS r FROM ff WHERE fold <> {k}" for k in range(3) for i, c in enumerate(_NAMES)) + "), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY r * r / (1 - r * r) DESC NULLS LAST, place) <= 5) SELECT feature, CAST(any_value(place) + 1 AS INTEGER) AS place FROM t GROUP BY feature HAVING count(*) = 3",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork import oracle
-from rillwork.functions import fuzzy, grade
+from rillwork.functions import fuzzy, grade, sql
 from rillwork.functions.zones import MGDL, zone
 from rillwork.operators import align, features, folds, fusion, selection, signals
 from rillwork.operators import readings as rd
@@ -504,6 +504,25 @@ def score_batch(spark, d):
     return got.select("subject", "ts", "glucose", *protocol.MODELS, "PlainAverage", "WeightedAverage", "Choquet", "MinOfModels", "reason")
 
 
+def sql_scalars(spark, d):
+    """Fusion and grades by the functions that spark.sql knows, over lines by return flag."""
+    sql.register(spark)
+    lines = table(spark, d, "lineitem").selectExpr("l_returnflag", "l_quantity / 3.0D + 2 as y", "l_quantity / 4.0D + 40 * l_discount as p", "l_discount + 0.05D as a", "l_tax + 0.1D as b", "l_quantity / 100.0D as c")
+    graded = """SELECT l_returnflag, round(sqrt(squares / n), 6) AS rmse, round(100 * rel, 6) AS mard, round(r2(n, squares, spread), 6) AS r2, round(100 * in_a, 6) AS zone_a, round(100 * in_ab, 6) AS zone_ab, worst
+      FROM (SELECT l_returnflag, count(*) AS n, sum(sq_error(y, p)) AS squares, avg(rel_error(y, p)) AS rel, var_pop(y) AS spread, avg(in_zones(y, p, 'A')) AS in_a, avg(in_zones(y, p, 'AB')) AS in_ab, max(parkes_zone(y, p)) AS worst
+        FROM {lines} GROUP BY l_returnflag)"""
+    fused = """SELECT l_returnflag, round(sum(n * choquet(array(y, p, 10D), array(a, b, c), lam)) / sum(n), 4) AS fused, round(sum(n * lam) / sum(n), 4) AS lam, round(sum(n * element_at(owa_weights(a, 3, lam), 3)) / sum(n), 4) AS last_weight
+      FROM (SELECT *, sugeno_lambda(array(a, b, c)) AS lam FROM (SELECT l_returnflag, y, p, a, b, c, count(*) AS n FROM {lines} GROUP BY ALL)) GROUP BY l_returnflag"""
+    return spark.sql(graded, lines=lines).join(spark.sql(fused, lines=lines), "l_returnflag")
+
+
+def sql_window_features(spark, d):
+    """The table function over windows, beside the windows' own moments."""
+    sql.register(spark)
+    got = spark.sql("SELECT key, Kur, Ske, SM FROM window_features(TABLE(SELECT vec_id, x FROM {w}))", w=windows(spark, d))
+    return rounded(got.withColumnsRenamed({"Kur": "kur", "Ske": "ske", "SM": "sm"}))
+
+
 def raw_windows(spark, d) -> DataFrame:
     """Embeddings as windows of two signals of 48 samples, some of which no model can score."""
     x, k = F.col("x"), F.col("vec_id") % 25
@@ -548,7 +567,7 @@ degeneracy_report density_sweep temporal_choquet temporal_sweep zone_label zone_
 grade_by_subject fusion_vs_min verdict_vs_control best_single reliability_weighted fold_sizes protocol_comparison ablation session_catalogue
 reading_in_session first_covering_session both_modalities dropped_windows window_before clock_zone_scores clock_zone_winner signal_usable
 decimated last_samples signal_moments hjorth amplitude_entropy spectral_entropy c0_complexity higuchi sample_entropy correlation_dim dwt_details
-dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank cross_means protocol_run score_batch window_reasons window_scores
+dwt_reconstructed ten_features window_rows moving_energy signal_peaks rr_hrv pulse_shape ecg_beats window_features standardised ufs_topk feature_intersection rfe lasso_rank cross_means protocol_run score_batch window_reasons window_scores sql_scalars sql_window_features
 resume_pending reject_reasons zone_vs_r2 headline fold_coverage subject_coverage finite_moments
 """
 QUERIES = {name: globals()[name] for name in _NAMES.split()}

@@ -109,3 +109,16 @@ def test_window_before_edges(spark):
     want = spark.createDataFrame([("s", 0), ("s", 39), ("s", 40), ("s", 100), ("s", 101)], "session_id string, end_idx long")
     got = {r["end_idx"]: r["window"] for r in align.window_before(want, align.chunked(s, 16), 40, 16).collect()}
     assert sorted(got) == [40, 100] and got[100] == [float(i) for i in range(60, 100)]
+
+
+def test_sql_functions_equal_the_expressions(spark):
+    from rillwork.functions import sql
+
+    sql.register(spark)
+    sql.register(spark)
+    rows = spark.createDataFrame([([0.01, 0.01, 0.01],), ([0.8, 0.6, 0.4],), ([0.2, 0.3, 0.5],), ([0.1, 0.2],), ([1e-6, 1e-6, 1e-6],)], "g array<double>")
+    got = spark.sql("SELECT g, sugeno_lambda(g) AS lam, choquet(array(9D, 7D, 5D), array(.8D, .6D, .4D), -0.928333D) AS c, owa_weights(0.2D, 3, 2.807764D) AS w FROM {rows}", rows=rows).withColumn("want", fuzzy.sugeno_lambda(F.col("g"))).collect()
+    assert all(r["lam"] == pytest.approx(r["want"], rel=1e-6, abs=1e-9) for r in got)
+    assert got[0]["c"] == pytest.approx(8.5088, abs=1e-4) and got[0]["w"] == pytest.approx([0.2, 0.312311, 0.487689], abs=1e-5)
+    letters = spark.sql("SELECT parkes_zone(5D, 5D) AS a, parkes_zone(2.2D, 16.7D) AS e, parkes_zone(12D, 7D) AS b, parkes_zone(double('NaN'), 1D) AS n, parkes_zone(NULL, 1D) AS m, in_zones(12D, 7D, 'AB') AS i").first()
+    assert tuple(letters) == ("A", "E", "B", None, None, 1.0)
