@@ -4,6 +4,7 @@ import zipfile
 import pytest
 
 from rillwork.plans import protocol
+from rillwork.sources import archives
 from rillwork.sources import recordings as rec
 from rillwork import queries
 
@@ -86,3 +87,27 @@ def test_read_features_keeps_ids_as_strings(spark, sf, tmp_path):
     assert sorted({r.subject for r in rec.read_features(spark, str(tmp_path / "f"), some).collect()}) == some
     spark.createDataFrame([(7, 1.0), (1234, 2.0)], "subject long, x double").write.parquet(str(tmp_path / "n"))
     assert sorted(r.subject for r in rec.read_features(spark, str(tmp_path / "n")).collect()) == ["007", "1234"]
+
+
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    """Many partitions from many entries and long ones, and sample numbers that hold across them."""
+    values = {("001", "e4/b/BVP.csv"): list(range(500)), ("001", "e4/a/BVP.csv"): [0.5, -1.25], ("002", "e4/a/BVP.csv"): list(range(7, 90))}
+    for subject in ("001", "002"):
+        with zipfile.ZipFile(f"{tmp_path}/{subject}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for (s, entry), v in values.items():
+                if s == subject:
+                    z.writestr(entry, "1654713165.0\n64.0\n" + "\n\n".join(map(str, v)) + "\n")
+            z.writestr("e4/c/BVP.csv", "x\n32.0\n1\n")
+            z.writestr("e4/a/ACC.csv", "1\n2\n3\n")
+    for split in (1 << 20, 90):
+        got = archives.archive_samples(spark, f"{tmp_path}/*.zip", "BVP.csv", skip=2, split=split)
+        assert got.rdd.getNumPartitions() >= (5 if split > 100 else 20)
+        held: dict = {}
+        for r in got.collect():
+            held.setdefault((r["subject"], r["entry"]), []).append((r["idx"], r["value"]))
+        assert all([v for _, v in sorted(held[k])] == [float(x) for x in want] and [i for i, _ in sorted(held[k])] == list(range(len(want))) for k, want in values.items())
+    one = archives.archive_samples(spark, f"{tmp_path}/*.zip", "BVP.csv", skip=2, subjects=["002"])
+    assert {r[0] for r in one.select("subject").distinct().collect()} == {"002"}
+    starts = {(r["subject"], r["entry"]): (r["start"], r["reason"]) for r in archives.session_starts(spark, f"{tmp_path}/*.zip").collect()}
+    assert starts["001", "e4/b/BVP.csv"] == (1654713165.0, None) and starts["002", "e4/c/BVP.csv"] == (None, "no start") and len(starts) == 5
+    assert archives.archive_samples(spark, f"{tmp_path}/*.none", "BVP.csv").count() == 0
