@@ -173,3 +173,14 @@ def test_raw_windows_are_scored_or_refused(spark, sf):
     got = scoring.score_windows(wide, wide.where("vec_id % 3 > 0 and reason is null"), names, "glucose", FEW).collect()
     assert sorted(r["vec_id"] for r in got) == sorted(r["vec_id"] for r in raw.select("vec_id").collect())
     assert all((r["Choquet"] is None) == (r["reason"] is not None) for r in got) and {"missing ECGm_RR_mean", None, "ecg flat"} <= {r["reason"] for r in got}
+
+
+def test_ablation_over_feature_sets(spark):
+    """Sets that hold what the target depends on beat those that don't; the control stands last."""
+    rows = table(spark).withColumnsRenamed({"a": "ECG_a", "b": "PPG_b", "c": "ECGm_c"}).where("ECG_a is not null")
+    sets = selection.feature_sets(rows.columns)
+    got = protocol.feature_ablation(rows, sets, learners=FEW, choose=False).collect()
+    assert [r["feature_set"] for r in got][-1] == "none" and len(got) == 6 and got[-1]["n_features"] == 0
+    assert [r["r2"] for r in got[:-1]] == sorted(r["r2"] for r in got[:-1])
+    by = {r["feature_set"]: r for r in got}
+    assert by["fused"]["n_features"] == 3 and by["temporal"]["r2"] > 0.8 > 0.1 > by["morphological"]["r2"] and abs(by["none"]["r2"]) < 0.1
