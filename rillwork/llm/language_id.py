@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork.llm.store import fresh, table
-from rillwork.llm.text import BLOCK, column, per_batch
+from rillwork.llm.text import SMALL_BLOCK, column, per_batch
 
 #: Components of a hypervector; two random ones have a cosine of about 1 / sqrt(DIMENSIONS).
 DIMENSIONS = 1024
@@ -20,6 +20,8 @@ SYMBOLS = 64
 GRAMS = SYMBOLS**3
 #: A document's weight in its language's prototype, in whole numbers so that sums don't depend on their order.
 WHOLE = 1 << 24
+#: Rows of a block, however short their texts, and trigrams whose counts in them are laid out at once.
+ROWS, KINDS = 2048, 1024
 #: The pipeline rejects documents whose cosine with the nearest prototype is below this.
 LEAST = 0.05
 
@@ -56,7 +58,7 @@ def _grams(batch: pa.RecordBatch):
     data, off, _ = column(batch, "text")
     i, rows, of = 0, batch.num_rows, _symbols()
     while i < rows:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1)
+        j = min(i + ROWS, max(i + 1, int(np.searchsorted(off, off[i] + SMALL_BLOCK, "right")) - 1))
         points = np.frombuffer(bytes(data[off[i] : off[j]]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         lengths = _characters(data, off[i : j + 1])
         ends = np.cumsum(lengths + 2)
@@ -76,6 +78,19 @@ def _grams(batch: pa.RecordBatch):
         i = j
 
 
+def _vectors(batch: pa.RecordBatch):
+    """For blocks of rows: (whether each row has a letter, the sum of the vectors of its trigrams, in whole numbers)."""
+    for _, row, gram, letters in _grams(batch):
+        kinds, at = np.unique(gram, return_inverse=True)
+        vectors = np.zeros((len(letters), DIMENSIONS), np.float32)
+        for lo in range(0, len(kinds), KINDS):  # all documents of the block against some of its trigrams
+            some = (at >= lo) & (at < lo + KINDS)
+            width = min(KINDS, len(kinds) - lo)
+            counts = np.bincount(row[some] * width + at[some] - lo, minlength=len(letters) * width).reshape(len(letters), width)
+            vectors += counts.astype(np.float32) @ hypervectors(kinds[lo : lo + width]).astype(np.float32)
+        yield letters, vectors
+
+
 def _characters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Code points of each text: bytes that don't continue one."""
     begins = np.concatenate(([0], np.cumsum((data[off[0] : off[-1]] & 0xC0) != 0x80)))
@@ -138,14 +153,7 @@ def identify(docs: DataFrame, train: DataFrame, carry: list[str] | None = None,
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         best, score = [], []
-        for _, row, gram, letters in _grams(batch):
-            kinds, at = np.unique(gram, return_inverse=True)
-            vectors = np.zeros((len(letters), DIMENSIONS), np.float32)
-            for lo in range(0, len(kinds), 4096):  # all documents of the block against some of its trigrams
-                some = (at >= lo) & (at < lo + 4096)
-                width = min(4096, len(kinds) - lo)
-                counts = np.bincount(row[some] * width + at[some] - lo, minlength=len(letters) * width).reshape(len(letters), width)
-                vectors += counts.astype(np.float32) @ hypervectors(kinds[lo : lo + width]).astype(np.float32)
+        for letters, vectors in _vectors(batch):
             cosine = (vectors @ matrix.T) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             top = cosine.argmax(1) if langs else np.zeros(len(letters), int)
             known = letters & bool(langs)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs together.
 GROUP = 16_384
-#: Entries that a worker's two tables of encoded strings may hold before one is emptied, and their longest string.
+#: Entries that a task's two tables of encoded strings may hold before one is emptied, and their longest string.
 WORDS, LONGEST = 500_000, 64
+#: Entries of each that outlive the task, the first ones: frequent strings come early.
+KEPT = 30_000
 #: What lies between white space and is sure to be cut by _PARTS as by the vocabulary: printable ASCII and Latin-1 letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the vocabulary's own pattern for pre-tokens, for such strings in lower case.
@@ -32,7 +35,8 @@ class _Encoder:
 
     The vocabulary drops white space before it merges, so each string between ASCII white space is encoded alone and
     remembered, and so are the pre-tokens of plain ones, which go to the library's merges directly, their bytes
-    spelled as the vocabulary spells them. All ids come from the library; a worker keeps its tables."""
+    spelled as the vocabulary spells them. All ids come from the library. Of the tables little outlives a task: a worker lives on
+    through other stages, which need its memory."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,6 +72,9 @@ class _Encoder:
             self.strings[string] = ids
         return ids
 
+    def forget(self) -> None:
+        self.strings, self.parts = (dict(islice(x.items(), KEPT)) for x in (self.strings, self.parts))
+
     def __call__(self, text: str) -> bytes:
         get, missing = self.strings.get, self.missing
         for c in "\t\n\x0b\x0c\r":
@@ -86,12 +93,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than
-    the capacity; a null text is empty."""
-
-    def run(batches):
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+def _pieces(batches, tokenizer: str, capacity: int, end_id: int):
+    encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    try:
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -102,6 +106,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    finally:
+        encoder.forget()
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than
+    the capacity; a null text is empty."""
+
+    def run(batches):
+        yield from _pieces(batches, tokenizer, capacity, end_id)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
