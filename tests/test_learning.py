@@ -184,3 +184,38 @@ def test_ablation_over_feature_sets(spark):
     assert [r["r2"] for r in got[:-1]] == sorted(r["r2"] for r in got[:-1])
     by = {r["feature_set"]: r for r in got}
     assert by["fused"]["n_features"] == 3 and by["temporal"]["r2"] > 0.8 > 0.1 > by["morphological"]["r2"] and abs(by["none"]["r2"]) < 0.1
+
+
+def written(spark, run):
+    """Rows that stages write for shuffles while run() runs."""
+
+    def so_far():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = so_far()
+    run()
+    return sum(n for k, n in so_far().items() if k not in before)
+
+
+MANY = {"RandomForest": ensembles.Forest(trees=40, block=1), "GradientBoosting": ensembles.Boosting(rounds=2)}
+
+
+def test_a_row_is_shuffled_once_to_be_scored_by_all_trees(spark):
+    """Not once for each block of trees: there are 40, and fits learn from 60 rows."""
+    dealt = spark.range(4000).select(F.col("id").alias("row"), F.lit(0).alias("outer"), (F.col("id") % 4).cast("int").alias("held"), F.array(F.col("id") % 7 + 0.5).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    assert 4000 < written(spark, lambda: ensembles.held_out_predictions(dealt, MANY, 3, rows=60)) < 3 * 4000 + 44 * 200
+
+
+def test_packed_trees_predict_what_trees_do():
+    rng = np.random.default_rng(11)
+    x, y = np.vstack([rng.integers(0, 9, (2, 300)), rng.random((1, 300))]), rng.random(300)
+    new = np.vstack([rng.integers(-1, 10, (2, 500)), rng.random((1, 500))])
+    new[0, :5], new[2, 5] = np.nan, np.inf
+    made = {"a": trees.forest(x, y, 5, (1,)), "b": trees.boosting(x, y, 4, 0.5, 3), "c": trees.forest(x[:, :1], y[:1], 2, (2,))}
+    groves = trees.Groves({k: [trees.pack(v[:2]), trees.pack(v[2:])] if len(v) > 2 else [trees.pack(v)] for k, v in made.items()}, 3)
+    got = groves.sums(np.ascontiguousarray(new.T))
+    assert all(got[k] == pytest.approx(sum(t.predict(new) for t in v)) for k, v in made.items()) and max(t.depth for t in made["a"]) > trees.Groves.FIRST + trees.Groves.EVERY
+    assert got["b"] == pytest.approx(trees.boosted(x, y, new, 4, 0.5, 3)) and trees.Groves({}, 3).sums(new.T) == {}
