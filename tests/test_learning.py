@@ -219,3 +219,14 @@ def test_packed_trees_predict_what_trees_do():
     got = groves.sums(np.ascontiguousarray(new.T))
     assert all(got[k] == pytest.approx(sum(t.predict(new) for t in v)) for k, v in made.items()) and max(t.depth for t in made["a"]) > trees.Groves.FIRST + trees.Groves.EVERY
     assert got["b"] == pytest.approx(trees.boosted(x, y, new, 4, 0.5, 3)) and trees.Groves({}, 3).sums(new.T) == {}
+
+
+def test_new_rows_are_shuffled_once_and_keep_their_columns(spark):
+    """Training rows go to their folds and to the trees, new rows to the trees, however many blocks there are; new rows'
+    columns may have any names."""
+    rows = table(spark, 2000)
+    new = rows.where("fold = 0").withColumns({"x": F.lit("own"), "held": F.lit(-1), "whole": F.struct("a", "b")})
+    got = []
+    n = written(spark, lambda: got.extend(protocol.fit_and_score(rows.where("fold > 0"), new, ["a", "b", "c"], "glucose", {"RandomForest": MANY["RandomForest"], **{k: FEW[k] for k in ("GradientBoosting", "Bagging")}}).collect()))
+    assert n < 45 * 1500 + 12 * 2000  # 41 blocks learn from all 1,500, here fewer than a fit's bound
+    assert len(got) == 500 and all((r["x"], r["held"], r["whole"]["a"]) == ("own", -1, r["a"]) and r["Choquet"] is not None for r in got)
