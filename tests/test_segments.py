@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rillwork import queries
 from rillwork.operators import fusion, readings, segments
 
 
@@ -53,3 +54,17 @@ def test_smoothings_share_a_trail(spark):
     got = both.agg(F.max(F.abs(F.col("b") - 2 * F.col("a"))), F.count("c"), F.count("*")).first()
     assert got[0] < 1e-9 and got[1] == got[2] == df.count()
     assert fusion.smooth(df.limit(0), "glucose", "s").count() == 0
+
+
+def copied(spark, folder, copies):
+    """Users 162 and 204, whose mean of some first readings is exactly 50 mg/dL, a corner of zone A, and copies of them."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id in (162, 204)")
+    shifted = events.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("user_id", F.col("user_id") + 1500 * F.col("i")).drop("i")
+    shifted.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_copies_of_a_subject_are_graded_alike(spark, tmp_path):
+    got = queries.QUERIES["grade_by_subject"](spark, copied(spark, tmp_path, 6)).where("method = 'PastMean'").collect()
+    by = {u: {r["zone_a"] for r in got if int(r["subject"]) % 1500 == u} for u in (162, 204)}
+    assert len(got) == 12 and len(by[162]) == 1 and by[204] == {43.835616}
