@@ -68,3 +68,12 @@ def test_copies_of_a_subject_are_graded_alike(spark, tmp_path):
     got = queries.QUERIES["grade_by_subject"](spark, copied(spark, tmp_path, 6)).where("method = 'PastMean'").collect()
     by = {u: {r["zone_a"] for r in got if int(r["subject"]) % 1500 == u} for u in (162, 204)}
     assert len(got) == 12 and len(by[162]) == 1 and by[204] == {43.835616}
+
+
+def test_copies_of_a_subject_fall_in_the_same_zones(spark, tmp_path):
+    counts = []
+    for n in (1, 6):
+        (tmp_path / str(n)).mkdir()
+        got = queries.QUERIES["zone_distribution"](spark, copied(spark, tmp_path / str(n), n)).where("method = 'PastMean'").first()
+        counts.append([got[z] for z in "ABCDE"])
+    assert counts[1] == [6 * c for c in counts[0]] and sum(counts[0]) > 100
